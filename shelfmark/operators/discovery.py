@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import (base_dir, canonical_url, decoded_path, directory, family_key, host, in_scope,
                               link_score, origin, url_key, url_path)
+from ..session import materialize
 from ..sources.readers import read_sitemaps
 
 MAX_URLS = 2000
@@ -99,7 +100,9 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> D
     whose order is the order of a depth-first walk, so each level is one join and the
     limits on sitemaps and URLs can be applied at the end.
     """
-    entries = read_sitemaps(bodies).select(F.col("url").alias("_map"), "is_index", "pos", F.col("loc").alias("child"))
+    # Each level is used several times; written out, its bodies are parsed only once.
+    entries = materialize(read_sitemaps(bodies).select(
+        F.col("url").alias("_map"), "is_index", "pos", F.col("loc").alias("child")), "entries")
     level = sitemap_candidates(starts, rules).withColumn("root", F.col("path"))
     seen, found = None, None
     for depth in range(MAX_DEPTH + 1):
@@ -108,6 +111,7 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> D
             "start", "root", F.col("loc").alias("parent"), "is_index",
             F.concat("path", F.array("pos")).alias("at"), F.col("path").alias("parent_path"),
             "child")
+        listed = materialize(listed, "listed")
         pages = listed.filter(~F.col("is_index"))
         found = pages if found is None else found.unionByName(pages)
         level = listed.filter("is_index").select(
@@ -116,14 +120,14 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> D
     first = seen.groupBy("start", "loc").agg(F.min(F.struct("path", "root")).alias("_f")).select(
         "start", "loc", F.col("_f.path").alias("path"), F.col("_f.root").alias("root"))
     # A candidate is only tried while fewer than MAX_SITEMAPS were read before it.
-    before = Window.partitionBy("start").orderBy("path")
+    before = Window.partitionBy("start").orderBy("path", "loc")
     roots = first.withColumn("_before", F.row_number().over(before) - 1).groupBy("start", "root").agg(
         F.min("_before").alias("_before")).filter(F.col("_before") < MAX_SITEMAPS).select("start", "root")
     valid = found.join(
         first.select("start", F.col("loc").alias("parent"), F.col("path").alias("parent_path")),
         ["start", "parent", "parent_path"], "left_semi").join(roots, ["start", "root"], "left_semi")
     distinct = valid.groupBy("start", F.col("child").alias("url")).agg(F.min("at").alias("at"))
-    order = Window.partitionBy("start").orderBy("at")
+    order = Window.partitionBy("start").orderBy("at", "url")
     kept = distinct.withColumn("pos", F.row_number().over(order).cast("bigint")).filter(F.col("pos") <= MAX_URLS)
     return _tidy(robots_allows(kept.filter(in_scope(F.col("url"), F.col("start"))), rules))
 
