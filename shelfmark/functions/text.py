@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ASCII_SPACE = r"[ \t\n\x0B\f\r]+"
@@ -22,6 +22,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def unnest(df: DataFrame, keep: Sequence[str | Column], array: Column | str, pos: str, item: str) -> DataFrame:
+    """One row per array element, as ``pos`` and ``item``.
+
+    The outer form is used on purpose: for the plain one the optimizer adds a test that
+    the array is not empty below the generator, and an array that is computed by a fold
+    or a UDF would then be computed several times.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def jtrim(c: Column) -> Column:
     """Strip every leading and trailing character up to U+0020."""
     return F.btrim(c, F.lit(_CONTROL_AND_SPACE))

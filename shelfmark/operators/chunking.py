@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import splitters
 from ..functions.embedders import HashingEmbedder
-from ..functions.text import drop_null_values, is_blank, map_merge, stable_id
+from ..functions.text import drop_null_values, is_blank, map_merge, stable_id, unnest
 from ..model import Variant
 
 
@@ -37,10 +37,10 @@ def chunk(docs: DataFrame, variant: Variant, *, doc_id: str = "doc_id", text: st
     cols = [doc_id, *keep, *([metadata] if metadata else [])]
     drafts_df = with_drafts(docs.filter(~is_blank(F.col(text))).select(*cols, text),
                             variant, text, embedder)
-    rows = drafts_df.select(
-        F.col(doc_id).alias("doc_id"), *keep,
-        *([F.col(metadata).alias("_meta")] if metadata else []),
-        F.posexplode("_drafts").alias("chunk_index", "_draft"),
+    rows = unnest(
+        drafts_df,
+        [F.col(doc_id).alias("doc_id"), *keep, *([F.col(metadata).alias("_meta")] if metadata else [])],
+        "_drafts", "chunk_index", "_draft",
     )
     return rows.select(
         stable_id(F.lit(variant.variant_id), F.col("doc_id").cast("string"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import is_blank, unnest
 from ..functions.urls import host, link_score, url_key
 from ..session import materialize
 
@@ -32,7 +32,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Links of the pages in :func:`page_nodes`: ``url, pos, link, link_key, link_host``."""
-    return pages.select("url", F.posexplode("links").alias("pos", "link")).select(
+    return unnest(pages, ["url"], "links", "pos", "link").select(
         "url", "pos", "link", url_key(F.col("link")).alias("link_key"), host(F.col("link")).alias("link_host")
     ).filter(F.col("link_key").isNotNull())
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import unnest
 from ..functions.urls import (base_dir, canonical_url, decoded_path, directory, family_key, host, in_scope,
                               link_score, origin, url_key, url_path)
 from ..session import materialize
@@ -149,7 +150,7 @@ def discover(pages: DataFrame, starts: DataFrame, limit: int = MAX_URLS, *,
     start_pages = pages.withColumn("_key", url_key(F.col("url"))).join(
         starts.select("start", url_key(F.col("start")).alias("_key")).distinct(), "_key")
     links = F.when(F.size("nav_links") > 0, F.col("nav_links")).otherwise(F.col("links"))
-    found = start_pages.select("start", F.posexplode(links).alias("pos", "url")).select(
+    found = unnest(start_pages, ["start"], links, "pos", "url").select(
         "start", "url", F.col("pos").cast("bigint").alias("pos"))
     if sitemap_urls is not None:
         found = found.unionByName(sitemap_urls.select(
@@ -172,7 +173,7 @@ def rank_links(links: DataFrame, by: list[str], question: str = "question") -> D
 
 def top_links(pages: DataFrame, question: str | None, k: int = DEFAULT_TOP_LINKS) -> DataFrame:
     """The ``k`` most relevant links of every page and the page each leads to, if known."""
-    links = pages.select("page_id", F.posexplode("links").alias("pos", "link")).withColumn(
+    links = unnest(pages, ["page_id"], "links", "pos", "link").withColumn(
         "question", F.lit(question))
     best = rank_links(links, ["page_id"]).filter(F.col("rank") <= k).withColumn("_key", url_key(F.col("link")))
     targets = (

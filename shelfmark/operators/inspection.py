@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .telemetry import exact_percentiles
 
 
@@ -127,6 +128,8 @@ def documents_by_store(stores: Mapping[str, DataFrame]) -> DataFrame:
         for name, df in stores.items()
     ])
     # One number per store, aggregated apart: a window per store would gather it in one task.
+    # The counts are written out so that the stores are not counted twice.
+    listed = materialize(listed, "listed")
     widths = listed.groupBy("module").agg(
         F.max(F.length(F.col("chunk_count").cast("string"))).alias("_width"))
     return listed.join(F.broadcast(widths), "module").select(

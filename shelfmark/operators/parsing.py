@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.text import is_blank, jtrim, let, map_merge
+from ..functions.text import is_blank, jtrim, let, map_merge, unnest
 from ..model import BLOCK_TYPE, SOURCE_TYPES
 
 # The formats told by a file extension or a content type.
@@ -178,7 +178,9 @@ def _batched(returns: str, read):
         values = [_as_arrow(read(*[x or "" for x in row])) for row in rows]
         return pa.array(values, type=arrow_type)
 
-    return run
+    # A reader is worth running once: marked so, it is not copied below filters that use
+    # its result.
+    return run.asNondeterministic()
 
 
 def _as_arrow(value):
@@ -303,5 +305,5 @@ def reject_empty(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def explode_blocks(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return parsed.select("doc_id", *keep, F.posexplode("blocks").alias("block_idx", "_b")).select(
+    return unnest(parsed, ["doc_id", *keep], "blocks", "block_idx", "_b").select(
         "doc_id", *keep, "block_idx", "_b.*")

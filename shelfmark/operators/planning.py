@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, jtrim
+from ..functions.text import is_blank, jtrim, unnest
 from ..functions.embedders import HashingEmbedder
 from .ranking import merge_sources, search
 from .vector_search import DEFAULT_K
@@ -30,8 +30,7 @@ def subqueries(question: Column) -> Column:
 
 def plan_subqueries(questions: DataFrame) -> DataFrame:
     """``query_id, step, subquery``, one row per part of each question."""
-    return questions.select(
-        "query_id", F.posexplode(subqueries(F.col("question"))).alias("step", "subquery"))
+    return unnest(questions, ["query_id"], subqueries(F.col("question")), "step", "subquery")
 
 
 def plan_steps(questions: DataFrame, max_steps: int = DEFAULT_MAX_STEPS) -> DataFrame:

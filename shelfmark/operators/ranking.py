@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import map_merge, norm_content, word_tokens
+from ..functions.text import let, map_merge, norm_content, word_tokens
 from .vector_search import DEFAULT_K, MAX_BLOCK_ROWS, fetch_size, fetch_size_column, knn
 
 # Fixed values of the scoring formulas.
@@ -103,31 +103,37 @@ def bm25(candidates: DataFrame, questions: DataFrame) -> DataFrame:
     """Add ``bm25`` to candidates, with statistics of each question's candidates only.
 
     ``candidates`` holds ``query_id, chunk_id, content``; ``questions`` ``query_id, question``.
-    Only tokens that occur in the question are exploded and shuffled.
+    Term counts are made in each candidate's row, for the question's terms alone; the rows
+    of one question are then spread by term for the document frequencies and put together
+    again, so the candidates are read once.
     """
     q = questions.select("query_id", F.array_distinct(word_tokens(F.col("question"))).alias("_terms"))
     per_question = Window.partitionBy("query_id")
+    kept = [c for c in candidates.columns if c != "query_id"]
+
+    def counts(tokens: Column) -> Column:
+        return F.transform(F.array_distinct(tokens), lambda t: F.struct(
+            t.alias("term"), F.size(F.filter(tokens, lambda x: x == t)).alias("tf")))
+
+    asked = F.filter(F.col("_tokens"), lambda t: F.array_contains(F.col("_terms"), t))
     docs = (
-        candidates.withColumn("_tokens", word_tokens(F.col("content")))
+        candidates.join(q, "query_id", "left")
+        .withColumn("_tokens", word_tokens(F.col("content")))
         .withColumn("_length", F.size("_tokens"))
+        .withColumn("_matched", let(asked, counts))
         .withColumn("_n", F.count(F.lit(1)).over(per_question))
         .withColumn("_avg", F.avg("_length").over(per_question))
-        .join(q, "query_id", "left")
     )
-    matched = docs.select(
-        "query_id", "chunk_id", "_length", "_n", "_avg",
-        F.explode(F.filter("_tokens", lambda t: F.array_contains(F.col("_terms"), t))).alias("term"),
-    )
-    tf = matched.groupBy("query_id", "chunk_id", "term", "_length", "_n", "_avg").agg(
-        F.count(F.lit(1)).alias("tf"))
-    scored = (
-        tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "term")))
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(_bm25_term(F.col("_n"), F.col("df"), F.col("tf"), F.col("_length"),
-                                      F.col("_avg"))), 9).alias("bm25"))
+    spread = docs.select(
+        "query_id", F.struct(*kept).alias("_c"), "_length", "_n", "_avg", F.explode_outer("_matched").alias("_m"))
+    scored = spread.withColumn(
+        "_df", F.count("_m.term").over(Window.partitionBy("query_id", "_m.term"))
+    ).withColumn("_w", _bm25_term(F.col("_n"), F.col("_df"), F.col("_m.tf"), F.col("_length"), F.col("_avg")))
+    return (
+        scored.groupBy("query_id", F.col("_c.chunk_id").alias("_id"))
+        .agg(F.first("_c").alias("_c"), F.coalesce(F.round(F.sum("_w"), 9), F.lit(0.0)).alias("bm25"))
+        .select("query_id", "_c.*", "bm25")
     )
-    return candidates.join(scored, ["query_id", "chunk_id"], "left").withColumn(
-        "bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
 def rrf(hits: DataFrame, k: int = RRF_K) -> DataFrame:

@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_null_values, is_blank, let, map_merge, stable_id
+from ..functions.text import drop_null_values, is_blank, let, map_merge, stable_id, unnest
 from ..functions import splitters
 from ..model import BLOCK_TYPE, GROUP_TYPE, ChunkingConfig, Variant
 from .chunking import splitter_metadata, with_drafts
-from .parsing import text_of
 
 PATH_SEPARATOR = " > "
 BLOCK_SEPARATOR = "\n\n"
@@ -148,8 +147,7 @@ def chunk_structural(parsed: DataFrame, variant: Variant, config: ChunkingConfig
     the semantic strategy, whose model needs groups as rows, numbers by a window over
     one document at a time.
     """
-    usable = parsed.filter(~is_blank(text_of(F.col("blocks"))))
-    grouped = with_groups(usable, variant, config)
+    grouped = with_groups(parsed, variant, config)
     keep_text = lambda g: ~is_blank(g["text"])
     if variant.strategy != "semantic":
         pieces = F.flatten(F.transform(
@@ -157,17 +155,15 @@ def chunk_structural(parsed: DataFrame, variant: Variant, config: ChunkingConfig
             lambda g: F.transform(
                 splitters.split(g["text"], variant),
                 lambda d: F.struct(d.alias("draft"), g.alias("group")))))
-        rows = grouped.select("doc_id", "source_type", "metadata",
-                              F.posexplode(pieces).alias("chunk_index", "_p")).select(
+        rows = unnest(grouped, ["doc_id", "source_type", "metadata"], pieces, "chunk_index", "_p").select(
             "doc_id", "source_type", "metadata", "chunk_index",
             F.col("_p.draft").alias("draft"), F.col("_p.group").alias("group"))
     else:
-        flat = grouped.select("doc_id", "source_type", "metadata",
-                              F.posexplode(F.filter("groups", keep_text)).alias("_gi", "group"))
+        flat = unnest(grouped, ["doc_id", "source_type", "metadata"], F.filter("groups", keep_text), "_gi", "group")
         cut = with_drafts(flat.withColumn("_text", F.col("group.text")), variant, "_text", embedder)
         order = Window.partitionBy("doc_id").orderBy("_gi", "_pi")
-        rows = cut.select("doc_id", "source_type", "metadata", "group", "_gi",
-                          F.posexplode("_drafts").alias("_pi", "draft")).withColumn(
+        pieces = unnest(cut, ["doc_id", "source_type", "metadata", "group", "_gi"], "_drafts", "_pi", "draft")
+        rows = pieces.withColumn(
             "chunk_index", F.row_number().over(order) - 1).drop("_gi", "_pi")
     context, path = F.col("group.context"), F.col("group.section_path")
     content = F.when(is_blank(context), F.col("draft.content")).otherwise(

@@ -8,15 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import splitters, urls as U
-from ..functions.embedders import HashingEmbedder, ModelEmbedder
-from ..functions.text import content_hash, is_blank, jtrim, norm_content, stable_id
-from ..functions.vectors import cosine, hashing_embedding
-from ..model import ChunkingConfig, Variant
+from ..functions.embedders import ModelEmbedder
+from ..functions.text import unnest
+from ..functions.vectors import cosine
 from ..operators import (chunking, conversations, crawl, discovery, duplicates, evaluation, inspection,
                          parsing, planning, ranking, structural, telemetry, vector_search)
 from ..operators.ann import ivf_search, train_cells
 from ..sources import readers, store as sinks
-from ..session import fresh_dir
+from ..session import fresh_dir, ship_package
 from ..streaming import jobs as streams
 from .tables import FIXED, RECURSIVE, SEMANTIC, TOKEN, VARIANTS, Tables
 
@@ -24,7 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(Tables(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -227,13 +230,13 @@ def page_blocks(t):
 
 @query
 def page_links(t):
-    return readers.read_pages(t.pages).select("page_id", F.posexplode("links").alias("pos", "link")).select(
+    return unnest(readers.read_pages(t.pages), ["page_id"], "links", "pos", "link").select(
         "page_id", *big("pos"), "link")
 
 
 @query
 def nav_links(t):
-    return readers.read_pages(t.pages).select("page_id", F.posexplode("nav_links").alias("pos", "link")).select(
+    return unnest(readers.read_pages(t.pages), ["page_id"], "nav_links", "pos", "link").select(
         "page_id", *big("pos"), "link")
 
 
@@ -276,14 +279,14 @@ def chunk_semantic(t):
 @query
 def densify(t):
     drafts = splitters.densify(splitters._plain(F.split(F.col("text"), "\n")))
-    return t.documents.select("doc_id", F.posexplode(drafts).alias("chunk_index", "d")).select(
+    return unnest(t.documents, ["doc_id"], drafts, "chunk_index", "d").select(
         "doc_id", *big("chunk_index"), F.col("d.content").alias("content"))
 
 
 @query
 def overlap_prefix(t):
     texts = splitters.overlap_prefix(F.split(F.col("text"), "\n"), 24)
-    return t.documents.select("doc_id", F.posexplode(texts).alias("pos", "content")).select(
+    return unnest(t.documents, ["doc_id"], texts, "pos", "content").select(
         "doc_id", *big("pos"), "content")
 
 
@@ -294,7 +297,7 @@ def _sectioned(t):
 
 
 def _groups(df):
-    return df.select("doc_id", F.posexplode("groups").alias("group_idx", "g")).select(
+    return unnest(df, ["doc_id"], "groups", "group_idx", "g").select(
         "doc_id", *big("group_idx"), F.col("g.text").alias("text"), F.col("g.content_type").alias("content_type"),
         F.col("g.context").alias("context"))
 
@@ -354,13 +357,12 @@ def _letters_model():
 def embed(t):
     """A Python model behind the embedder port: letter counts, 32 texts at a time."""
     e = ModelEmbedder(_letters_model, batch_size=32).embed(F.col("text"))
-    return t.documents.select("doc_id", e.alias("e")).select(
-        "doc_id", F.posexplode("e").alias("dim", "value")).select("doc_id", *big("dim"), F.col("value").cast("bigint").alias("value"))
+    return unnest(t.documents, ["doc_id"], e, "dim", "value").select("doc_id", *big("dim"), F.col("value").cast("bigint").alias("value"))
 
 
 @query
 def hashing_embedding_query(t):
-    v = t.store().select("chunk_id", F.posexplode("embedding").alias("dim", "value")).filter("value > 0")
+    v = unnest(t.store(), ["chunk_id"], "embedding", "dim", "value").filter("value > 0")
     return v.select("chunk_id", *big("dim"), F.col("value").cast("bigint").alias("value"))
 
 

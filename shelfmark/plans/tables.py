@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.embedders import HashingEmbedder
 from ..model import Variant
 from ..operators.chunking import chunk, embed_chunks
+from ..session import spread
 
 FIXED = Variant("fixed_512_128", "fixed", 512, 128)
 TOKEN = Variant("token_512_64", "token", 512, 64)
 RECURSIVE = Variant("recursive_512_64", "recursive", 512, 64)
 SEMANTIC = Variant("semantic_512_64", "semantic", 512, 64)
+# Tables whose rows are long texts, worth spreading before they are read.
+HEAVY = ("documents", "pages", "conversations")
 VARIANTS = (FIXED, TOKEN, RECURSIVE, SEMANTIC)
 
 
@@ -26,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in HEAVY else df
 
     def docs(self) -> DataFrame:
         """Documents with their columns as string metadata."""

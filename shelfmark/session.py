@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,37 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """Give a scan that has fewer splits than the cluster has cores enough partitions.
+
+    A table in one row group would otherwise keep one core busy with all its text. Only
+    such small inputs are shuffled: a scan with at least one split per core is returned
+    as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * per_core)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    Done once per Spark context; not needed when the package is installed on every
+    machine or given with ``--py-files``.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "shelfmark.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._shelfmark_shipped = True

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.text import is_blank, jtrim, map_merge, stable_id
+from ..functions.text import is_blank, jtrim, map_merge, stable_id, unnest
 from ..operators.parsing import BLOCKS, _batched, _block, web_page
 from ..model import BLOCK_TYPES
 
@@ -112,10 +112,8 @@ def flatten_catalog(bodies: DataFrame, body: str = "body") -> DataFrame:
 def read_sitemaps(bodies: DataFrame) -> DataFrame:
     """``url, is_index, pos, loc`` from sitemap bodies; unsound XML gives no row."""
     parsed = _batched("struct<is_index:boolean,locs:array<string>>", markup.sitemap)(F.col("body"))
-    return (
-        bodies.select("url", parsed.alias("s")).filter(F.col("s").isNotNull())
-        .select("url", F.col("s.is_index").alias("is_index"), F.posexplode("s.locs").alias("pos", "loc"))
-    )
+    return unnest(
+        bodies.select("url", parsed.alias("s")), ["url", F.col("s.is_index").alias("is_index")], "s.locs", "pos", "loc")
 
 
 def robots_rules(body: Column) -> Column:
@@ -145,5 +143,5 @@ def read_robots(bodies: DataFrame) -> DataFrame:
     The agent a rule belongs to depends on the lines before it, so each body is folded
     inside its row.
     """
-    return bodies.select("host", F.posexplode(robots_rules(F.col("body"))).alias("pos", "_r")).select(
+    return unnest(bodies, ["host"], robots_rules(F.col("body")), "pos", "_r").select(
         "host", F.col("_r.kind").alias("kind"), "pos", F.col("_r.value").alias("value"))

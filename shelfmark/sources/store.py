@@ -24,13 +24,21 @@ def latest_by_id(rows: DataFrame, sequence: str = "seq") -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", sequence)
 
 
+def _one_per_id(rows: DataFrame) -> DataFrame:
+    """The newest row per chunk id when rows carry a sequence, else any one of equal rows."""
+    if "seq" in rows.columns:
+        return latest_by_id(rows, "seq")
+    first = Window.partitionBy("chunk_id").orderBy("doc_id")
+    return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+
+
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     """``stored`` with ``new`` inserted, or replacing rows of equal chunk id.
 
     Replaced rows leave by an anti join on the id, which Spark broadcasts when the new
     batch is small, so a large store is neither sorted nor shuffled for a small update.
     """
-    fresh = latest_by_id(new, "seq") if "seq" in new.columns else new.dropDuplicates(["chunk_id"])
+    fresh = _one_per_id(new)
     return stored.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(
         fresh, allowMissingColumns=True)
 
@@ -88,11 +96,14 @@ class ChunkStore:
     def upsert(self, chunks: DataFrame, module: str = "basic") -> None:
         new = self._place(with_store_metadata(chunks).withColumn("module", F.lit(module)))
         if not self.exists():
-            self._write(latest_by_id(new, "seq") if "seq" in new.columns else new.dropDuplicates(["chunk_id"]))
+            self._write(_one_per_id(new))
             return
         new = materialize(new, "upsert")
         touched = new.select(*PARTITIONS).distinct()
         old = self.read().join(F.broadcast(touched), PARTITIONS, "left_semi")
+        if old.isEmpty():
+            self._write(_one_per_id(new))
+            return
         # The result is written elsewhere first: a partition cannot be read while replaced.
         self._write(materialize(upsert(old, new), "merged"))
 
