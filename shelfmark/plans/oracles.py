@@ -567,6 +567,26 @@ f AS (SELECT host, arg_min(url, page_id) AS url FROM k GROUP BY host),
 r AS (SELECT host, '/' || string_split(url, '/')[4] || '/' AS rule FROM f)
 SELECT k.page_id, k.url FROM k JOIN r USING (host) WHERE NOT starts_with(regexp_replace(path, '(.)/$', '\\1'), rule)"""
 
+# Every page is listed by a sitemap of its own, so all that are in scope of their site remain.
+O["expand_sitemaps"] = f"""WITH {CANON},
+named AS (SELECT origin || '/' AS start, origin, host, path, min(page_id) AS page_id,
+    origin || slim || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END AS url FROM canon
+  WHERE NOT regexp_matches(path, '/search|/login|/signin|/logout|/cart|/feed|/print/|/cdn-cgi/')
+    AND (NOT contains(regexp_extract(path, '[^/]*$'), '.') OR regexp_matches(path, '\\.(html|htm|xhtml)$')) GROUP BY ALL),
+fam AS (SELECT start, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS p, host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda s: s <> '' AND
+   NOT regexp_full_match(lower(s), 'rc\\d*|alpha|beta|snapshot|nightly|dev|next|latest|stable|current|main|master|v?\\d[\\w.-]*')), '/') AS family FROM named)
+SELECT DISTINCT ON (start, family) start, url FROM fam ORDER BY start, family, length(p), p, url"""
+
+O["discover"] = r"""WITH hr AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin,
+    regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)"', 1) AS h FROM pages),
+l AS (SELECT DISTINCT origin || '/p' || page_id || '.html' AS start, origin || unnest(h) AS url FROM hr),
+ok AS (SELECT start, url FROM l WHERE NOT contains(regexp_extract(url, '[^/]*$'), '.')
+   AND NOT regexp_matches(lower(url), '^[a-z]+://[^/]+.*(/search|/login|/signin|/logout|/cart|/feed|/print/|/cdn-cgi/)')),
+f AS (SELECT DISTINCT ON (start, fam) start, url FROM (SELECT *, CASE WHEN regexp_full_match(lower(regexp_extract(url, '[^/]*$')),
+   'rc\d*|alpha|beta|snapshot|nightly|dev|next|latest|stable|current|main|master|v?\d[\w.-]*') THEN '' ELSE url END AS fam FROM ok)
+   ORDER BY start, fam, length(url), url)
+SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f QUALIFY position <= 5"""
+
 O["rank_links"] = f"""WITH {URLS},
 s AS (SELECT origin || '/' AS start, url AS link, page_id,
   (2 * (contains(lower(url), 'example')::INT + contains(lower(url), 'farm')::INT + contains(lower(url), 'pills')::INT + contains(lower(url), 'blog')::INT))::BIGINT AS score FROM k)
