@@ -122,8 +122,8 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> D
         "start", "loc", F.col("_f.path").alias("path"), F.col("_f.root").alias("root"))
     # A candidate is only tried while fewer than MAX_SITEMAPS were read before it.
     before = Window.partitionBy("start").orderBy("path", "loc")
-    roots = first.withColumn("_before", F.row_number().over(before) - 1).groupBy("start", "root").agg(
-        F.min("_before").alias("_before")).filter(F.col("_before") < MAX_SITEMAPS).select("start", "root")
+    roots = first.withColumn("_nth", F.row_number().over(before)).filter(
+        F.col("_nth") <= MAX_SITEMAPS).select("start", "root").distinct()
     valid = found.join(
         first.select("start", F.col("loc").alias("parent"), F.col("path").alias("parent_path")),
         ["start", "parent", "parent_path"], "left_semi").join(roots, ["start", "root"], "left_semi")

@@ -50,34 +50,28 @@ def plan_steps(questions: DataFrame, max_steps: int = DEFAULT_MAX_STEPS) -> Data
     )
 
 
-def _step_hits(steps: DataFrame, chunks: DataFrame, k: int, embedder, n_questions) -> DataFrame:
-    asked = steps.select(
-        F.struct("query_id", "step").alias("_key"), "subquery"
-    ).select(
-        F.to_json("_key").alias("query_id"), "_key", (embedder or HashingEmbedder()).embed(F.col("subquery")).alias("embedding"),
-    )
-    hits = search(asked.select("query_id", "embedding"), chunks, k, ["doc_id"], n_questions)
+def _step_hits(steps: DataFrame, chunks: DataFrame, k: int, embedder) -> DataFrame:
+    key = F.struct("query_id", "step")
+    vector = (embedder or HashingEmbedder()).embed(F.col("subquery"))
+    asked = steps.select(F.to_json(key).alias("query_id"), key.alias("_key"), vector.alias("embedding"))
+    hits = search(asked.select("query_id", "embedding"), chunks, k)
     keys = asked.select("query_id", F.col("_key.query_id").alias("_q"), F.col("_key.step").alias("step"))
     return hits.join(keys, "query_id").drop("query_id").withColumnRenamed("_q", "query_id")
 
 
 def multi_step_search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
-                      max_steps: int = DEFAULT_MAX_STEPS, embedder=None,
-                      n_questions: int | None = None) -> DataFrame:
+                      max_steps: int = DEFAULT_MAX_STEPS, embedder=None) -> DataFrame:
     """Hits of the first step that found anything, per question.
 
     All steps of all questions are searched together, so the store is scanned once.
     """
-    bound = None if n_questions is None else n_questions * max_steps
-    found = _step_hits(plan_steps(questions, max_steps), chunks, k, embedder, bound)
+    found = _step_hits(plan_steps(questions, max_steps), chunks, k, embedder)
     first = F.min("step").over(Window.partitionBy("query_id"))
     return found.withColumn("_first", first).filter(F.col("step") == F.col("_first")).drop("_first")
 
 
 def gather_sources(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
-                   max_steps: int = DEFAULT_MAX_STEPS, embedder=None,
-                   n_questions: int | None = None) -> DataFrame:
+                   max_steps: int = DEFAULT_MAX_STEPS, embedder=None) -> DataFrame:
     """Sources of every planned part, each chunk once where it first arrived."""
     steps = plan_subqueries(questions).filter(F.col("step") < max_steps)
-    bound = None if n_questions is None else n_questions * max_steps
-    return merge_sources(_step_hits(steps, chunks, k, embedder, bound))
+    return merge_sources(_step_hits(steps, chunks, k, embedder))

@@ -11,25 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, map_merge, norm_content, word_tokens
-from .vector_search import DEFAULT_K, MAX_BLOCK_ROWS, fetch_size, fetch_size_column, knn
+from .vector_search import (DEFAULT_K, MAX_BLOCK_ROWS, MAX_FETCH, fetch_size, fetch_size_column, knn, max_hits,
+                            question_table)
 
 # Fixed values of the scoring formulas.
 BM25_K1, BM25_B, BM25_DELTA = 1.2, 0.75, 0.5
 RRF_K = 60
 CANDIDATE_FACTOR = 4
-BROADCAST_HITS = MAX_BLOCK_ROWS * 256
+BROADCAST_HITS = MAX_BLOCK_ROWS * MAX_FETCH
 CONTEXT_SEPARATOR = "\n---\n"
 NO_CONTEXT = "(no context retrieved)"
 
 
-def attach(hits: DataFrame, chunks: DataFrame, columns: list[str], max_hits: int | None = None) -> DataFrame:
+def attach(hits: DataFrame, chunks: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
     """Fetch chunk columns for hits.
 
-    When ``max_hits`` proves the hits small they are broadcast, so the store is read
+    When ``most``, the number of hits there can be, proves the hits small they are broadcast, so the store is read
     once, column-pruned and unshuffled; otherwise Spark picks the join.
     """
     small = hits
-    if max_hits is not None and max_hits <= BROADCAST_HITS:
+    if most is not None and most <= BROADCAST_HITS:
         small = F.broadcast(hits)
     return chunks.select("chunk_id", *columns).join(small, "chunk_id")
 
@@ -48,7 +49,7 @@ def dedup_hits(hits: DataFrame, k: int | Column) -> DataFrame:
 
 
 def search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
-           columns: list[str] | None = None, n_questions: int | None = None) -> DataFrame:
+           columns: list[str] | None = None) -> DataFrame:
     """Over-fetch, drop repeated texts, keep ``k``: ``query_id, chunk_id, score, rank, ...``.
 
     A ``k`` column on the questions sets a limit per question, null meaning the default;
@@ -61,10 +62,11 @@ def search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
         q = q.withColumn("scope", F.when(F.trim("scope") != "", F.col("scope")))
     if own:
         q = q.withColumn("_limit", F.coalesce("k", F.lit(k))).withColumn("k", fetch_size_column(F.col("_limit")))
-    hits = knn(q, chunks, fetch_size(k))
+    table = question_table(q)
+    hits = knn(q, chunks, fetch_size(k), table=table)
     if own:
         hits = hits.join(q.select("query_id", "_limit"), "query_id")
-    found = attach(hits, chunks, columns, None if n_questions is None else n_questions * fetch_size(k))
+    found = attach(hits, chunks, columns, max_hits(table, fetch_size(k)))
     return dedup_hits(found, F.col("_limit") if own else k).drop("_limit")
 
 
@@ -165,15 +167,14 @@ def fuse(candidates: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K, *,
-                  where: Mapping[str, object] | None = None,
-                  n_questions: int | None = None) -> DataFrame:
+                  where: Mapping[str, object] | None = None) -> DataFrame:
     """Vector candidates, metadata filter, then BM25 fused in by reciprocal rank.
 
     The filter runs after the vector fetch, so it never widens the candidates. Ask with
     a ``scope`` column to confine a question to one document.
     """
     columns = ["doc_id", "chunk_index"] + (["metadata"] if "metadata" in chunks.columns else [])
-    found = search(questions.drop("k"), chunks, k * CANDIDATE_FACTOR, columns, n_questions)
+    found = search(questions.drop("k"), chunks, k * CANDIDATE_FACTOR, columns)
     return fuse(metadata_filter(found, where) if where else found, questions, k)
 
 

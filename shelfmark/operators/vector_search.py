@@ -34,6 +34,7 @@ SCORE_DIGITS = 9
 OVERFETCH = 4
 MAX_FETCH = 256
 DEFAULT_K = 5
+OPTIONS = ("k", "scope", "cells")
 _SLICE = 256
 
 
@@ -204,16 +205,31 @@ def bounded_table(df: DataFrame, max_rows: int = MAX_BLOCK_ROWS,
     return table
 
 
-def knn(questions: DataFrame, chunks: DataFrame, k: int, *,
-        max_block_rows: int = MAX_BLOCK_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def question_table(questions: DataFrame, max_rows: int = MAX_BLOCK_ROWS) -> pa.Table | None:
+    """The questions as one bounded block, or None when there are too many."""
+    optional = [c for c in OPTIONS if c in questions.columns]
+    rows = questions.select("query_id", "embedding", *optional).filter(F.col("embedding").isNotNull())
+    return bounded_table(rows, max_rows)
+
+
+def max_hits(table: pa.Table | None, k: int) -> int | None:
+    """The most hits a block of questions can have, or None when it has no bound."""
+    if table is None:
+        return None
+    return int(QuestionBlock.from_table(table, k).limits.clip(0).sum())
+
+
+def knn(questions: DataFrame, chunks: DataFrame, k: int, *, max_block_rows: int = MAX_BLOCK_ROWS,
+        tile_rows: int = TILE_ROWS, table: pa.Table | None = None) -> DataFrame:
     """Best ``k`` chunks per question: ``query_id, chunk_id, score, rank``.
 
     ``questions`` has ``query_id`` and ``embedding``, and may have ``k`` (a limit of its
     own, null for the default), ``scope`` (a document id it is confined to) and
     ``cells`` (partition numbers it probes, matched with the chunks' ``cell``).
-    ``chunks`` has ``chunk_id``, ``embedding`` and what those options refer to.
+    ``chunks`` has ``chunk_id``, ``embedding`` and what those options refer to. A caller
+    that already holds :func:`question_table` passes it as ``table``.
     """
-    optional = [c for c in ("k", "scope", "cells") if c in questions.columns]
+    optional = [c for c in OPTIONS if c in questions.columns]
     questions = questions.select("query_id", "embedding", *optional).filter(F.col("embedding").isNotNull())
     wanted = ["chunk_id", "embedding"]
     if "scope" in optional:
@@ -225,7 +241,7 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, *,
     if k <= 0 and "k" not in optional:
         return chunks.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
 
-    table = bounded_table(questions, max_block_rows)
+    table = table if table is not None else question_table(questions, max_block_rows)
     if table is not None:
         partial = _scan_with_block(chunks, QuestionBlock.from_table(table, k), schema)
     else:

@@ -29,9 +29,6 @@ FIXED_DRAFTS = f"""list_transform(range(0, length(text), 384), lambda s:
 FIXED = chunk_rows("fixed_512_128", FIXED_DRAFTS)
 
 TOKENS = f"list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda t: t <> '')"
-TOKEN_DRAFTS = f"""list_transform(range(0, len({TOKENS}), 112), lambda s:
-  {{'c': array_to_string(list_slice({TOKENS}, s + 1, s + 128), ' '),
-    'n': least(128, len({TOKENS}) - s)}})"""
 # The token list is bound by a subquery, since a lambda would split the text for every window.
 TOKEN = f"""
 toks AS (SELECT doc_id, lang, source, text, {TOKENS} AS t FROM documents WHERE regexp_matches(text, '\\S')),
@@ -44,19 +41,6 @@ tchunks AS (
   FROM (SELECT doc_id, lang, source, unnest(ds) AS d, generate_subscripts(ds, 1) AS i FROM tokdrafts))"""
 
 
-def packed(parts: str, sep: str, size: int) -> str:
-    """Greedy packing of a list of texts by a fold, the separator being an SQL expression."""
-    return f"""(SELECT CASE WHEN f.cur = '' THEN f.out ELSE list_append(f.out, f.cur) END FROM (SELECT list_reduce(
-      list_transform({parts}, lambda q: {{'p': q, 'cur': '', 'out': []::VARCHAR[]}}),
-      lambda a, x: CASE
-        WHEN length(a.cur) + length(x.p) + CASE WHEN a.cur = '' THEN 0 ELSE length({sep}) END <= {size}
-          THEN {{'p': '', 'cur': CASE WHEN a.cur = '' THEN x.p ELSE a.cur || {sep} || x.p END, 'out': a.out}}
-        WHEN length(x.p) > {size}
-          THEN {{'p': '', 'cur': '', 'out': list_append(CASE WHEN a.cur = '' THEN a.out ELSE list_append(a.out, a.cur) END, x.p)}}
-        ELSE {{'p': '', 'cur': x.p, 'out': list_append(a.out, a.cur)}} END,
-      {{'p': '', 'cur': '', 'out': []::VARCHAR[]}}) AS f))"""
-
-
 def recursive_ctes(size: int, overlap: int) -> str:
     """One unnest, fold and regroup per separator; pieces keep their order by a path."""
     seps = ["chr(10) || chr(10)", "chr(10)", "'. '", "'? '", "'! '", "' '"]
@@ -96,10 +80,6 @@ rchunks AS (
 RECURSIVE = recursive_ctes(512, 64)
 
 
-def vector_of(tokens: str) -> str:
-    return f"""list_transform(range(0, 64), lambda b: len(list_filter({tokens}, lambda t: t = b))::DOUBLE)"""
-
-
 BUCKETS = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda t: (('0x' || left(md5(t), 8))::BIGINT % 64))"
 
 
@@ -209,8 +189,6 @@ jblocks AS (
   SELECT doc_id, 3, 0, '{"last":' || n_chars || '}', '', '$' FROM jraw),
 jnum AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::BIGINT AS block_idx FROM jblocks)"""
 
-HALF = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
-
 O: dict[str, str] = {}
 
 O["read_documents"] = f"""
@@ -587,10 +565,10 @@ f AS (SELECT DISTINCT ON (start, fam) start, url FROM (SELECT *, CASE WHEN regex
    ORDER BY start, fam, length(url), url)
 SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f QUALIFY position <= 5"""
 
-O["rank_links"] = f"""WITH {URLS},
-s AS (SELECT origin || '/' AS start, url AS link, page_id,
-  (2 * (contains(lower(url), 'example')::INT + contains(lower(url), 'farm')::INT + contains(lower(url), 'pills')::INT + contains(lower(url), 'blog')::INT))::BIGINT AS score FROM k)
-SELECT start, link, score, row_number() OVER (PARTITION BY start ORDER BY score DESC, page_id) AS rank FROM s"""
+O["rank_links"] = f"""WITH {NAV},
+s AS (SELECT page_id, pos::BIGINT AS pos, link, (2 * (contains(lower(link), 'that')::INT + contains(lower(link), 'other')::INT
+   + contains(lower(link), 'there')::INT))::BIGINT AS score FROM resolved)
+SELECT page_id, link, pos, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM s"""
 
 O["top_links"] = f"""WITH {NAV}, {URLS},
 s AS (SELECT page_id, pos, link, (CASE WHEN starts_with(lower(link), 'http') THEN 0 ELSE 1 END
@@ -627,8 +605,6 @@ a AS (SELECT 'whole' AS method, round(found / got, 6) AS p, round(found / total,
       UNION ALL SELECT 'scoped', 1.0, round(found / total, 6), 1.0 FROM sp)
 SELECT method, round(avg(p), 6) AS precision_at_k, round(avg(r), 6) AS recall_at_k, round(avg(m), 6) AS mrr FROM a GROUP BY method"""
 
-RATES = """
-slots AS (SELECT event_type, value, epoch(ts)::BIGINT // 60 * 60 - 60 * unnest(range(0, 5)) AS window_start FROM events)"""
 O["event_rates"] = """WITH slots AS (SELECT event_type, value, (floor(epoch(ts))::BIGINT // 60) * 60 - 60 * unnest(range(0, 5)) AS window_start FROM events)
 SELECT window_start::BIGINT AS window_start, event_type, count(*) AS events, round(count(*) / 300, 9) AS rate, round(sum(value) / 300, 6) AS value_rate
 FROM slots GROUP BY ALL"""

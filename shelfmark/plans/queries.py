@@ -402,7 +402,7 @@ def fetch_size(t):
 
 
 def _search(t, k, **kw):
-    return ranking.search(t.asked(), t.store(), k, n_questions=vector_search.MAX_BLOCK_ROWS, **kw)
+    return ranking.search(t.asked(), t.store(), k, **kw)
 
 
 @query
@@ -438,8 +438,7 @@ def rrf(t):
 
 @query
 def hybrid_search(t):
-    hits = ranking.hybrid_search(t.asked(), t.store(), 5, where={"lang": "en"},
-                                 n_questions=vector_search.MAX_BLOCK_ROWS)
+    hits = ranking.hybrid_search(t.asked(), t.store(), 5, where={"lang": "en"})
     return hits.select("query_id", "chunk_id", *big("rank"), "fused")
 
 
@@ -468,13 +467,13 @@ def plan_subqueries(t):
 
 @query
 def multi_step_search(t):
-    found = planning.multi_step_search(t.questions(), t.store(), 3, n_questions=vector_search.MAX_BLOCK_ROWS)
+    found = planning.multi_step_search(t.questions(), t.store(), 3)
     return _hits(found, *big("step"))
 
 
 @query
 def merge_sources(t):
-    merged = planning.gather_sources(t.questions(), t.store(), 3, n_questions=vector_search.MAX_BLOCK_ROWS)
+    merged = planning.gather_sources(t.questions(), t.store(), 3)
     return merged.select("query_id", "chunk_id", *big("step", "rank", "position"))
 
 
@@ -488,7 +487,7 @@ def build_context(t):
 def search_with_default_k(t):
     asked = t.vector_questions().withColumn("k", F.when(F.col("label") < 5, F.col("label")))
     named = t.vectors().withColumn("content", F.concat(F.lit("Text "), F.col("chunk_id")))
-    return _hits(ranking.search(asked, named, n_questions=vector_search.MAX_BLOCK_ROWS))
+    return _hits(ranking.search(asked, named))
 
 
 # Inspection
@@ -723,8 +722,9 @@ def discover(t):
 
 @query
 def rank_links(t):
-    links = t.page_urls().select("start", "pos", F.col("url").alias("link"), F.lit("Example farm PILLS blog").alias("question"))
-    return discovery.rank_links(links, ["start"]).select("start", "link", *big("score", "rank"))
+    links = unnest(readers.read_pages(t.pages), ["page_id"], "links", "pos", "link").withColumn(
+        "question", F.lit("That other THERE or"))
+    return discovery.rank_links(links, ["page_id"]).select("page_id", "link", *big("pos", "score", "rank"))
 
 
 @query
