@@ -578,6 +578,20 @@ t AS (SELECT url_key, arg_min(page_id, url) AS target_id FROM k GROUP BY url_key
 SELECT b.page_id, b.rank, b.link, b.score, t.target_id FROM b
 LEFT JOIN t ON t.url_key = regexp_replace(regexp_extract(b.link, '^[a-z]+://([^?#]*)', 1), '(.)/$', '\\1')"""
 
+# A queue visits nodes in the order of their smallest path: shorter first, then by link position.
+O["crawl_bfs"] = f"""WITH RECURSIVE {URLS},
+wanted AS (SELECT url, unnest([page_id + 1, page_id * 2, page_id * 3 + 1]) AS target, unnest([0, 1, 2]) AS slot FROM pages),
+lk AS (SELECT w.url, p.url AS link, row_number() OVER (PARTITION BY w.url ORDER BY slot, p.url) AS pos FROM wanted w JOIN pages p ON p.page_id = w.target),
+nodes AS (SELECT url_key, min(url) AS url FROM k GROUP BY url_key),
+e AS (SELECT DISTINCT n.url_key AS src, t.url_key AS dst, lk.pos FROM nodes n JOIN lk ON lk.url = n.url JOIN k t ON t.url = lk.link),
+paths AS (
+  SELECT url AS session, url_key AS key, [0]::BIGINT[] AS path FROM k
+  UNION ALL
+  SELECT p.session, e.dst, list_concat([p.path[1] + 1], list_append(p.path[2:], e.pos)) FROM paths p JOIN e ON e.src = p.key WHERE p.path[1] < 3),
+firsts AS (SELECT session, key, min(path) AS path FROM paths GROUP BY ALL)
+SELECT f.session, n.url, f.path[1] AS level, row_number() OVER (PARTITION BY f.session ORDER BY f.path) AS visit, true AS ingested
+FROM firsts f JOIN nodes n ON n.url_key = f.key QUALIFY visit <= 4"""
+
 O["list_conversations"] = """SELECT conv_id, coalesce(t, 'New conversation') AS title, n AS messages FROM (
   SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS t, count(*) AS n FROM conversations GROUP BY conv_id)"""
 
