@@ -236,6 +236,63 @@ O["json_blocks"] = """SELECT event_id AS doc_id, 0::BIGINT AS block_idx, 'JSON_O
 O["json_document_blocks"] = f"""WITH {JSON_LINES}
 SELECT doc_id, block_idx, 'JSON_OBJECT' AS type, content, section, json_path FROM jnum"""
 
+O["markdown_blocks"] = f"""WITH b AS (
+  SELECT conv_id, turn, 0 AS i, 'HEADING' AS type, 'Turn' AS content, 'Turn' AS section FROM conversations
+  UNION ALL SELECT conv_id, turn, 1, 'HEADING', role, 'Turn > ' || role FROM conversations
+  UNION ALL SELECT conv_id, turn, 2, 'PARAGRAPH', array_to_string(list_transform(string_split(trim(text, {WS}), chr(10)), lambda l: trim(l, {WS})), chr(10)),
+    'Turn > ' || role FROM conversations WHERE regexp_matches(text, '\\S'))
+SELECT conv_id AS doc_id, turn, i::BIGINT AS block_idx, type, content, section FROM b"""
+
+PAGE = r"""
+praw AS (SELECT page_id, url, 0 AS a, 0 AS b, 'TITLE' AS type, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS x FROM pages
+  UNION ALL SELECT page_id, url, 1, 0, 'PARAGRAPH', regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') FROM pages
+  UNION ALL SELECT page_id, url, 2, 0, 'HEADING', regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') FROM pages
+  UNION ALL SELECT page_id, url, 3, i, 'PARAGRAPH', split_part(p, '</p>', 1) FROM (
+    SELECT page_id, url, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+      SELECT page_id, url, string_split(split_part(split_part(html, '</h1>', 2), '</article>', 1), '<p>')[2:] AS ps FROM pages))),
+ptext AS (SELECT page_id, url, a, b, type, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+    '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '[ \t\n\f\r]+', ' ', 'g')) AS content FROM praw),
+pblocks AS (SELECT page_id, url, (row_number() OVER (PARTITION BY page_id ORDER BY a, b) - 1)::BIGINT AS block_idx, type, content,
+   CASE WHEN a >= 2 THEN coalesce(max(CASE WHEN a = 2 THEN content END) OVER (PARTITION BY page_id), '') ELSE '' END AS section
+   FROM ptext WHERE content <> '')"""
+O["page_blocks"] = f"WITH {PAGE} SELECT page_id AS doc_id, block_idx, type, content, section FROM pblocks"
+O["page_to_document"] = f"""WITH {PAGE}
+SELECT page_id AS doc_id, 'HTML' AS source_type, url AS source, max(content) FILTER (type = 'TITLE') AS title, count(*) AS blocks FROM pblocks GROUP BY page_id, url"""
+
+ENTITIES = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+
+# The same blocks with their place in the page, and the footer, which only the crawler skips.
+HTML_ALL = f"""{PAGE},
+foot AS (SELECT page_id, trim(regexp_replace({ENTITIES.format("regexp_replace(regexp_extract(html, '<footer>(.*?)</footer>', 1, 's'), '<[^>]*>', '', 'g')")},
+   '[ \\t\\n\\f\\r]+', ' ', 'g')) AS content FROM pages),
+kids AS (SELECT page_id, count(*) AS n FROM praw WHERE a = 3 GROUP BY page_id),
+al AS (SELECT p.page_id, p.a, p.b, p.type, p.content, CASE WHEN a >= 2 THEN (SELECT h.content FROM ptext h WHERE h.page_id = p.page_id AND h.a = 2) ELSE '' END AS section,
+   CASE a WHEN 0 THEN NULL WHEN 1 THEN 'html > body > div.ad' WHEN 2 THEN 'html > body > article > h1'
+     ELSE 'html > body > article > p' || CASE WHEN kids.n > 1 THEN ':nth-child(' || (b + 1) || ')' ELSE '' END END AS dom_path
+   FROM ptext p LEFT JOIN kids ON kids.page_id = p.page_id WHERE content <> ''
+   UNION ALL SELECT page_id, 4, 0, 'PARAGRAPH', content, '', 'html > body > footer' FROM foot WHERE content <> '')"""
+O["html_blocks"] = f"""WITH {HTML_ALL}
+SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY a, b) - 1)::BIGINT AS block_idx, type, content, section,
+  NULL::INTEGER AS page, dom_path FROM al"""
+
+O["dispatch_parse"] = f"""WITH {HTML_ALL}, b AS (
+  SELECT 'page-' || page_id AS doc_id, 'HTML' AS source_type, length(content) AS n FROM al
+  UNION ALL SELECT 'event-' || event_id, 'JSON', length('{{"k":' || (props::JSON ->> '$.k') || '}}') FROM events
+  UNION ALL SELECT 'turn-' || conv_id || '-' || turn, 'MARKDOWN', length(role) FROM conversations
+  UNION ALL SELECT 'turn-' || conv_id || '-' || turn, 'MARKDOWN', length(array_to_string(list_transform(string_split(trim(text, {WS}), chr(10)), lambda l: trim(l, {WS})), chr(10)))
+    FROM conversations WHERE regexp_matches(text, '\\S')
+  UNION ALL SELECT 'doc-' || doc_id, 'TEXT', length(text) FROM documents WHERE regexp_matches(text, '\\S'))
+SELECT doc_id, source_type, count(*) AS blocks, (sum(n) + 2 * (count(*) - 1))::BIGINT AS chars FROM b GROUP BY doc_id, source_type"""
+
+O["read_pages"] = f"""WITH {PAGE}, {NAV},
+body AS (SELECT page_id, trim(regexp_replace({ENTITIES.format("regexp_replace(regexp_replace(regexp_replace(html, '<style>.*?</style>|<script>.*?</script>|<!--.*?-->', '', 'gs'), '</?(p|h1|div|article|nav|ul|li|footer|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')")},
+   '[ \\t\\n\\f\\r]+', ' ', 'g')) AS t FROM pages)
+SELECT p.page_id, p.url, (SELECT max(content) FROM pblocks b WHERE b.page_id = p.page_id AND b.type = 'TITLE') AS title,
+  length(body.t)::BIGINT AS text_chars, (SELECT count(*) FROM resolved r WHERE r.page_id = p.page_id) AS links,
+  (SELECT count(DISTINCT link) FROM resolved r WHERE r.page_id = p.page_id) AS nav_links,
+  (SELECT count(*) FROM pblocks b WHERE b.page_id = p.page_id) AS blocks
+FROM pages p JOIN body ON body.page_id = p.page_id"""
+
 O["heuristic_headings"] = f"""WITH {LINES}
 SELECT doc_id, (i - 1)::BIGINT AS block_idx, CASE WHEN is_head THEN 'HEADING' ELSE 'PARAGRAPH' END AS type, l AS content, section
 FROM sectioned"""

@@ -56,15 +56,16 @@ def read_documents(t):
 @query
 def read_pages(t):
     return readers.read_pages(t.pages).select(
-        "page_id", "url", "title", F.length("text").alias("text_chars"), F.size("links").alias("links"),
-        F.size("nav_links").alias("nav_links"), F.size("blocks").alias("blocks"))
+        "page_id", "url", "title", *[n.cast("bigint").alias(a) for a, n in (
+            ("text_chars", F.length("text")), ("links", F.size("links")), ("nav_links", F.size("nav_links")),
+            ("blocks", F.size("blocks")))])
 
 
 @query
 def page_to_document(t):
     docs = readers.page_to_document(readers.read_pages(t.pages))
     return docs.select("doc_id", "source_type", F.col("metadata")["source"].alias("source"),
-                       F.col("metadata")["title"].alias("title"), F.size("blocks").alias("blocks"))
+                       F.col("metadata")["title"].alias("title"), F.size("blocks").cast("bigint").alias("blocks"))
 
 
 @query
@@ -163,8 +164,8 @@ def _mixed(t):
 @query
 def dispatch_parse(t):
     ok, rejected = parsing.reject_empty(parsing.parse(_mixed(t)))
-    return ok.select("doc_id", "source_type", F.size("blocks").alias("blocks"),
-                     F.length(parsing.text_of(F.col("blocks"))).alias("chars"))
+    return ok.select("doc_id", "source_type", F.size("blocks").cast("bigint").alias("blocks"),
+                     F.length(parsing.text_of(F.col("blocks"))).cast("bigint").alias("chars"))
 
 
 @query
