@@ -8,8 +8,6 @@ never need a shuffle; :func:`explode_blocks` gives the flat table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -175,7 +173,7 @@ def _batched(returns: str, read):
     @F.arrow_udf(returns)
     def run(*columns: pa.Array) -> pa.Array:
         rows = zip(*[c.to_pylist() for c in columns])
-        values = [_as_arrow(read(*[x or "" for x in row])) for row in rows]
+        values = [None if row[0] is None else _as_arrow(read(*[x or "" for x in row])) for row in rows]
         return pa.array(values, type=arrow_type)
 
     # A reader is worth running once: marked so, it is not copied below filters that use
@@ -265,27 +263,26 @@ def parse(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", metada
     """Blocks of every document by its detected format.
 
     Binary formats have no reader here, and unknown ones are taken as plain text. A
-    document that its reader rejects has null ``blocks`` and a ``reject_reason``. Each
-    format is its own filtered branch, so only HTML and Markdown rows visit Python.
+    document that its reader rejects has null ``blocks`` and a ``reject_reason``. The
+    input is read once: every reader sees its own documents and nulls for the others.
     """
     base = with_text_content(detect_format(docs, metadata, raw), text, raw)
     content = F.coalesce(F.col(text), F.lit(""))
-    readers = {
-        "JSON": ("JSON", json_blocks(content)),
-        "MARKDOWN": ("MARKDOWN", markdown_blocks(content)),
-        "HTML": ("HTML", html_blocks(content)),
-        None: ("TEXT", plain_blocks(content)),
-    }
-    named = [k for k in readers if k]
-    branches = []
-    for key, (source_type, blocks) in readers.items():
-        rows = base.filter(F.col("format") == key if key else ~F.col("format").isin(*named))
-        branches.append(rows.select(
-            F.col(doc_id).alias("doc_id"), F.lit(source_type).alias("source_type"),
-            map_merge(F.coalesce(F.col(metadata), F.expr("cast(map() as map<string,string>)")),
-                      F.create_map(F.lit("format"), F.lit(source_type))).alias("metadata"),
-            blocks.alias("blocks"), *keep))
-    return reduce(DataFrame.unionByName, branches).withColumn(
+    of = lambda name: F.when(F.col("format") == name, content)
+    source_type = F.when(F.col("format").isin("JSON", "MARKDOWN", "HTML"), F.col("format")).otherwise("TEXT")
+    read = base.select(
+        F.col(doc_id).alias("doc_id"), source_type.alias("source_type"), content.alias("_text"),
+        map_merge(F.coalesce(F.col(metadata), F.expr("cast(map() as map<string,string>)")),
+                  F.create_map(F.lit("format"), source_type)).alias("metadata"), *keep,
+        html_blocks(of("HTML")).alias("_html"), _batched(_MARKDOWN, markup.markdown)(of("MARKDOWN")).alias("_md"))
+    kind = F.col("source_type")
+    blocks = (
+        F.when(kind == "JSON", json_blocks(F.col("_text")))
+        .when(kind == "HTML", F.col("_html"))
+        .when(kind == "MARKDOWN", with_sections(F.col("_md")))
+        .otherwise(plain_blocks(F.col("_text")))
+    )
+    return read.select("doc_id", "source_type", "metadata", blocks.alias("blocks"), *keep).withColumn(
         "reject_reason",
         F.when(F.col("blocks").isNull(), F.concat(
             F.lit("Failed to parse "), F.col("source_type"), F.lit(" document "), F.col("doc_id").cast("string"))))

@@ -132,11 +132,10 @@ def with_groups(parsed: DataFrame, variant: Variant, config: ChunkingConfig | No
     """Add ``groups`` by the rule of each document's format."""
     config = config or ChunkingConfig()
     limit = config.effective_max_chars(variant.size)
-    json = parsed.filter(F.col("source_type") == "JSON").withColumn(
-        "groups", group_json(F.col("blocks"), config, limit))
-    rest = parsed.filter(F.col("source_type") != "JSON").withColumn(
-        "groups", group_sections(F.col("blocks"), config, limit))
-    return json.unionByName(rest)
+    blocks = F.col("blocks")
+    return parsed.withColumn("groups", F.when(
+        F.col("source_type") == "JSON", group_json(blocks, config, limit)
+    ).otherwise(group_sections(blocks, config, limit)))
 
 
 def chunk_structural(parsed: DataFrame, variant: Variant, config: ChunkingConfig | None = None,

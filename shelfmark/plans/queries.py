@@ -15,7 +15,7 @@ from ..operators import (chunking, conversations, crawl, discovery, duplicates,
                          parsing, planning, ranking, structural, telemetry, vector_search)
 from ..operators.ann import ivf_search, train_cells
 from ..sources import readers, store as sinks
-from ..session import fresh_dir, ship_package
+from ..session import fresh_dir, ship_package, spread
 from ..streaming import jobs as streams
 from .tables import FIXED, RECURSIVE, SEMANTIC, TOKEN, VARIANTS, Tables
 
@@ -150,7 +150,7 @@ def _mixed(t):
     """Documents of three formats in one table."""
     page = t.pages.select(F.concat(F.lit("page-"), F.col("page_id")).alias("doc_id"), F.col("html").alias("text"),
                           F.create_map(F.lit("contentType"), F.lit("text/html")).alias("metadata"))
-    event = t.events.select(F.concat(F.lit("event-"), F.col("event_id")).alias("doc_id"), F.col("props").alias("text"),
+    event = spread(t.events).select(F.concat(F.lit("event-"), F.col("event_id")).alias("doc_id"), F.col("props").alias("text"),
                             F.create_map(F.lit("fileName"), F.lit("props.json")).alias("metadata"))
     turn = t.conversations.select(
         F.concat(F.lit("turn-"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("doc_id"),
@@ -176,7 +176,7 @@ def plain_blocks(t):
 
 @query
 def json_blocks(t):
-    parsed = t.events.select(F.col("event_id").alias("doc_id"), parsing.json_blocks(F.col("props")).alias("blocks"))
+    parsed = spread(t.events).select(F.col("event_id").alias("doc_id"), parsing.json_blocks(F.col("props")).alias("blocks"))
     return parsing.explode_blocks(parsed).select(
         "doc_id", *big("block_idx"), "type", "content", F.col("location.json_path").alias("json_path"))
 
