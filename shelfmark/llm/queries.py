@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, secrets
+from . import decontam, langid, pieces, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +22,11 @@ def query(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return fn
 
 
+@query
+def op1_sentencepiece(table):
+    return pieces.encode(table("documents"))
+
+
 @query
 def op3_decontaminate(table):
     found = decontam.contamination(table("documents"), table("benchmark"))
@@ -31,6 +36,13 @@ def op3_decontaminate(table):
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op4_language(table):
+    docs = table("documents")
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_secret_scan(table):
     found = secrets.scan_versions(table("documents"))
@@ -39,3 +51,14 @@ def op7_secret_scan(table):
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_token_counts(table):
+    return tokens.count_tokens(table("documents"))
+
+
+@query
+def op10_quality(table):
+    found = quality.scored(table("documents"), table("labels"), ~quality.held_out())
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
