@@ -113,3 +113,24 @@ class IntTable:
             out[odd] = self.at[slot[odd]]
             odd = odd[(held != keys[odd]) & (held != self.EMPTY)]
         return out
+
+
+class Bitmap:
+    """A set of 64-bit hashes in a bitmap of fixed size: it never misses one, and lets a few others through.
+
+    What reaches the driver and is broadcast is bounded by the bitmap, whatever is put in; the
+    more there is, the more passes, so it only ever saves work in front of an exact join.
+    """
+
+    BITS = 26  # 8 MB
+
+    def __init__(self, hashes: DataFrame, name: str):
+        at = F.shiftrightunsigned(name, 64 - self.BITS)
+        rows = hashes.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(
+            F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+        self.words = np.zeros(1 << (self.BITS - 6), dtype=np.uint64)
+        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.BITS)
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)

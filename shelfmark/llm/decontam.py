@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Cached, binaries, mixed, small_batches, texts
+from .common import Bitmap, Cached, binaries, mixed, small_batches, texts
 
 WIDTH = 10
 GRAM = 5
-BITMAP_BITS = 26  # 8 MB, whatever the size of the benchmark
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +55,7 @@ def _prints(h: np.ndarray, width: int, gram: int) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
-def _marked(texts_: list, ids: Cached, widths: list[int], gram: int, bitmap: np.ndarray | None, whole: int | None):
+def _marked(texts_: list, ids: Cached, widths: list[int], gram: int, bitmap: Bitmap | None, whole: int | None):
     """Word counts and the windows a bitmap lets through (all, if there is none).
 
     ``whole``: a text of fewer words is one window of its own.
@@ -73,8 +72,7 @@ def _marked(texts_: list, ids: Cached, widths: list[int], gram: int, bitmap: np.
             if bitmap is None:
                 keep = range(len(prints))
             else:
-                at = prints >> np.uint64(64 - BITMAP_BITS)
-                keep = np.flatnonzero(bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).tolist()
+                keep = np.flatnonzero(bitmap.passes(prints)).tolist()
             signed = prints.view(np.int64)
             row += [{"print": int(signed[s]), "start": s, "length": width, "words": b" ".join(words[s:s + width])} for s in keep]
         marks.append(row)
@@ -98,16 +96,6 @@ def fingerprints(rows: DataFrame, id_name: str, widths: list[int], gram: int, bi
 _ARROW = pa.list_(pa.struct([("print", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.binary())]))
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """Bits of the distinct fingerprints; what reaches the driver is bounded by the bitmap."""
-    at = F.shiftrightunsigned("print", 64 - BITMAP_BITS)
-    rows = prints.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(
-        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
-    bitmap[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
-
-
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per document row: ``doc_id, row_key, n_words, n_hit, items`` (sorted ids, as text) and ``spans`` of hit words.
 
@@ -115,13 +103,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: i
     document and window; a document gathers at most its own windows.
     """
     spark = docs.sparkSession
-    rows = texts(items.withColumnRenamed("item_id", "doc_id") if "doc_id" not in items.columns else items.drop("doc_id").withColumnRenamed("item_id", "doc_id"))
+    rows = texts(items.select(F.col("item_id").alias("doc_id"), "text"))
     windows = materialize(
         fingerprints(rows.filter("doc_id IS NOT NULL"), "doc_id", [], gram, whole=width)
         .select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.print", "m.length", "m.words")
         .groupBy("print", "length", "words").agg(F.collect_set(F.col("doc_id").cast("string")).alias("items")), "windows")
     widths = sorted({width, *(r[0] for r in windows.select("length").distinct().collect())})
-    bitmap = spark.sparkContext.broadcast(_bitmap(windows))
+    bitmap = spark.sparkContext.broadcast(Bitmap(windows, "print"))
     marked = materialize(fingerprints(texts(docs), "doc_id", widths, gram, bitmap), "marks")
     hits = marked.filter(F.size("marks") > 0).select("doc_id", "row_key", F.explode("marks").alias("m")).select(
         "doc_id", "row_key", "m.print", "m.start", "m.length", "m.words").join(

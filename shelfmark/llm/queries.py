@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import decontam, langid, pieces, quality, secrets, tokens
+from . import balltree, decontam, langid, neardup, pieces, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,6 +27,13 @@ def op1_sentencepiece(table):
     return pieces.encode(table("documents"))
 
 
+@query
+def op2_ball_tree(table):
+    vectors = table("embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), balltree.integral(F.col("embedding")).alias("v"))
+    asked = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return balltree.search(balltree.build_index(vectors), asked, 5).select("query_id", "rank", "vec_id", "score")
+
+
 @query
 def op3_decontaminate(table):
     found = decontam.contamination(table("documents"), table("benchmark"))
@@ -43,6 +50,12 @@ def op4_language(table):
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_superminhash(table):
+    found = neardup.near_duplicates(table("documents"), shingle=3, percent=85, band_rows=7)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op7_secret_scan(table):
     found = secrets.scan_versions(table("documents"))
