@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import balltree, decontam, langid, neardup, pieces, quality, secrets, tokens
+from . import balltree, decontam, langid, neardup, pieces, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -56,6 +56,12 @@ def op5_superminhash(table):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op6_toxicity(table):
+    found = toxicity.scored(table("documents"), table("labels"), ~toxicity.held_out())
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_secret_scan(table):
     found = secrets.scan_versions(table("documents"))
