@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import balltree, decontam, langid, neardup, pieces, quality, secrets, tokens, toxicity
+from . import balltree, decontam, langid, lm, neardup, pieces, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,6 +77,12 @@ def op8_token_counts(table):
     return tokens.count_tokens(table("documents"))
 
 
+@query
+def op9_language_model(table):
+    found = lm.scored(table("documents"), ~lm.held_out())
+    return found.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op10_quality(table):
     found = quality.scored(table("documents"), table("labels"), ~quality.held_out())
