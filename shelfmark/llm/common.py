@@ -28,6 +28,23 @@ def texts(df: DataFrame, name: str = "doc_id") -> DataFrame:
         "row_key", F.xxhash64(name, "text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows named by ``doc_id, row_key`` as :func:`texts` gives them."""
+    key, mine, other = (unused(docs, n) for n in ("row_key", "mine", "other"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = rows.select(F.col("doc_id").alias(mine), F.col("row_key").alias(other)).distinct()
+    same = (F.col(key) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(mine))
+    return keyed.join(named, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of the value as text, modulo ``n``; a null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

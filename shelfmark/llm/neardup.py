@@ -175,10 +175,11 @@ def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_rows: int = 6) -> DataFrame:
-    """``doc_id, row_key, n_shingles, component_id, kept`` of every row.
+    """``doc_id, row_key, n_shingles, component_id, kept, chosen`` of every row.
 
     Rows are linked if ``100 * |intersection| >= percent * |union|``; ``component_id`` is the least id
-    reachable, and a row is kept if that is its own.
+    reachable, and a row is kept if that is its own. ``chosen`` holds for one text of each component even
+    where ids repeat: the least by id and ``row_key``.
     """
     n_bands = bands(percent, band_rows)
     rows = texts(docs)
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).filter("c > 1").drop("c")
     members = materialize(every.join(full, "key").select("key", "node", "n", "pivot"), "members")
     if members.isEmpty():
-        return _result(sketched, nodes.select("node", F.col("least").alias("component_id")))
+        return _result(sketched, nodes.select("node", F.col("least").alias("component_id"), F.col("row").alias("first")))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.row_key")
     sets = _sets(rows, materialize(wanted, "wanted"), shingle)
 
@@ -215,12 +216,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
         checked = checked.unionAll(pairs)
         edges = edges.unionAll(materialize(_linked(pairs, sets, percent), "links"))
         members = materialize(placed.drop("component").join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
-    least = nodes.select("node", "least").join(components, "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    known = components.join(least, "component").select("node", "component_id")
-    return _result(sketched, nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
+    least = nodes.select("node", "least", "row").join(components, "node").groupBy("component").agg(
+        F.min("least").alias("component_id"), F.min("row").alias("first"))
+    known = components.join(least, "component").select("node", "component_id", "first")
+    return _result(sketched, nodes.join(known, "node", "left").select(
+        "node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first", "row").alias("first")))
 
 
 def _result(sketched: DataFrame, of_node: DataFrame) -> DataFrame:
     return sketched.select("doc_id", "row_key", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
+        "doc_id", "row_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce(F.struct("doc_id", "row_key") == F.col("first"), F.lit(True)).alias("chosen")).withColumn(
             "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import binaries, remainder, share, small_batches, texts
+from .common import binaries, remainder, share, small_batches, texts, unused
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS = 60, 3, 24
@@ -87,6 +88,20 @@ def described(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, row_key long, " + ", ".join(f"{s} double" for s in STATS))
 
 
+def with_statistics(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, all columns, and the statistics of each row as a struct; one narrow pass."""
+    of = pa.struct([(s, pa.float64()) for s in STATS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            rows = np.array([statistics(x) for x in binaries(batch, "text")], dtype=float).reshape(-1, len(STATS))
+            found = pa.StructArray.from_arrays([pa.array(c) for c in rows.T], fields=list(of))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))])
+    return docs.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Rule:
     """All of ``(statistic, is above, bound)`` hold."""
@@ -99,9 +114,9 @@ class Rule:
             out &= (x[:, k] > bound) == above
         return out
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column]) -> Column:
         return reduce(Column.__and__, (
-            F.col(STATS[k]) > bound if above else F.col(STATS[k]) <= bound for k, above, bound in self.terms))
+            of(STATS[k]) > bound if above else of(STATS[k]) <= bound for k, above, bound in self.terms))
 
 
 @dataclass(frozen=True)
@@ -110,9 +125,9 @@ class RuleEnsemble:
     weights: tuple[float, ...]
     bias: float
 
-    def column(self) -> Column:
-        """The score as one expression over the statistics' columns."""
-        total = reduce(Column.__add__, (F.when(r.column(), F.lit(w)).otherwise(F.lit(0.0))
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
+        """The score as one expression over the statistics; ``of`` gives a statistic's column."""
+        total = reduce(Column.__add__, (F.when(r.column(of), F.lit(w)).otherwise(F.lit(0.0))
                                         for r, w in zip(self.rules, self.weights)), F.lit(self.bias))
         return 1 / (1 + F.exp(-total))
 
@@ -207,23 +222,28 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 4e-4) -> R
     return RuleEnsemble(tuple(rules[i] for i in kept), tuple(float(w[i]) for i in kept), bias)
 
 
-def train(stats: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
-    """Fit on at most about ``sample`` labelled rows of ``stats``."""
+def train(docs: DataFrame, labels: DataFrame, trains: Column, target: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
+    """Fit on at most about ``sample`` labelled rows among those where ``trains`` (over doc_id) holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna()
-    labelled = stats.join(known, "doc_id")
-    n = known.count()
-    rows = labelled.filter(share(F.col("doc_id")) < sample / max(1, n)).select(*STATS, "y").toPandas().sort_values(
-        [*STATS, "y"], kind="stable")
+    chosen = materialize(known.filter(trains & (share(F.col("doc_id")) < sample / max(1, known.filter(trains).count()))), "labels")
+    rows = described(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")).join(chosen, "doc_id").select(
+        *STATS, "y").toPandas().sort_values([*STATS, "y"], kind="stable")
     return fit(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def scored(docs: DataFrame, labels: DataFrame, trains: Column, target: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """``doc_id, row_key, score, predicted`` of every row; rows where ``trains`` (over doc_id) holds teach."""
-    stats = materialize(described(docs), "statistics")
-    model = train(stats.filter(trains), labels, target, sample)
-    return stats.select("doc_id", "row_key", model.column().alias("score")).withColumn(
+    model = train(docs, labels, trains, target, sample)
+    return described(docs).select("doc_id", "row_key", model.column().alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that a model taught by all labels does not reject."""
+    name = unused(docs, "statistics")
+    model = train(docs, labels, F.lit(True), target, sample)
+    return with_statistics(docs, name).filter(model.column(lambda s: F.col(name)[s]) >= 0.5).drop(name)
+
+
 def held_out() -> Column:
     return remainder("doc_id", 3) == 1
