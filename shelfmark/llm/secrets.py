@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import fresh_dir
 
@@ -50,7 +49,7 @@ MORE = (
 RULES = BASE + MORE
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
-LEDGER = T.StructType.fromDDL(f"blob string, rule_version string, spans {SPANS}")
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
