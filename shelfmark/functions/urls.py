@@ -7,9 +7,6 @@ meaningful part of the query).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from urllib.parse import unquote, urlsplit
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,21 +137,3 @@ def link_score(link: Column, question: Column) -> Column:
     words = F.split(F.lower(F.coalesce(question, F.lit(""))), r"\s+")
     hits = F.size(F.filter(words, lambda w: (F.length(w) > 3) & low.contains(w)))
     return F.when(low.startswith("http"), 0).otherwise(1) + 2 * hits
-
-
-@dataclass(frozen=True)
-class Scope:
-    """Driver-side facts about one start URL."""
-
-    origin: str
-    base_dir: str
-
-    @classmethod
-    def of(cls, start: str) -> "Scope":
-        parts = urlsplit(start)
-        if parts.scheme.lower() not in ("http", "https") or not parts.hostname:
-            raise ValueError(f"not an http(s) URL: {start}")
-        path = unquote(parts.path) or "/"
-        head, _, last = path.rpartition("/")
-        directory_ = head + "/" if "." in last else (path if path.endswith("/") else path + "/")
-        return cls(f"{parts.scheme.lower()}://{parts.netloc.lower()}", directory_)

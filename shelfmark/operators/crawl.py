@@ -18,15 +18,15 @@ DEFAULT_MAX_PAGES = 50
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """Slim page table for crawling: one row per URL key, blank pages left out.
+    """Slim page table for crawling: one row per URL key, with ``blank`` pages marked.
 
-    When several URLs share a key the smallest one stands for them.
+    When several URLs share a key the smallest one with text stands for them.
     """
     return (
-        pages.filter(~is_blank(F.col("text"))).select(url_key(F.col("url")).alias("key"), "url", "title")
+        pages.select(url_key(F.col("url")).alias("key"), is_blank(F.col("text")).alias("blank"), "url", "title")
         .filter(F.col("key").isNotNull())
-        .groupBy("key").agg(F.min(F.struct("url", "title")).alias("_p"))
-        .select("key", F.col("_p.url").alias("url"), F.col("_p.title").alias("title"))
+        .groupBy("key").agg(F.min(F.struct("blank", "url", "title")).alias("_p"))
+        .select("key", F.col("_p.url").alias("url"), F.col("_p.title").alias("title"), F.col("_p.blank").alias("blank"))
     )
 
 
@@ -44,10 +44,10 @@ def crawl_bfs(pages: DataFrame, starts: DataFrame, *, max_pages: int = DEFAULT_M
 
     ``starts`` has ``session, start`` and may have ``question``; ``existing`` lists stored
     ``url_key`` values, never followed; ``discovered`` (``session, url, position``) is
-    queued before the links of the start page.
+    queued before the links of the start page. A start page is visited even if it is
+    blank; other blank or missing pages are passed over. ``max_pages`` below 1 counts as 1.
     """
-    if max_pages < 1:
-        max_pages = 1
+    max_pages = max(1, max_pages)
     if "question" not in starts.columns:
         starts = starts.withColumn("question", F.lit(None).cast("string"))
     nodes = materialize(page_nodes(pages), "nodes")
@@ -58,13 +58,36 @@ def crawl_bfs(pages: DataFrame, starts: DataFrame, *, max_pages: int = DEFAULT_M
     def visit(frontier: DataFrame, level: int, done: DataFrame) -> DataFrame:
         """Accepted pages of a level, numbered on from the session's earlier ones."""
         order = Window.partitionBy("session").orderBy("at")
+        found = frontier.join(nodes if not level else nodes.filter(~F.col("blank")), "key")
+        # No session can take more than max_pages of a level, so Spark limits each before the shuffle.
+        first = found.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= max_pages)
         return (
-            frontier.join(nodes, "key").join(done, "session", "left")
-            .withColumn("visit", F.row_number().over(order) + F.coalesce("_done", F.lit(0)))
+            first.join(done, "session", "left").withColumn("visit", F.col("_nth") + F.coalesce("_done", F.lit(0)))
             .filter(F.col("visit") <= max_pages)
             .select("session", "key", "url", "title", F.lit(level).alias("level"), "visit")
         )
 
+    def seeded() -> DataFrame:
+        """Discovered URLs as queue entries, up to the one that fills a session.
+
+        Only seeds that are queued use up room: repeated, foreign and stored ones do not.
+        """
+        ok = host(F.col("url")) == F.col("_host") if same_host else F.lit(True)
+        seeds = discovered.join(sessions, "session").select(
+            "session", url_key(F.col("url")).alias("key"), F.col("position").cast("int").alias("position"), ok.alias("_ok"),
+        ).filter(F.col("key").isNotNull())
+        first = seeds.groupBy("session", "key").agg(F.min(F.struct("position", "_ok")).alias("_m")).select(
+            "session", "key", "_m.position", "_m._ok").join(current.select("session", "key"), ["session", "key"], "left_anti")
+        if stored is None:
+            takes = F.col("_ok")
+        else:
+            first = first.join(stored.withColumn("_stored", F.lit(True)), "key", "left")
+            takes = F.col("_ok") & F.col("_stored").isNull()
+        before = Window.partitionBy("session").orderBy("position", "key").rowsBetween(Window.unboundedPreceding, -1)
+        taken = F.coalesce(F.sum(takes.cast("int")).over(before), F.lit(0))
+        return first.withColumn("_taken", taken).filter(F.col("_taken") < max_pages - 1).select(
+            "session", "key", F.array(F.lit(0), F.col("position")).alias("at"), "_ok")
+
     def enqueue(queue: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
         """New links: the first mention of a key counts, even when it is then turned down."""
         fresh = queue.groupBy("session", "key").agg(F.min(F.struct("at", "_ok")).alias("_m")).join(
@@ -90,12 +113,7 @@ def crawl_bfs(pages: DataFrame, starts: DataFrame, *, max_pages: int = DEFAULT_M
             "session", F.col("link_key").alias("key"),
             F.array(F.col("visit"), F.row_number().over(ranked)).alias("at"), allowed.alias("_ok"))
         if level == 0 and discovered is not None:
-            seeds = discovered.join(sessions, "session").filter(F.col("position") <= max_pages - 1)
-            ok = host(F.col("url")) == F.col("_host") if same_host else F.lit(True)
-            queue = queue.unionByName(seeds.select(
-                "session", url_key(F.col("url")).alias("key"),
-                F.array(F.lit(0), F.col("position").cast("int")).alias("at"), ok.alias("_ok"),
-            ).filter(F.col("key").isNotNull()))
+            queue = queue.unionByName(seeded())
         frontier, known = enqueue(queue, known)
         done = visited.groupBy("session").agg(F.max("visit").alias("_done"))
         level += 1

@@ -15,6 +15,7 @@ from ..functions.urls import (base_dir, canonical_url, decoded_path, directory,
 from ..session import materialize
 from ..sources.readers import read_sitemaps
 
+# Usual limits of a site visit; every operator takes None for no limit.
 MAX_URLS = 2000
 MAX_SITEMAPS = 25
 MAX_DEPTH = 2
@@ -43,22 +44,23 @@ def select_family(urls: DataFrame) -> DataFrame:
     )
 
 
-def structural_order(urls: DataFrame, limit: int = MAX_URLS) -> DataFrame:
+def structural_order(urls: DataFrame, limit: int | None = MAX_URLS) -> DataFrame:
     """Directories visited in turn, shortest page first: ``start, url, position``.
 
     Only the first ``limit`` pages of a directory can make the cut, so each directory is
-    limited before anything is ranked across directories.
+    limited before anything is ranked across directories. None keeps all.
     """
+    within = lambda n: F.lit(True) if limit is None else n <= limit
     size, where = F.length("url"), directory(F.col("url"))
     in_dir = Window.partitionBy("start", "_dir").orderBy("_len", "url")
     rounds = (
         urls.select("start", "url").distinct().withColumn("_len", size).withColumn("_dir", where)
-        .withColumn("_round", F.row_number().over(in_dir)).filter(F.col("_round") <= limit)
+        .withColumn("_round", F.row_number().over(in_dir)).filter(within(F.col("_round")))
         .withColumn("_head", F.min(F.struct("_len", "url")).over(Window.partitionBy("start", "_dir")))
     )
     order = Window.partitionBy("start").orderBy("_round", "_head")
     return (
-        rounds.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+        rounds.withColumn("position", F.row_number().over(order)).filter(within(F.col("position")))
         .select("start", "url", "position")
     )
 
@@ -94,19 +96,25 @@ def sitemap_candidates(starts: DataFrame, rules: DataFrame) -> DataFrame:
     return named.unionByName(fixed)
 
 
-def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> DataFrame:
+def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame, *, max_urls: int | None = MAX_URLS,
+                    max_sitemaps: int | None = MAX_SITEMAPS, max_depth: int | None = MAX_DEPTH) -> DataFrame:
     """Page URLs listed by the sitemaps of each start: ``start, url, pos``.
 
-    Indexes are followed to depth 2. Positions are paths such as ``[root, entry, entry]``,
-    whose order is the order of a depth-first walk, so each level is one join and the
-    limits on sitemaps and URLs can be applied at the end.
+    Indexes are followed to ``max_depth``, level by level; a sitemap counts where it is first reached, so
+    indexes that name each other end the walk. Positions are paths such as ``[root, entry, entry]``, whose
+    order is the order of a depth-first walk, so each level is one join and the limits on sitemaps and URLs
+    are applied at the end. With a limit on URLs, locations out of scope use it up too. None lifts a limit.
     """
     # Each level is used several times; written out, its bodies are parsed only once.
     entries = materialize(read_sitemaps(bodies).select(
         F.col("url").alias("_map"), "is_index", "pos", F.col("loc").alias("child")), "entries")
     level = sitemap_candidates(starts, rules).withColumn("root", F.col("path"))
-    seen, found = None, None
-    for depth in range(MAX_DEPTH + 1):
+    seen, found, depth = None, None, 0
+    while True:
+        new = level if seen is None else level.join(seen.select("start", "loc").distinct(), ["start", "loc"], "left_anti")
+        level = materialize(new, "sitemaps") if max_depth is None else level
+        if max_depth is None and level.isEmpty():
+            break
         seen = level if seen is None else seen.unionByName(level)
         listed = level.join(entries, F.col("loc") == F.col("_map")).select(
             "start", "root", F.col("loc").alias("parent"), "is_index",
@@ -117,19 +125,26 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame) -> D
         found = pages if found is None else found.unionByName(pages)
         level = listed.filter("is_index").select(
             "start", F.col("child").alias("loc"), F.col("at").alias("path"), "root")
+        depth += 1
+        if max_depth is not None and depth > max_depth:
+            break
     # A sitemap counts where it is first reached; later mentions of it list nothing.
     first = seen.groupBy("start", "loc").agg(F.min(F.struct("path", "root")).alias("_f")).select(
         "start", "loc", F.col("_f.path").alias("path"), F.col("_f.root").alias("root"))
-    # A candidate is only tried while fewer than MAX_SITEMAPS were read before it.
-    before = Window.partitionBy("start").orderBy("path", "loc")
-    roots = first.withColumn("_nth", F.row_number().over(before)).filter(
-        F.col("_nth") <= MAX_SITEMAPS).select("start", "root").distinct()
     valid = found.join(
         first.select("start", F.col("loc").alias("parent"), F.col("path").alias("parent_path")),
-        ["start", "parent", "parent_path"], "left_semi").join(roots, ["start", "root"], "left_semi")
+        ["start", "parent", "parent_path"], "left_semi")
+    if max_sitemaps is not None:
+        # A candidate is only tried while fewer sitemaps were read before it.
+        before = Window.partitionBy("start").orderBy("path", "loc")
+        roots = first.withColumn("_nth", F.row_number().over(before)).filter(
+            F.col("_nth") <= max_sitemaps).select("start", "root").distinct()
+        valid = valid.join(roots, ["start", "root"], "left_semi")
     distinct = valid.groupBy("start", F.col("child").alias("url")).agg(F.min("at").alias("at"))
     order = Window.partitionBy("start").orderBy("at", "url")
-    kept = distinct.withColumn("pos", F.row_number().over(order).cast("bigint")).filter(F.col("pos") <= MAX_URLS)
+    kept = distinct.withColumn("pos", F.row_number().over(order).cast("bigint"))
+    if max_urls is not None:
+        kept = kept.filter(F.col("pos") <= max_urls)
     return _tidy(robots_allows(kept.filter(in_scope(F.col("url"), F.col("start"))), rules))
 
 
@@ -140,7 +155,7 @@ def _tidy(urls: DataFrame) -> DataFrame:
     return select_family(named.groupBy("start", "url").agg(F.min("pos").alias("pos")))
 
 
-def discover(pages: DataFrame, starts: DataFrame, limit: int = MAX_URLS, *,
+def discover(pages: DataFrame, starts: DataFrame, limit: int | None = MAX_URLS, *,
              sitemap_urls: DataFrame | None = None) -> DataFrame:
     """URLs to visit from each start, in structural order: ``start, url, position``.
 

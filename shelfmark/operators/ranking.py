@@ -21,6 +21,7 @@ CANDIDATE_FACTOR = 4
 BROADCAST_HITS = MAX_BLOCK_ROWS * MAX_FETCH
 CONTEXT_SEPARATOR = "\n---\n"
 NO_CONTEXT = "(no context retrieved)"
+PROMPT = "Passages from the collection:\n\n%1$s\n\nReply to the following from these passages alone, or say that they do not tell.\n\n%2$s\n"
 
 
 def attach(hits: DataFrame, chunks: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
@@ -35,15 +36,15 @@ def attach(hits: DataFrame, chunks: DataFrame, columns: list[str], most: int | N
     return chunks.select("chunk_id", *columns).join(small, "chunk_id")
 
 
-def dedup_hits(hits: DataFrame, k: int | Column) -> DataFrame:
-    """Keep the best-ranked hit of each distinct text, then the first ``k``."""
+def dedup_hits(hits: DataFrame, k: int | Column | None = None) -> DataFrame:
+    """Keep the best-ranked hit of each distinct text, then the first ``k`` (None: all)."""
     limit = F.lit(k) if isinstance(k, int) else k
     same = Window.partitionBy("query_id", "_norm").orderBy("rank")
     order = Window.partitionBy("query_id").orderBy("rank")
     return (
         hits.withColumn("_norm", F.md5(norm_content(F.col("content"))))
         .withColumn("_first", F.row_number().over(same)).filter("_first = 1")
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        .withColumn("rank", F.row_number().over(order)).filter(F.lit(True) if limit is None else F.col("rank") <= limit)
         .drop("_norm", "_first")
     )
 
@@ -188,8 +189,11 @@ def merge_sources(results: DataFrame) -> DataFrame:
     )
 
 
-def build_context(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """One context text per question, best hit first, and the prompt made from it."""
+def build_context(hits: DataFrame, questions: DataFrame, template: str = PROMPT) -> DataFrame:
+    """One context text per question, best hit first, and the prompt made from it.
+
+    ``template`` holds ``%1$s`` for the context and ``%2$s`` for the question.
+    """
     joined = hits.groupBy("query_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda h: h["content"]),
@@ -198,11 +202,7 @@ def build_context(hits: DataFrame, questions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sources"),
     )
     context = F.when(F.coalesce("context", F.lit("")) == "", F.lit(NO_CONTEXT)).otherwise(F.col("context"))
-    prompt = F.concat(
-        F.lit("You are a helpful assistant. Answer the question using ONLY the provided\n"
-              "context. If the answer is not in the context, say you do not know.\n\nContext:\n"),
-        F.col("context"), F.lit("\n\nQuestion: "), F.col("question"), F.lit("\nAnswer:"),
-    )
+    prompt = F.format_string(template, F.col("context"), F.col("question"))
     return (
         questions.select("query_id", "question").join(joined, "query_id", "left")
         .select("query_id", "question", context.alias("context"),

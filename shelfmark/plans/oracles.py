@@ -6,6 +6,8 @@ matrices, the SQL unnests, joins and ranks.
 
 from __future__ import annotations
 
+from ..operators.ranking import PROMPT
+
 WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 BLANK = r"NOT regexp_matches({0}, '\S')"
 
@@ -423,8 +425,7 @@ FROM (SELECT p_partkey, p_size * 7 - 20 AS k FROM part)"""
 O["dedup_hits"] = f"""WITH d AS (SELECT lang AS query_id, doc_id AS chunk_id, doc_id + 1 AS rank,
    lower(regexp_replace(trim(lower(text), {WS}), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS norm FROM documents),
 f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, norm ORDER BY rank) = 1)
-SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS rank FROM f
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 50"""
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS rank FROM f"""
 
 O["search"] = f"WITH {TEXT_KNN}, {deduped(5, 20)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits"
 
@@ -487,9 +488,7 @@ j AS (SELECT query_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY
       FROM hits WHERE score > 0.6 GROUP BY query_id),
 c AS (SELECT b.item_id AS query_id, b.text, coalesce(j.context, '(no context retrieved)') AS context, coalesce(j.sources, 0) AS sources
       FROM benchmark b LEFT JOIN j ON j.query_id = b.item_id)
-SELECT query_id, context, sources, 'You are a helpful assistant. Answer the question using ONLY the provided' || chr(10) ||
-  'context. If the answer is not in the context, say you do not know.' || chr(10) || chr(10) || 'Context:' || chr(10) || context ||
-  chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt FROM c"""
+SELECT query_id, context, sources, replace(replace('{PROMPT}', '%1$s', context), '%2$s', text) AS prompt FROM c"""
 
 O["search_with_default_k"] = f"""WITH {VEC_PAIRS}
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY vp.score DESC, chunk_id) AS rank
@@ -595,7 +594,7 @@ O["structural_order"] = f"""WITH {URLS},
 d AS (SELECT DISTINCT origin || '/' AS start, url, length(url) AS n, regexp_replace(path, '[^/]*$', '') AS dir FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY start, dir ORDER BY n, url) AS rnd FROM d),
 f AS (SELECT r.*, h.n AS hn, h.url AS hu FROM r JOIN r h ON h.start = r.start AND h.dir = r.dir AND h.rnd = 1)
-SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f QUALIFY position <= 20"""
+SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f QUALIFY position <= 2000"""
 
 O["robots_allows"] = f"""WITH {URLS},
 f AS (SELECT host, arg_min(url, page_id) AS url FROM k GROUP BY host),
@@ -620,7 +619,7 @@ ok AS (SELECT start, url FROM l WHERE NOT contains(regexp_extract(url, '[^/]*$')
 f AS (SELECT DISTINCT ON (start, fam) start, url FROM (SELECT *, CASE WHEN regexp_full_match(lower(regexp_extract(url, '[^/]*$')),
    'rc\d*|alpha|beta|snapshot|nightly|dev|next|latest|stable|current|main|master|v?\d[\w.-]*') THEN '' ELSE url END AS fam FROM ok)
    ORDER BY start, fam, length(url), url)
-SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f QUALIFY position <= 5"""
+SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f QUALIFY position <= 2000"""
 
 O["rank_links"] = f"""WITH {NAV},
 s AS (SELECT page_id, pos::BIGINT AS pos, link, (2 * (contains(lower(link), 'that')::INT + contains(lower(link), 'other')::INT
@@ -635,19 +634,20 @@ t AS (SELECT url_key, arg_min(page_id, url) AS target_id FROM k GROUP BY url_key
 SELECT b.page_id, b.rank, b.link, b.score, t.target_id FROM b
 LEFT JOIN t ON t.url_key = regexp_replace(regexp_extract(b.link, '^[a-z]+://([^?#]*)', 1), '(.)/$', '\\1')"""
 
-# A queue visits nodes in the order of their smallest path: shorter first, then by link position.
-O["crawl_bfs"] = f"""WITH RECURSIVE {URLS},
-wanted AS (SELECT url, unnest([page_id + 1, page_id * 2, page_id * 3 + 1]) AS target, unnest([0, 1, 2]) AS slot FROM pages),
-lk AS (SELECT w.url, p.url AS link, row_number() OVER (PARTITION BY w.url ORDER BY slot, p.url) AS pos FROM wanted w JOIN pages p ON p.page_id = w.target),
+# The pages' own links lead out of the table, so a session visits its start and then its seeds.
+O["crawl_bfs"] = f"""WITH {URLS},
+d AS (SELECT DISTINCT origin || '/' AS start, url, url_key, length(url) AS n, regexp_replace(path, '[^/]*$', '') AS dir FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY start, dir ORDER BY n, url) AS rnd FROM d),
+f AS (SELECT r.*, h.n AS hn, h.url AS hu FROM r JOIN r h ON h.start = r.start AND h.dir = r.dir AND h.rnd = 1),
+o AS (SELECT start, url_key, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f QUALIFY position <= 2000),
+stored AS (SELECT DISTINCT url_key FROM k WHERE url LIKE '%?%'),
 nodes AS (SELECT url_key, min(url) AS url FROM k GROUP BY url_key),
-e AS (SELECT DISTINCT n.url_key AS src, t.url_key AS dst, lk.pos FROM nodes n JOIN lk ON lk.url = n.url JOIN k t ON t.url = lk.link),
-paths AS (
-  SELECT url AS session, url_key AS key, [0]::BIGINT[] AS path FROM k
-  UNION ALL
-  SELECT p.session, e.dst, list_concat([p.path[1] + 1], list_append(p.path[2:], e.pos)) FROM paths p JOIN e ON e.src = p.key WHERE p.path[1] < 3),
-firsts AS (SELECT session, key, min(path) AS path FROM paths GROUP BY ALL)
-SELECT f.session, n.url, f.path[1] AS level, row_number() OVER (PARTITION BY f.session ORDER BY f.path) AS visit, true AS ingested
-FROM firsts f JOIN nodes n ON n.url_key = f.key QUALIFY visit <= 4"""
+seeds AS (SELECT k.page_id, o.url_key, min(o.position) AS position FROM k JOIN o ON o.start = k.origin || '/'
+          WHERE o.url_key <> k.url_key AND o.url_key NOT IN (SELECT url_key FROM stored) GROUP BY ALL),
+v AS (SELECT page_id AS session, url_key, 0 AS level, 0 AS at FROM k UNION ALL SELECT page_id, url_key, 1, position FROM seeds)
+SELECT v.session, n.url, v.level::BIGINT AS level, row_number() OVER (PARTITION BY v.session ORDER BY v.at) AS visit,
+       v.url_key NOT IN (SELECT url_key FROM stored) AS ingested
+FROM v JOIN nodes n USING (url_key) QUALIFY visit <= 50"""
 
 O["list_conversations"] = """SELECT conv_id, coalesce(t, 'New conversation') AS title, n AS messages FROM (
   SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS t, count(*) AS n FROM conversations GROUP BY conv_id)"""
@@ -686,8 +686,9 @@ O["window_percentiles"] = """SELECT (floor(epoch(ts))::BIGINT // 86400) * 86400
   quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL"""
 O["stream_percentiles"] = O["window_percentiles"]
 
-O["token_cost"] = """WITH usage AS (SELECT lang AS provider_id, (n_chars % 50 + 1)::VARCHAR AS model_id,
-  sum(length(text) // 4)::BIGINT AS input_tokens, sum(length(left(text, 100)) // 4)::BIGINT AS output_tokens FROM documents GROUP BY ALL),
+O["token_cost"] = """WITH usage AS (SELECT 'p' || conv_id % 4 AS provider_id, (conv_id % 50 + 1)::VARCHAR AS model_id,
+  sum(CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END)::BIGINT AS input_tokens,
+  sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) // 4 END)::BIGINT AS output_tokens FROM conversations GROUP BY ALL),
 prices AS (SELECT p_size::VARCHAR AS model_id, min(p_retailprice) AS ci, max(p_retailprice) AS co FROM part GROUP BY ALL)
 SELECT provider_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
   round(sum((input_tokens * coalesce(ci, 0) + output_tokens * coalesce(co, 0)) / 1000000), 6) AS cost

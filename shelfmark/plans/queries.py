@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import splitters, urls as U
+from ..functions.links import link_pages
 from ..functions.embedders import ModelEmbedder
 from ..functions.text import unnest
 from ..functions.vectors import cosine
@@ -231,13 +232,13 @@ def page_blocks(t):
 
 @query
 def page_links(t):
-    return unnest(readers.read_pages(t.pages), ["page_id"], "links", "pos", "link").select(
+    return unnest(link_pages(t.pages), ["page_id"], "links", "pos", "link").select(
         "page_id", *big("pos"), "link")
 
 
 @query
 def nav_links(t):
-    return unnest(readers.read_pages(t.pages), ["page_id"], "nav_links", "pos", "link").select(
+    return unnest(link_pages(t.pages), ["page_id"], "nav_links", "pos", "link").select(
         "page_id", *big("pos"), "link")
 
 
@@ -411,7 +412,7 @@ def dedup_hits(t):
     """Every text hit once per question: documents grouped by language stand for hits."""
     d = t.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("chunk_id"),
                            F.lower("text").alias("content"), (F.col("doc_id") + 1).alias("rank"))
-    return ranking.dedup_hits(d, 50).select("query_id", "chunk_id", *big("rank"))
+    return ranking.dedup_hits(d).select("query_id", "chunk_id", *big("rank"))
 
 
 @query
@@ -681,7 +682,7 @@ def select_family(t):
 
 @query
 def structural_order(t):
-    return discovery.structural_order(t.page_urls().select("start", "url"), 20).select(
+    return discovery.structural_order(t.page_urls().select("start", "url")).select(
         "start", "url", *big("position"))
 
 
@@ -709,49 +710,45 @@ def expand_sitemaps(t):
         F.concat("origin", F.lit("/m-"), F.col("page_id"), F.lit(".xml")).alias("url"),
         wrap("urlset", F.replace("url", F.lit("&"), F.lit("&amp;"))).alias("body"))
     starts = t.page_urls().select("start").distinct()
-    return discovery.expand_sitemaps(starts, readers.read_robots(robots), index.unionByName(leaf)).select("start", "url")
+    return discovery.expand_sitemaps(starts, readers.read_robots(robots), index.unionByName(leaf),
+                                     max_urls=None, max_sitemaps=None, max_depth=None).select("start", "url")
 
 
 @query
 def discover(t):
     """Every page taken as a file in the root of its site, so that its menu is in scope."""
     moved = t.pages.withColumn("url", F.concat(U.origin(F.col("url")), F.lit("/p"), F.col("page_id"), F.lit(".html")))
-    pages = readers.read_pages(moved)
+    pages = link_pages(moved)
     starts = moved.select(F.col("url").alias("start"))
-    return discovery.discover(pages, starts, 5).select("start", "url", *big("position"))
+    return discovery.discover(pages, starts).select("start", "url", *big("position"))
 
 
 @query
 def rank_links(t):
-    links = unnest(readers.read_pages(t.pages), ["page_id"], "links", "pos", "link").withColumn(
+    links = unnest(link_pages(t.pages), ["page_id"], "links", "pos", "link").withColumn(
         "question", F.lit("That other THERE or"))
     return discovery.rank_links(links, ["page_id"]).select("page_id", "link", *big("pos", "score", "rank"))
 
 
 @query
 def top_links(t):
-    return discovery.top_links(readers.read_pages(t.pages), "that other there", 5).select(
+    return discovery.top_links(link_pages(t.pages), "that other there", 5).select(
         "page_id", *big("rank"), "link", *big("score", "target_id"))
 
 
-def _link_graph(t):
-    """A graph over the pages: page n links to the pages n + 1, 2 n and 3 n + 1."""
-    p = t.pages.select("page_id", "url")
-    n = F.col("page_id")
-    wanted = p.select("url", F.posexplode(F.array(n + 1, n * 2, n * 3 + 1)).alias("pos", "target"))
-    linked = wanted.join(p.select(F.col("page_id").alias("target"), F.col("url").alias("link")), "target")
-    links = linked.groupBy("url").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]).alias("links"))
-    return p.join(links, "url", "left").select(
-        "url", F.lit("title").alias("title"), F.lit("text").alias("text"),
-        F.coalesce("links", F.expr("cast(array() as array<string>)")).alias("links"))
-
-
 @query
 def crawl_bfs(t):
-    pages = _link_graph(t)
-    starts = pages.select(F.col("url").alias("session"), F.col("url").alias("start"))
-    return crawl.crawl_bfs(pages, starts, max_pages=4, same_host=False).select(
+    """Every page starts a session on its site, seeded with the site's pages in structural order.
+
+    Pages whose URL has a query are stored already; the pages' own links are ranked by a question.
+    """
+    pages = link_pages(t.pages)
+    urls = t.page_urls().select("page_id", "url", "start")
+    order = discovery.structural_order(urls.select("start", "url"))
+    starts = urls.select(F.col("page_id").alias("session"), F.col("url").alias("start"), F.lit("that other there").alias("question"))
+    seeds = urls.select(F.col("page_id").alias("session"), "start").join(order, "start").select("session", "url", "position")
+    stored = duplicates.existing_sources(t.pages.filter("url LIKE '%?%'").select(F.col("url").alias("source")))
+    return crawl.crawl_bfs(pages, starts, existing=stored, discovered=seeds).select(
         "session", "url", *big("level", "visit"), "ingested")
 
 
@@ -818,11 +815,12 @@ def window_percentiles(t):
 
 @query
 def token_cost(t):
-    """Texts as usage of a model per language; prices come from the parts list."""
-    usage = t.documents.select(
-        F.col("lang").alias("provider_id"), (F.col("n_chars") % 50 + 1).cast("string").alias("model_id"),
-        telemetry.token_count(F.col("text")).alias("input_tokens"),
-        telemetry.token_count(F.left("text", F.lit(100))).alias("output_tokens"))
+    """Conversations as usage of four models' providers: users' turns go in, other turns come out."""
+    tokens = telemetry.token_count(F.col("text"))
+    asked = F.col("role") == "user"
+    usage = t.conversations.select(
+        F.concat(F.lit("p"), F.col("conv_id") % 4).alias("provider_id"), (F.col("conv_id") % 50 + 1).cast("string").alias("model_id"),
+        F.when(asked, tokens).otherwise(0).alias("input_tokens"), F.when(asked, 0).otherwise(tokens).alias("output_tokens"))
     prices = t.part.groupBy(F.col("p_size").cast("string").alias("model_id")).agg(
         F.min("p_retailprice").alias("cost_input"), F.max("p_retailprice").alias("cost_output"))
     catalog = usage.select("provider_id", "model_id").distinct().join(prices, "model_id")

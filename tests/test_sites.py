@@ -38,7 +38,6 @@ def test_scope_and_canonical(value, url, ok, canonical):
 def test_scope_with_capitals_accepts_nothing(value):
     start = F.lit("https://e.com/Guide/")
     assert value(["https://e.com/Guide/a"], U.in_scope(F.col("t"), start))[0] is False
-    assert U.Scope.of("https://E.com/a/b.html") == U.Scope("https://e.com", "/a/")
 
 
 def urls(spark, start, items):
@@ -109,7 +108,9 @@ def crawl_model(graph, texts, start, max_pages, same_host, existing, seeds=()):
         if (not same_host or host(link) == host(start)) and key(link) not in existing:
             queue.append(link)
 
-    for s in seeds[:max_pages - 1]:
+    for s in seeds:
+        if len(queue) >= max_pages - 1:
+            break
         offer(s)
     while current:
         out.append((current, key(current) not in existing))
@@ -128,20 +129,38 @@ def test_crawl_equals_queue(spark, seed):
     names = [f"https://{h}.com/p{i}" for h in ("a", "b") for i in range(14)]
     graph = {u: [rnd.choice(names) for _ in range(rnd.randint(0, 5))] for u in names}
     texts = {u: rnd.choice(["text", "text", "text", " "]) for u in names}
-    texts[names[0]] = texts[names[3]] = texts[names[15]] = "text"
+    texts[names[0]], texts[names[15]], texts[names[3]] = "text", "text", " "  # a blank start page is visited all the same
     existing = {names[5].split("//")[1], names[3].split("//")[1]}
     pages = spark.createDataFrame([(u, "t", texts[u], graph[u]) for u in names], "url string, title string, text string, links array<string>")
     starts = spark.createDataFrame([(u, u) for u in (names[0], names[3], names[15])], "session string, start string")
     old = spark.createDataFrame([(k,) for k in existing], "url_key string")
-    seeds = [names[7], names[20], names[1]]
+    # Stored, foreign and repeated seeds do not use up room.
+    seeds = [names[5], names[7], names[20], names[7], names[1], names[9], names[2], names[11], names[12], names[8]]
     found = spark.createDataFrame([(names[0], u, i + 1) for i, u in enumerate(seeds)], "session string, url string, position int")
-    for same, cap in ((True, 6), (False, 9)):
+    for same, cap in ((True, 6), (False, 9), (True, 3)):
         rows = crawl.crawl_bfs(pages, starts, max_pages=cap, same_host=same, existing=old, discovered=found).orderBy("session", "visit").collect()
         for s in (names[0], names[3], names[15]):
             got = [(r["url"], r["ingested"]) for r in rows if r["session"] == s]
             assert got == crawl_model(graph, texts, s, cap, same, existing, seeds if s == names[0] else ())
 
 
+def test_links_of_pages(spark):
+    from shelfmark.functions.links import link_pages
+
+    html = ("<title> Some &amp; title</title><!-- <a href='/no'>x</a> --><nav><a href='/m?a=1&amp;b=2'>m</a><a href=''>e</a><a href='#f'>f</a>"
+            "<A class=x HREF=up/../side.html>s</A></nav><script>var a = '<a href=\"/js\">';</script>"
+            "<a href=\"../top\">t</a><a name=n>n</a><a href='mailto:a@b.c'>w</a><a href='//cdn.org/x'>c</a><a href='?q=2'>q</a>"
+            "<div class='left sidebar'><a href=\"/m?a=1&amp;b=2\">again</a><a href='HTTP://o.org'>o</a></div>")
+    pages = spark.createDataFrame([(1, "https://E.com/d/e/f.html?x#y", html), (2, "http://h.org", "<p> </p>"), (3, "http://h.org/", None)],
+                                  "id int, url string, html string")
+    one, two, three = link_pages(pages).orderBy("id").collect()
+    assert one["title"] == "Some &amp; title"
+    assert one["links"] == ["https://E.com/m?a=1&b=2", "https://E.com/d/e/f.html?x", "https://E.com/d/e/f.html?x#f", "https://E.com/d/e/side.html",
+                            "https://E.com/d/top", "mailto:a@b.c", "https://cdn.org/x", "https://E.com/d/e/f.html?q=2", "https://E.com/m?a=1&b=2", "HTTP://o.org"]
+    assert one["nav_links"] == ["https://E.com/m?a=1&b=2", "https://E.com/d/e/side.html", "HTTP://o.org"]
+    assert two["links"] == [] and two["text"].strip() == "" and three["links"] == [] and three["title"] == ""
+
+
 def docs(spark, rows):
     return duplicates.with_content_hash(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
