@@ -68,7 +68,8 @@ class ModelEmbedder:
                 texts = [t or "" for t in batch.to_pylist()]
                 yield as_list_array(run_model(model, texts, batch_size))
 
-        return vectors(text)
+        # Marked so that the optimizer does not run the model again for a test of its result.
+        return vectors.asNondeterministic()(text)
 
     def neighbour_distances(self, texts: Column) -> Column:
         factory, batch_size = self.factory, self.batch_size

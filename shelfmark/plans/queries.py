@@ -105,9 +105,11 @@ def read_robots(t):
 
 @query
 def upsert_chunks(t):
-    old = t.chunks().select("chunk_id", "doc_id", "chunk_index", "content", F.lit(0).alias("seq")).drop("seq")
-    fresh = t.chunks().filter("lang = 'fr'").select(
-        "chunk_id", "doc_id", "chunk_index", F.upper("content").alias("content"))
+    """French chunks come again twice, in lower and then in upper case, with some new ones; the last counts."""
+    old = t.chunks().select("chunk_id", "doc_id", "chunk_index", "content")
+    french = t.chunks().filter("lang = 'fr'").select("chunk_id", "doc_id", "chunk_index", "content")
+    fresh = french.withColumn("content", F.lower("content")).withColumn("seq", F.lit(1)).unionByName(
+        french.withColumn("content", F.upper("content")).withColumn("seq", F.lit(2)))
     extra = fresh.withColumn("chunk_id", F.concat("chunk_id", F.lit("-new")))
     return sinks.upsert(old, fresh.unionByName(extra)).select("chunk_id", "doc_id", *big("chunk_index"), "content")
 
@@ -127,12 +129,16 @@ def delete_orphans(t):
 
 @query
 def variant_store(t):
-    store = sinks.ChunkStore(t.spark, fresh_dir(t.spark, "store"), buckets=16)
-    for v in (FIXED, TOKEN):
-        store.upsert(chunking.embed_chunks(t.chunks(v)).drop("lang", "source"), module=v.module)
-    store.upsert(chunking.embed_chunks(t.chunks(FIXED)).drop("lang", "source"), module="advanced")
+    """Upserts of three variants, one of them repeated in part, a drop, a delete and a compaction."""
+    store = sinks.ChunkStore(t.spark, fresh_dir(t.spark, "store"), boot=(FIXED.module, FIXED.variant_id))
+    rows = chunking.embed_chunks(t.chunks(FIXED)).drop("lang", "source")
+    store.upsert(rows, module=FIXED.module)
+    store.upsert(chunking.embed_chunks(t.chunks(TOKEN)).drop("lang", "source"), module=TOKEN.module)
+    store.upsert(rows, module="advanced")
+    store.upsert(rows.filter("chunk_index = 0"), module=FIXED.module)
     store.drop_variant("basic", TOKEN.variant_id)
     store.delete(t.labels.filter("toxic = 1").select("doc_id"))
+    store.compact("advanced", FIXED.variant_id)
     return store.read().groupBy("module", "variant").agg(
         F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("documents"))
 

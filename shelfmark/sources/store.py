@@ -1,21 +1,18 @@
-"""A chunk store on Parquet, one partition per module, variant and document bucket.
+"""A chunk store on Parquet that grows by batches.
 
-Parquet has no row-level update, so a change rewrites the buckets it touches and
-nothing else. Buckets are a hash of the document id: a document's chunks live in one
-bucket, and no bucket grows with a popular document alone unless that document does.
+Parquet has no row-level update. So a change is appended as a numbered batch and nothing already stored is
+rewritten: an upsert adds the new rows, a delete adds the ids of the documents. A reader keeps the row of the
+latest batch for each chunk id and leaves out rows older than their document's deletion. Compaction folds the batches of a
+variant into one, in files sized by their bytes. A batch that is written again under its number replaces
+itself, so replays change nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import map_merge
-from ..session import materialize
-
-BUCKETS = 256
-PARTITIONS = ["module", "variant", "bucket"]
 
 
 def latest_by_id(rows: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -25,11 +22,10 @@ def latest_by_id(rows: DataFrame, sequence: str = "seq") -> DataFrame:
 
 
 def _one_per_id(rows: DataFrame) -> DataFrame:
-    """The newest row per chunk id when rows carry a sequence, else any one of equal rows."""
-    if "seq" in rows.columns:
-        return latest_by_id(rows, "seq")
-    first = Window.partitionBy("chunk_id").orderBy("doc_id")
-    return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    """The newest row per chunk id: by a ``seq`` column, else the last in the order of the rows."""
+    if "seq" not in rows.columns:
+        rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    return latest_by_id(rows, "seq")
 
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -63,71 +59,81 @@ def with_store_metadata(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """Chunk tables of all variants below one path."""
+    """Chunk tables of all variants below one path.
+
+    ``rows`` holds ``module / variant / batch`` partitions, ``deletes`` the ids deleted in a batch. The ``boot``
+    variant, a ``(module, variant)`` pair, cannot be dropped.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, boot: tuple[str, str] | None = None) -> None:
+        self.spark, self.path, self.boot = spark, path, boot
 
     def read(self, module: str | None = None, variant: str | None = None) -> DataFrame:
         """The stored chunks; naming a module or variant prunes partitions."""
-        df = self.spark.read.option("mergeSchema", "false").parquet(self.path)
+        return self._current(module, variant).drop("batch")
+
+    def _current(self, module: str | None, variant: str | None) -> DataFrame:
+        df = self.spark.read.option("mergeSchema", "false").parquet(f"{self.path}/rows")
         if module is not None:
             df = df.filter(F.col("module") == module)
         if variant is not None:
             df = df.filter(F.col("variant") == variant)
-        return df
+        # Partition columns only, so this is a listing and no scan.
+        if df.groupBy("module", "variant").agg(F.countDistinct("batch").alias("n")).filter("n > 1").isEmpty():
+            latest = df
+        else:
+            newest = Window.partitionBy("module", "variant", "chunk_id").orderBy(F.col("batch").desc())
+            latest = df.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+        if not self._batches("deletes/batch=*"):
+            return latest
+        gone = self.spark.read.parquet(f"{self.path}/deletes").groupBy("doc_id").agg(F.max("batch").alias("_until")).withColumnRenamed(
+            "doc_id", "_gone")
+        return latest.join(gone, (F.col("doc_id").cast("string") == F.col("_gone")) & (F.col("batch") < F.col("_until")), "left_anti")
 
     def exists(self) -> bool:
-        try:
-            return bool(self.spark.read.parquet(self.path).columns)
-        except AnalysisException:
-            return False
-
-    def _place(self, chunks: DataFrame) -> DataFrame:
-        key = F.xxhash64(F.col("doc_id").cast("string"))
-        return chunks.withColumn("bucket", F.pmod(key, F.lit(self.buckets)).cast("int"))
-
-    def _write(self, rows: DataFrame) -> None:
-        """Overwrite exactly the partitions that ``rows`` holds."""
-        (rows.repartition("module", "variant", "bucket")
+        return bool(self._batches("rows/module=*/variant=*/batch=*"))
+
+    def _batches(self, pattern: str) -> list[int]:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        found = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(target)
+        return [int(f.getPath().getName().partition("=")[2]) for f in found or []]
+
+    def _next(self) -> int:
+        return 1 + max([-1, *self._batches("rows/module=*/variant=*/batch=*"), *self._batches("deletes/batch=*")])
+
+    def _append(self, rows: DataFrame, batch: int, folder: str, *partitions: str) -> None:
+        # The hint lets Spark size the files by bytes and split what is skewed.
+        (rows.withColumn("batch", F.lit(batch)).hint("rebalance")
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*PARTITIONS).parquet(self.path))
-
-    def upsert(self, chunks: DataFrame, module: str = "basic") -> None:
-        new = self._place(with_store_metadata(chunks).withColumn("module", F.lit(module)))
-        if not self.exists():
-            self._write(_one_per_id(new))
-            return
-        new = materialize(new, "upsert")
-        touched = new.select(*PARTITIONS).distinct()
-        old = self.read().join(F.broadcast(touched), PARTITIONS, "left_semi")
-        if old.isEmpty():
-            self._write(_one_per_id(new))
-            return
-        # The result is written elsewhere first: a partition cannot be read while replaced.
-        self._write(materialize(upsert(old, new), "merged"))
-
-    def delete(self, doc_ids: DataFrame) -> None:
-        """Remove the documents from every variant, rewriting only their buckets."""
-        if not self.exists():
-            return
-        gone = self._place(doc_ids.select("doc_id").distinct())
-        touched = self.read().select(*PARTITIONS).distinct().join(
-            F.broadcast(gone.select("bucket").distinct()), "bucket", "left_semi")
-        touched = materialize(touched, "touched")
-        old = self.read().join(F.broadcast(touched), PARTITIONS, "left_semi")
-        kept = materialize(delete_documents(old, gone), "kept")
-        emptied = touched.join(kept.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
-        self._write(kept)
-        # Partitions left without rows are not part of the overwrite; at most one name per
-        # touched bucket comes to the driver.
-        for row in emptied.toLocalIterator():
-            self._drop(f"module={row['module']}/variant={row['variant']}/bucket={row['bucket']}")
+         .partitionBy(*partitions, "batch").parquet(f"{self.path}/{folder}"))
+
+    def upsert(self, chunks: DataFrame, module: str = "basic", batch: int | None = None) -> None:
+        """Add or replace chunks by id; the last row of an id in ``chunks`` counts.
+
+        ``batch`` numbers the change where the caller may repeat it, such as a stream's epoch.
+        """
+        new = with_store_metadata(_one_per_id(chunks)).withColumn("module", F.lit(module))
+        self._append(new, self._next() if batch is None else batch, "rows", "module", "variant")
+
+    def delete(self, doc_ids: DataFrame, batch: int | None = None) -> None:
+        """Remove the documents from every variant; unknown ids change nothing."""
+        if self.exists():
+            ids = doc_ids.select(F.col("doc_id").cast("string").alias("doc_id")).filter(F.col("doc_id").isNotNull()).distinct()
+            self._append(ids, self._next() if batch is None else batch, "deletes")
+
+    def compact(self, module: str, variant: str) -> None:
+        """Fold a variant's batches into a new one; readers in between see the same rows from either."""
+        old = self._batches(f"rows/module={module}/variant={variant}/batch=*")
+        if old:
+            self._append(self._current(module, variant).drop("batch"), self._next(), "rows", "module", "variant")
+        for batch in old:
+            self._drop(f"rows/module={module}/variant={variant}/batch={batch}")
 
     def drop_variant(self, module: str, variant: str) -> None:
-        self._drop(f"module={module}/variant={variant}")
+        if (module, variant) == self.boot:
+            raise ValueError(f"{module}/{variant} is in use from the start and cannot be dropped")
+        self._drop(f"rows/module={module}/variant={variant}")
 
     def _drop(self, relative: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -71,12 +71,12 @@ def ingest(docs: DataFrame, variant: Variant = VARIANT, embedder=None) -> DataFr
 
 
 def ingest_into(docs: DataFrame, store: ChunkStore, variant: Variant = VARIANT) -> None:
-    """Upsert the chunks of every batch; chunk ids repeat on replay, so it is idempotent."""
-    run_to_end(ingest(docs, variant), lambda df, _: store.upsert(df.drop("lang", "source")), "append")
+    """Append the chunks of every batch under its epoch, so a replayed batch replaces itself."""
+    run_to_end(ingest(docs, variant), lambda df, epoch: store.upsert(df.drop("lang", "source"), batch=epoch), "append")
 
 
 def ingest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = ChunkStore(spark, fresh_dir(spark, "ingest"), buckets=16)
+    store = ChunkStore(spark, fresh_dir(spark, "ingest"))
     ingest_into(table_stream(spark, sf_dir, "documents"), store)
     return store.read(variant=VARIANT.variant_id).select(
         "chunk_id", "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content")
@@ -213,15 +213,15 @@ def retention_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = jobs.schema
 
     def compact(df: DataFrame, epoch: int) -> None:
-        rows = df if epoch == 0 else df.unionByName(spark.read.schema(schema).parquet(f"{path}/v{epoch - 1}"))
+        rows = df if epoch == 0 else df.unionByName(spark.read.schema(schema).parquet(f"{path}/version={epoch - 1}"))
         newest = Window.partitionBy("doc_id").orderBy(F.col("ts").desc(), F.col("seq").desc())
         latest = rows.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
         now = latest.agg(F.max("ts")).scalar()
-        retain(latest, now, timedelta(days=10)).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        last["epoch"] = epoch
+        retain(latest, now, timedelta(days=10)).write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
-    last: dict[str, int] = {}
     run_to_end(jobs, compact, "append")
-    kept = spark.read.schema(schema).parquet(f"{path}/v{last['epoch']}")
+    # The newest version on storage counts, whichever driver wrote it.
+    kept = spark.read.parquet(path)
+    kept = kept.join(kept.agg(F.max("version").alias("version")), "version")
     return kept.select("doc_id", "state", F.unix_micros("ts").alias("ts"))
 

@@ -187,7 +187,7 @@ def chunk_rows(spark, rows):
 
 
 def test_store_roundtrip(spark):
-    store = sinks.ChunkStore(spark, fresh_dir(spark, "t"), buckets=3)
+    store = sinks.ChunkStore(spark, fresh_dir(spark, "t"), boot=("advanced", "v1"))
     store.delete(spark.createDataFrame([("x",)], "doc_id string"))
     store.upsert(chunk_rows(spark, [("v1", "d1", 0, "a"), ("v1", "d1", 1, "b"), ("v1", "d2", 0, "c"), ("v2", "d1", 0, "z")]))
     store.upsert(chunk_rows(spark, [("v1", "d1", 1, "B"), ("v1", "d3", 0, "n")]))
@@ -198,8 +198,18 @@ def test_store_roundtrip(spark):
     assert store.read().filter("chunk_id = 'v1-d1-1'").first()["metadata"] == {"documentId": "d1", "chunkIndex": "1"}
     store.delete(spark.createDataFrame([("d1",), ("unknown",)], "doc_id string"))
     assert read() == {("basic", "v1-d2-0"): "c", ("basic", "v1-d3-0"): "n"}
+    store.upsert(chunk_rows(spark, [("v1", "d1", 0, "back"), ("v1", "d1", 0, "again")]).coalesce(1))  # after its deletion, the last row counts
+    assert read() == {("basic", "v1-d2-0"): "c", ("basic", "v1-d3-0"): "n", ("basic", "v1-d1-0"): "again"}
+    before = read()
+    store.compact("basic", "v1")
+    assert read() == before and store._batches("rows/module=basic/variant=v1/batch=*") == [store._next() - 1]
+    store.upsert(chunk_rows(spark, [("v1", "d8", 0, "e")]), batch=40)
+    store.upsert(chunk_rows(spark, [("v1", "d8", 0, "f")]), batch=40)  # a replay replaces itself
+    assert read() == before | {("basic", "v1-d8-0"): "f"}
+    with pytest.raises(ValueError):
+        store.drop_variant("advanced", "v1")
     store.drop_variant("basic", "v1")
-    assert not store.exists() or store.read().count() == 0
+    assert store.read().count() == 0
     plan = sinks.ChunkStore(spark, store.path)  # a missing embedding is refused
     with pytest.raises(Exception, match="has no embedding"):
         plan.upsert(chunk_rows(spark, [("v1", "d9", 0, "a")]).withColumn("embedding", F.lit(None).cast("array<float>")))
