@@ -435,6 +435,18 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hits WHERE lang =
 O["bm25"] = f"""WITH {TEXT_KNN}, {deduped(20, 80)}, {lexical('hits')}
 SELECT query_id, chunk_id, round(bm25, 6) AS bm25 FROM scored"""
 
+O["bm25_corpus"] = """
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+')) AS term FROM benchmark),
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+') AS w FROM documents),
+c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM tok),
+tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, doc_id AS chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
+        (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len / mean))) + 0.5)), 9) AS score
+      FROM q JOIN tf USING (term) JOIN df USING (term), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+
 O["rrf"] = f"""WITH {TEXT_KNN}, {deduped(20, 80)}, {lexical('hits')},
 l AS (SELECT h.query_id, h.chunk_id, h.rank, row_number() OVER (PARTITION BY h.query_id ORDER BY s.bm25 DESC, h.rank) AS lexical_rank
       FROM hits h JOIN scored s USING (query_id, chunk_id))

@@ -239,3 +239,33 @@ def test_keyword_search(spark):
                               "chunk_id string, doc_id string, chunk_index int, content string, embedding array<float>")
     assert [r["chunk_id"] for r in vector_search.search_with_keyword(c, "machine learning", 2).collect()] == ["a", "e"]
     assert vector_search.search_with_keyword(c, "50%", 2).count() == 0
+
+
+def test_corpus_bm25_equals_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from shelfmark.operators.lexical_index import build_lexical_index, lexical_search
+    from shelfmark.session import fresh_dir
+
+    texts = ["red fox runs", "the red red fox", "a dog", "", None, "dog dog fox Fox", "the the the"]
+    path = fresh_dir(spark, "lexical")
+    build_lexical_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"), path)
+    asked = [(1, "Red fox"), (2, "the dog the"), (3, "absent"), (4, None)]
+    got = lexical_search(spark, path, spark.createDataFrame(asked, "query_id long, question string"), 3).collect()
+    split = lambda t: re.findall(r"[\w']+", (t or "").lower())
+    words = [split(t) for t in texts]
+    n, mean = len(texts), sum(map(len, words)) / len(texts)
+    df = Counter(w for ws in words for w in set(ws))
+    want = []
+    for q, question in asked:
+        scores = []
+        for i, ws in enumerate(words):
+            tf = Counter(ws)
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(ws) / mean)) + 0.5)
+                    for t in set(split(question)) if tf[t])
+            if s:
+                scores.append((-round(s, 9), i))
+        want += [(q, i, r) for r, (_, i) in enumerate(sorted(scores)[:3], 1)]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in got) == sorted(want)
