@@ -21,7 +21,7 @@ from shelfmark.plans.queries import QUERIES
 HEADLINE = (
     "chunk_fixed", "chunk_token", "chunk_recursive", "chunk_semantic", "compare_chunking",
     "group_sections", "html_blocks", "chunk_structural",
-    "hashing_embedding_query", "knn", "ivf_search_query", "pairwise_distance", "search", "hybrid_search",
+    "hashing_embedding_query", "knn", "ivf_search_query", "pairwise_distance", "search", "hybrid_search", "bm25_corpus",
     "list_documents", "find_by_content_hash", "dedup_in_batch", "upsert_chunks", "variant_store",
     "select_family", "crawl_bfs", "precision_recall", "event_rates", "window_percentiles",
     "stream_ingest", "stream_sessions",

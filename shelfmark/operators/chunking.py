@@ -124,21 +124,17 @@ def compare_chunking(docs: DataFrame, variants: Sequence[Variant], *, baseline:
     counting happens inside each document's row, so only one partial aggregate per
     task and variant is shuffled.
     """
-    rows = docs.filter(~is_blank(F.col(text)))
-    stats = []
-    for v in variants:
+    rows = docs.filter(~is_blank(F.col(text))).select(text)
+    for i, v in enumerate(variants):
         calls = sentence_count(rows, v.size, text) if v.strategy == "semantic" else F.lit(0)
-        stats.append(
-            with_drafts(rows.select(text), v, text, embedder).select(
-                F.size("_drafts").alias("_chunks"), calls.alias("_calls")
-            ).agg(
-                F.lit(v.variant_id).alias("variant"),
-                F.count(F.lit(1)).alias("documents"),
-                F.sum("_chunks").alias("chunks"),
-                F.sum("_calls").alias("split_embeds"),
-            )
-        )
-    table = reduce(DataFrame.unionByName, stats).withColumn(
+        rows = with_drafts(rows, v, text, embedder).select(
+            *rows.columns, F.size("_drafts").alias(f"_chunks{i}"), calls.alias(f"_calls{i}"))
+    # One scan and one aggregate for all variants; its single row is then turned into theirs.
+    totals = rows.agg(F.count(F.lit(1)).alias("documents"), *[
+        F.sum(f"_{c}{i}").alias(f"_{c}{i}") for i in range(len(variants)) for c in ("chunks", "calls")])
+    table = totals.select("documents", F.explode(F.array(*[F.struct(
+        F.lit(v.variant_id).alias("variant"), F.col(f"_chunks{i}").alias("chunks"), F.col(f"_calls{i}").alias("split_embeds"),
+    ) for i, v in enumerate(variants)])).alias("_v")).select("documents", "_v.*").withColumn(
         "ingest_embeds", F.col("chunks") + F.col("split_embeds")
     )
     # One row per variant from here on: the single window holds len(variants) rows.

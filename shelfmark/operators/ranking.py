@@ -50,9 +50,12 @@ def dedup_hits(hits: DataFrame, k: int | Column | None = None) -> DataFrame:
 
 
 def search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
-           columns: list[str] | None = None) -> DataFrame:
+           columns: list[str] | None = None, max_fetch: int | None = MAX_FETCH) -> DataFrame:
     """Over-fetch, drop repeated texts, keep ``k``: ``query_id, chunk_id, score, rank, ...``.
 
+    At most ``max_fetch`` hits are fetched for a question unless it wants more; where a store holds many
+    copies of a text, a larger bound, or None, leaves more distinct ones.
+
     A ``k`` column on the questions sets a limit per question, null meaning the default;
     a null or blank ``scope`` means the whole store.
     """
@@ -62,12 +65,13 @@ def search(questions: DataFrame, chunks: DataFrame, k: int = DEFAULT_K,
     if "scope" in q.columns and dict(q.dtypes)["scope"] == "string":
         q = q.withColumn("scope", F.when(F.trim("scope") != "", F.col("scope")))
     if own:
-        q = q.withColumn("_limit", F.coalesce("k", F.lit(k))).withColumn("k", fetch_size_column(F.col("_limit")))
+        q = q.withColumn("_limit", F.coalesce("k", F.lit(k))).withColumn("k", fetch_size_column(F.col("_limit"), max_fetch))
     table = question_table(q)
-    hits = knn(q, chunks, fetch_size(k), table=table)
+    fetch = fetch_size(k, max_fetch)
+    hits = knn(q, chunks, fetch, table=table)
     if own:
         hits = hits.join(q.select("query_id", "_limit"), "query_id")
-    found = attach(hits, chunks, columns, max_hits(table, fetch_size(k)))
+    found = attach(hits, chunks, columns, max_hits(table, fetch))
     return dedup_hits(found, F.col("_limit") if own else k).drop("_limit")
 
 

@@ -38,21 +38,26 @@ OPTIONS = ("k", "scope", "cells")
 _SLICE = 256
 
 
-def fetch_size(k: int) -> int:
-    """How many hits to fetch so that ``k`` survive the removal of repeated texts."""
+def fetch_size(k: int, most: int | None = MAX_FETCH) -> int:
+    """How many hits to fetch so that ``k`` survive the removal of repeated texts.
+
+    ``most`` bounds what is fetched beyond ``k``; None lifts the bound.
+    """
     if k <= 0:
         return 0
-    if k > MAX_FETCH:
+    if most is not None and k > most:
         return k
-    return min(max(k * OVERFETCH, k), MAX_FETCH)
+    return k * OVERFETCH if most is None else min(k * OVERFETCH, most)
 
 
-def fetch_size_column(k: Column) -> Column:
+def fetch_size_column(k: Column, most: int | None = MAX_FETCH) -> Column:
     """:func:`fetch_size` for a column of limits."""
+    if most is None:
+        return F.greatest(k * OVERFETCH, F.lit(0)).cast("int")
     return (
         F.when(k <= 0, F.lit(0))
-        .when(k > MAX_FETCH, k)
-        .otherwise(F.least(k * OVERFETCH, F.lit(MAX_FETCH)))
+        .when(k > most, k)
+        .otherwise(F.least(k * OVERFETCH, F.lit(most)))
         .cast("int")
     )
 

@@ -29,46 +29,46 @@ def test_detect_format(spark, meta, raw, want):
 
 
 def test_json_blocks(value):
-    texts = ['[{"name":"Ada"},[1,2],"x",3]', '{"a":1,"user":{"name":"Ada"},"b":"q\\"t","c":null,"tags":["x","[y"]}',
+    texts = ['[{"name":"Oak"},[1,2],"x",3]', '{"a":1,"user":{"name":"Oak"},"b":"q\\"t","c":null,"tags":["x","[y"]}',
              '"hello"', "{not json", "  ", "null"]
     got = blocks(value, texts, parsing.json_blocks)
     assert [(b["type"], b["content"], b["location"]["json_path"]) for b in got[0]] == [
-        ("JSON_OBJECT", '{"name":"Ada"}', "$[0]"), ("JSON_ARRAY", "[1,2]", "$[1]"),
+        ("JSON_OBJECT", '{"name":"Oak"}', "$[0]"), ("JSON_ARRAY", "[1,2]", "$[1]"),
         ("JSON_OBJECT", "x", "$[2]"), ("JSON_OBJECT", "3", "$[3]")]
     assert [(b["content"], b["section_path"], b["location"]["json_path"]) for b in got[1]] == [
-        ('{"a":1}', [], "$"), ('{"name":"Ada"}', ["user"], "$.user"), ('{"b":"q\\"t","c":null}', [], "$"),
+        ('{"a":1}', [], "$"), ('{"name":"Oak"}', ["user"], "$.user"), ('{"b":"q\\"t","c":null}', [], "$"),
         ("x", ["tags"], "$.tags[0]"), ("[y", ["tags"], "$.tags[1]")]
     assert got[2][0]["content"] == '"hello"'
     assert got[3] is None and got[4] is None and got[5] is None
 
 
 def test_markdown_blocks(value):
-    text = ("# Guide\nIntro *text*.\n\n## Setup\nInstall it.\n\n```java title\nint x = 1;\n```\n\n"
-            "| Name | Age |\n| ---- | --- |\n| Ada  | 36  |\n\n- first\n- second `c`\n\n> quoted text\n\nTop\n===\n\n    code\n")
+    text = ("# Kettle\nIntro *text*.\n\n## Wiring\nInstall it.\n\n```java title\nint x = 1;\n```\n\n"
+            "| Sort | Sum |\n| ---- | --- |\n| Oak  | 36  |\n\n- first\n- nether `c`\n\n> quoted text\n\nTop\n===\n\n    code\n")
     got = [(b["type"], b["content"], b["section_path"]) for b in blocks(value, [text], parsing.markdown_blocks)[0]]
     assert got == [
-        ("HEADING", "Guide", ["Guide"]), ("PARAGRAPH", "Intro text.", ["Guide"]),
-        ("HEADING", "Setup", ["Guide", "Setup"]), ("PARAGRAPH", "Install it.", ["Guide", "Setup"]),
-        ("CODE", "int x = 1;", ["Guide", "Setup"]), ("TABLE", "Name | Age\nAda | 36", ["Guide", "Setup"]),
-        ("LIST", "first\nsecond c", ["Guide", "Setup"]), ("QUOTE", "«quoted text»", ["Guide", "Setup"]),
+        ("HEADING", "Kettle", ["Kettle"]), ("PARAGRAPH", "Intro text.", ["Kettle"]),
+        ("HEADING", "Wiring", ["Kettle", "Wiring"]), ("PARAGRAPH", "Install it.", ["Kettle", "Wiring"]),
+        ("CODE", "int x = 1;", ["Kettle", "Wiring"]), ("TABLE", "Sort | Sum\nOak | 36", ["Kettle", "Wiring"]),
+        ("LIST", "first\nnether c", ["Kettle", "Wiring"]), ("QUOTE", "«quoted text»", ["Kettle", "Wiring"]),
         ("HEADING", "Top", ["Top"]), ("CODE", "code", ["Top"])]
     meta = [b["metadata"] for b in blocks(value, [text], parsing.markdown_blocks)[0]]
     assert meta[4] == {"codeLanguage": "java"} and meta[0] == {}
 
 
 def test_html_document_blocks():
-    html = ("<html><head><title> T </title></head><body><nav>no</nav><h1>Guide</h1><h2>Setup</h2><p>Install <b>it</b>.<p>Next"
-            "<div class='page'><p>first page</p></div><div class='page'><p>second</p></div>"
-            "<table><tr><th>Name<th>Age</tr><tr><td>Ada<td>36</table><ul><li>one<li>two</ul>"
-            "<pre data-language='python'>print(1)\n  x</pre><blockquote>q</blockquote><script>x()</script></body></html>")
+    html = ("<html><head><title> T </title></head><body><nav>no</nav><h1>Kettle</h1><h2>Wiring</h2><p>Install <b>it</b>.<p>Next"
+            "<div class='page'><p>upper leaf</p></div><div class='page'><p>nether</p></div>"
+            "<table><tr><th>Sort<th>Sum</tr><tr><td>Oak<td>36</table><ul><li>one<li>two</ul>"
+            "<pre data-language='python'>brew(7)\n  x</pre><blockquote>q</blockquote><script>x()</script></body></html>")
     got = markup.html_document(html)
     assert [(b["type"], b["content"]) for b in got] == [
-        ("TITLE", "T"), ("HEADING", "Guide"), ("HEADING", "Setup"), ("PARAGRAPH", "Install it."), ("PARAGRAPH", "Next"),
-        ("PARAGRAPH", "first page"), ("PARAGRAPH", "second"), ("TABLE", "Name | Age\nAda | 36"), ("LIST", "one\ntwo"),
-        ("CODE", "print(1)\n  x"), ("QUOTE", "q")]
-    assert got[3]["section_path"] == ["Guide", "Setup"]
+        ("TITLE", "T"), ("HEADING", "Kettle"), ("HEADING", "Wiring"), ("PARAGRAPH", "Install it."), ("PARAGRAPH", "Next"),
+        ("PARAGRAPH", "upper leaf"), ("PARAGRAPH", "nether"), ("TABLE", "Sort | Sum\nOak | 36"), ("LIST", "one\ntwo"),
+        ("CODE", "brew(7)\n  x"), ("QUOTE", "q")]
+    assert got[3]["section_path"] == ["Kettle", "Wiring"]
     assert [b["location"]["page"] for b in got[5:7]] == [1, 2]
-    assert got[7]["metadata"] == {"tableHeader": "Name | Age"} and got[9]["metadata"] == {"codeLanguage": "python"}
+    assert got[7]["metadata"] == {"tableHeader": "Sort | Sum"} and got[9]["metadata"] == {"codeLanguage": "python"}
     assert markup.html_document("<body>plain words</body>")[0]["content"] == "plain words"
     heads = markup.html_document("<body><p>Introduction</p><p>Body text.</p></body>", heuristic=True)
     assert [b["type"] for b in heads] == ["HEADING", "PARAGRAPH"] and heads[1]["section_path"] == ["Introduction"]
@@ -151,15 +151,15 @@ def test_group_json(spark):
 
 
 def test_structural_chunks_carry_context(spark):
-    items = [block("HEADING", "Guide", ["Guide"]), block("PARAGRAPH", "word " * 40, ["Guide"], 3, {"k": "v"})]
+    items = [block("HEADING", "Kettle", ["Kettle"]), block("PARAGRAPH", "word " * 40, ["Kettle"], 3, {"k": "v"})]
     df = spark.createDataFrame([(1, "HTML", {"source": "s", "rawBytes": "x"}, items)],
                                f"doc_id long, source_type string, metadata map<string,string>, blocks array<{BLOCK_TYPE}>")
     for strategy in ("recursive", "semantic"):
         rows = structural.chunk_structural(df, Variant("v", strategy, 60, 10)).orderBy("chunk_index").collect()
-        assert len(rows) > 2 and all(r["content"].startswith("Guide\n\n") for r in rows)
+        assert len(rows) > 2 and all(r["content"].startswith("Kettle\n\n") for r in rows)
         assert [r["chunk_index"] for r in rows] == list(range(len(rows)))
         assert rows[0]["metadata"] == {"k": "v", "source": "s", "strategy": strategy, "maxChunkSize": "60", "format": "HTML",
-                                       "contentType": "PARAGRAPH", "sectionPath": "Guide", "page": "3"}
+                                       "contentType": "PARAGRAPH", "sectionPath": "Kettle", "page": "3"}
 
 
 def test_effective_max_chars():
