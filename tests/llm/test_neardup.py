@@ -38,7 +38,7 @@ def brute(docs, k, percent):
 def found(spark, docs, **options):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("keys", F.lit(1))
     rows = neardup.near_duplicates(df, **options).collect()
-    return rows, sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows)
+    return rows, sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows), key=lambda r: (r[0] is None, r))
 
 
 @pytest.mark.parametrize("tile", [2048, 5])
