@@ -198,7 +198,9 @@ def test_context(spark):
     hits = spark.createDataFrame([(1, "second", 2), (1, "first", 1)], "query_id int, content string, rank int")
     rows = {r["query_id"]: r for r in ranking.build_context(hits, q).collect()}
     assert rows[1]["context"] == "first\n---\nsecond" and rows[2]["context"] == "(no context retrieved)"
-    assert rows[2]["prompt"].endswith("Context:\n(no context retrieved)\n\nQuestion: q2\nAnswer:")
+    assert rows[1]["prompt"] == ranking.PROMPT.replace("%1$s", "first\n---\nsecond").replace("%2$s", "q1")
+    own = ranking.build_context(hits, q, "%2$s <- %1$s").filter("query_id = 2").first()
+    assert own["prompt"] == "q2 <- (no context retrieved)"
 
 
 def test_check_embeddings(spark):
