@@ -5,14 +5,16 @@ permutation of the signature's places, drawn step by step; in step ``j`` the ele
 fraction to its ``j``-th place, and each place keeps the least offer. A place once filled cannot be improved in a
 later step, so a document is done at the first step that leaves no place empty, which for long texts is the first.
 
-Documents with equal sets are one node. Nodes that agree in all rows of a band share a bucket. A bucket's
-links are found by pivots: in a round a pivot is compared with every other node of its bucket that is not yet in
-its component, on the full sets, and leaves the bucket. Nodes that are already connected need no comparison, so a
-group of thousands of near copies costs each bucket a few passes of its members, not all pairs, and no pair
-of different components in one bucket stays uncompared. Rounds end when no bucket holds two components.
+Documents with equal sets are one node. Nodes that agree in all rows of a band share a bucket. Links are found in
+three rounds, the components joined after each. In the first two, one node of a bucket, its pivot, is compared with
+those not yet in its component: first over a few bands, then over all of them with a pivot from the bucket's largest
+component. That connects a group of thousands of near copies in a few passes over its members. In the last round
+every pair of different components in one bucket is looked at, in bounded tiles, inside the tasks: pairs whose sketches
+(a byte of each place) agree too little are ruled out there, and the rest, each once, are confirmed on their full sets. Nodes
+already connected need no comparison, and no pair of different components goes unseen.
 
-With ``bands(threshold, rows)`` bands a linked pair shares no bucket with a probability below 1e-7. Sets
-hold 64-bit hashes of shingles and are named by 128-bit hashes.
+With ``bands(percent, rows)`` bands a linked pair shares no bucket with a probability below 1e-7; its sketches rule it out
+with a probability below 4e-6 (``DEVIATIONS``). Sets hold 64-bit hashes of shingles and are named by 128-bit hashes.
 
 Defined results: a document without words has an empty set and is linked with nothing; one of fewer words than a
 shingle has one element, all its words; rows that repeat an id are documents of their own with that id; a null
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -36,7 +38,9 @@ from .common import Bitmap, Cached, binaries, mixed, small_batches, texts
 from .components import connected_components
 
 MISS = 1e-7
-PIVOTS = 64  # of one bucket in one round; the rest wait for the next
+DEVIATIONS = 4.5  # below the mean agreement of a pair at the threshold, after which sketches rule it out
+FEW = 6           # bands of the first round
+TILE = 2048       # nodes of a bucket compared in one place
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,8 +94,12 @@ def _band_keys(signature: np.ndarray, n: int, rows: int) -> np.ndarray:
     return out
 
 
+def _bytes(signature: np.ndarray) -> np.ndarray:
+    return (mixed(signature.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+
+
 def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame:
-    """``doc_id, row_key, n_shingles, node, keys``: the set's name and its bucket in every band."""
+    """``doc_id, row_key, n_shingles, node, keys, sketch``: the set's name, its bucket in every band, and a byte per place."""
     places = n_bands * band_rows
     held = max(1, (48 << 20) // (2 * places))  # elements whose permutations are in memory at once
 
@@ -101,13 +109,14 @@ def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame
             sets = [shingles(t, k, ids) for t in binaries(batch, "text")]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             keys: list = [None] * len(sets)
+            sketch: list = [None] * len(sets)
             group: list[int] = []
 
             def settle() -> None:
                 if group:
-                    found = _band_keys(_signed([sets[i] for i in group], places, held), n_bands, band_rows).view(np.int64)
-                    for i, row in zip(group, found):
-                        keys[i] = row
+                    signed = _signed([sets[i] for i in group], places, held)
+                    for i, row, short in zip(group, _band_keys(signed, n_bands, band_rows).view(np.int64), _bytes(signed)):
+                        keys[i], sketch[i] = row, short.tobytes()
                     group.clear()
 
             filled = 0
@@ -121,10 +130,10 @@ def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "row_key", "n_shingles", "node", "keys"])
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "node", "keys", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, keys array<long>, sketch binary")
 
 
 def _signed(sets: list[np.ndarray], places: int, held: int) -> np.ndarray:
@@ -136,9 +145,9 @@ def _signed(sets: list[np.ndarray], places: int, held: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, size, items`` of the wanted nodes, hashed anew from the rows that stand for them.
+    """``id, size, items`` of the wanted nodes, hashed anew from the rows that stand for them.
 
-    ``wanted``: ``node, doc_id, row_key``. A bitmap of fixed size keeps other texts out of the pass.
+    ``wanted``: ``id, doc_id, row_key``. A bitmap of fixed size keeps other texts out of the pass.
     """
     bitmap = rows.sparkSession.sparkContext.broadcast(Bitmap(wanted, "row_key"))
 
@@ -154,24 +163,81 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     found = rows.mapInArrow(run, "doc_id long, row_key long, items array<long>").withColumnRenamed("doc_id", "own").withColumnRenamed("row_key", "key")
     chosen = found.join(wanted, (F.col("key") == F.col("row_key")) & F.col("own").eqNullSafe(F.col("doc_id")))
-    return materialize(chosen.select("node", F.size("items").alias("size"), "items").dropDuplicates(["node"]), "sets")
+    return materialize(chosen.select("id", F.size("items").alias("size"), "items").dropDuplicates(["id"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold."""
-    one = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("items").alias("ia"))
-    two = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("items").alias("ib"))
+    one = sets.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("items").alias("ia"))
+    two = sets.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("items").alias("ib"))
     both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pivots with the other nodes of their bucket, each pair once, unless components or sizes rule it out."""
-    p = pivots.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-    met = members.join(p, "key").filter(
-        (F.col("node") != F.col("p")) & (F.col("component") != F.col("pc")) &
-        (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
-    return met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+def _with_pivot(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """The pivot of a bucket with its other nodes, unless components or sizes rule a link out; each pair once."""
+    met = members.join(pivots, "key").filter(
+        (F.col("component") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
+    return met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
+
+def _placed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with these."""
+    placed = members.join(components, F.col("id") == F.col("node"), "left").select(
+        "key", "band", "id", "n", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return materialize(placed.join(split, "key", "left_semi"), "members")
+
+
+def _across(placed: DataFrame, nodes: DataFrame, percent: int, places: int) -> DataFrame:
+    """All pairs of different components in a bucket that sizes and sketches let through, each pair once.
+
+    A bucket of more than ``TILE`` nodes is cut into tiles, and every two tiles meet in a place of their own.
+    """
+    theta = percent / 100
+    share = theta + (1 - theta) / 256
+    least = places * share - DEVIATIONS * math.sqrt(places * share * (1 - share))
+    tiles = placed.groupBy("key").count().select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    dealt = placed.join(tiles, "key").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "band", "id", "n", "component")
+    rows = dealt.join(nodes.select("id", "keys", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(rows)
+        ids, n, component, tile = (table.column(c).to_numpy() for c in ("id", "n", "component", "tile"))
+        band, two = table.column("band")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = np.array(table.column("keys").to_pylist(), dtype=np.int64)
+        found = []
+        for a in range(len(ids)):
+            b = np.arange(a + 1, len(ids))
+            ok = (component[b] != component[a]) & (np.minimum(n[b], n[a]) * 100 >= np.maximum(n[b], n[a]) * percent)
+            b = b[ok & (tile[b] != tile[a])] if two else b[ok]
+            b = b[(sketch[b] == sketch[a]).sum(1) >= least]
+            # A pair that shares several buckets is given by the first of them.
+            b = b[(keys[b, :band + 1] == keys[a, :band + 1]).argmax(1) == band]
+            if len(b):
+                found.append((np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.array([], np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            k = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if held and tuple(k[:, a]) != key:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(held)], names=["a", "b"])
+                    held = []
+                key = tuple(k[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(held)], names=["a", "b"])
+
+    return rows.select("key", "i", "j", "tile", "band", "id", "n", "component", "keys", "sketch").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_rows: int = 6) -> DataFrame:
@@ -184,42 +250,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     n_bands = bands(percent, band_rows)
     rows = texts(docs)
     sketched = materialize(sketches(rows, shingle, n_bands, band_rows), "sketches")
+    # Numbered where they are written; the numbers are read from there from then on.
     nodes = materialize(sketched.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.first("n_shingles").alias("n"),
-        F.first("keys").alias("keys")), "nodes")
-    every = nodes.select("node", "n", F.explode("keys").alias("key"))
-    # The key holds the band's number, so a bucket is a key.
-    full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("pivot")).filter("c > 1").drop("c")
-    members = materialize(every.join(full, "key").select("key", "node", "n", "pivot"), "members")
-    if members.isEmpty():
+        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # A key holds its band, so a bucket is a key.
+    every = nodes.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).filter("c > 1").drop("c")
+    met = materialize(every.join(full, "key"), "members")
+    if met.isEmpty():
         return _result(sketched, nodes.select("node", F.col("least").alias("component_id"), F.col("row").alias("first")))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.row_key")
+    members = met.select("key", "band", "id", "n")
+    wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "row.doc_id", "row.row_key")
     sets = _sets(rows, materialize(wanted, "wanted"), shingle)
 
-    alone = members.withColumn("component", F.col("node"))
-    pairs = materialize(_pairs(alone, alone.filter(F.col("node") == F.col("pivot")), percent), "pairs")
-    members = members.filter(F.col("node") != F.col("pivot")).drop("pivot")
-    checked, edges = pairs, materialize(_linked(pairs, sets, percent), "links")
-    while True:
-        components = connected_components(edges)
-        placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        placed = materialize(placed.join(split, "key", "left_semi"), "members")
-        if placed.isEmpty():
-            break
-        # All but the largest component of a bucket give pivots, so each pass of the rest settles many.
-        largest = placed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        turn = Window.partitionBy("key").orderBy("node")
-        pivots = materialize(placed.join(largest, "key").filter(F.col("component") != F.col("largest")).withColumn(
-            "turn", F.row_number().over(turn)).filter(F.col("turn") <= PIVOTS).select("key", "node", "n", "component"), "pivots")
-        pairs = materialize(_pairs(placed, pivots, percent).join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.unionAll(pairs)
-        edges = edges.unionAll(materialize(_linked(pairs, sets, percent), "links"))
-        members = materialize(placed.drop("component").join(pivots.select("key", "node"), ["key", "node"], "left_anti"), "members")
-    least = nodes.select("node", "least", "row").join(components, "node").groupBy("component").agg(
-        F.min("least").alias("component_id"), F.min("row").alias("first"))
-    known = components.join(least, "component").select("node", "component_id", "first")
-    return _result(sketched, nodes.join(known, "node", "left").select(
+    few = materialize(met.filter((F.col("band") < FEW) & (F.col("id") != F.col("p")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)).select(
+        F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")
+    edges = materialize(_linked(few, sets, percent), "links")
+
+    placed = _placed(members, connected_components(edges))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("one"))
+    pivots = sizes.groupBy("key").agg(F.max(F.struct("c", "component", "one")).alias("m")).select(
+        "key", F.col("m.one.id").alias("p"), F.col("m.one.n").alias("pn"), F.col("m.component").alias("pc"))
+    edges = edges.unionAll(materialize(_linked(materialize(_with_pivot(placed, pivots, percent), "pairs"), sets, percent), "links"))
+
+    placed = _placed(placed.select("key", "band", "id", "n"), connected_components(edges))
+    rest = materialize(_across(placed, nodes, percent, n_bands * band_rows), "pairs")
+    edges = edges.unionAll(materialize(_linked(rest, sets, percent), "links"))
+
+    components = connected_components(edges)
+    joined = nodes.select("id", "least", "row").join(components, F.col("id") == F.col("node")).drop("node")
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row").alias("first"))
+    known = joined.select("id", "component").join(least, "component").select("id", "component_id", "first")
+    return _result(sketched, nodes.select("id", "node", "least", "row").join(known, "id", "left").select(
         "node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("first", "row").alias("first")))
 
 
