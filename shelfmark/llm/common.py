@@ -81,16 +81,21 @@ def small_batches(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 <
 
 
 class Cached(dict):
-    """A function's values by argument; emptied when it holds ``limit`` of them."""
+    """A function's values by argument. It holds ``limit`` of them at most, those not used for longest going first:
+    when half of them are new, the older half that was not asked for since then is let go."""
 
     def __init__(self, function, limit: int = 1 << 20):
         super().__init__()
-        self.function, self.limit = function, limit
+        self.function, self.half, self.older = function, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
 

@@ -5,7 +5,7 @@ gives the least cost from the start to every position. Searching backwards from
 estimate of what is left, so A-star takes the complete paths off its queue in order of cost.
 
 Where no piece can cross a position, the lattice falls into independent units (words, mostly). Each distinct
-unit is solved once per task. Costs add up over units, so only the units with the ``n - 1`` least second-best
+unit is solved once per worker. Costs add up over units, so only the units with the ``n - 1`` least second-best
 losses can differ in the ``n`` best segmentations of a text; only they are searched further, and merged exactly.
 
 Costs are integers (thousandths of a nat), so equal costs are equal. The scores of a unigram model are log
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import Cached, small_batches, texts
 
 N_BEST = 4
-UNIT_CACHE = 1 << 19
+UNIT_CACHE = 1 << 18  # kept between tasks, so it must leave room for other stages
+FAR = 1 << 60
 
 _EDITS = "array<struct<at:int,drop:int,put:array<int>>>"
 SCHEMA = f"n_pieces long, cost long, ids array<int>, exact boolean, nbest array<struct<rank:int,cost:long,n_pieces:int,edits:{_EDITS}>>"
@@ -61,7 +62,10 @@ class Lattice:
         self.pieces = {sp.id_to_piece(i): (i, c) for i, c in zip(usable, cost)}
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        starts = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        # Everything a scan may meet: ids and cost of a piece, and whether a longer piece begins so.
+        self.table = {p: (None, 0, True) for p in starts} | {
+            p: ((i,), c, p in starts) for p, (i, c) in self.pieces.items()}
         crossing = any(re.search("[^▁]▁", p) for p in self.pieces)
         lines = not any("\n" in p for p in self.pieces)
         self.units = re.compile("(?s).+" if crossing else "\n|▁+[^▁\n]*|[^▁\n]+" if lines else "▁+[^▁]*|[^▁]+")
@@ -69,21 +73,24 @@ class Lattice:
         # What the model puts before a text to mark the start of a word.
         self.prefix = sp.normalize("a")[:-1]
 
+    def spell(self, character: str) -> tuple[int, ...]:
+        """Ids for a character that is no piece."""
+        spelled = character.encode("utf-8", "surrogatepass")
+        return tuple(self.bytes.get(b, self.unknown) for b in spelled) if self.bytes else (self.unknown,)
+
     def edges(self, unit: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end position the edges (start, cost, ids)."""
-        n, pieces, starts = len(unit), self.pieces, self.starts
+        n, table = len(unit), self.table
         into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            if unit[i] not in pieces:
-                spelled = unit[i].encode("utf-8", "surrogatepass")
-                ids = tuple(self.bytes.get(b, self.unknown) for b in spelled) if self.bytes else (self.unknown,)
-                into[i + 1].append((i, self.spelled * len(ids), ids))
             for j in range(i + 1, n + 1):
-                part = unit[i:j]
-                if part in pieces:
-                    k, c = pieces[part]
-                    into[j].append((i, c, (k,)))
-                if part not in starts:
+                ids, cost, more = table.get(unit[i:j], (None, 0, False))
+                if ids is None and j == i + 1:
+                    ids = self.spell(unit[i])
+                    cost = self.spelled * len(ids)
+                if ids is not None:
+                    into[j].append((i, cost, ids))
+                if not more:
                     break
         return into
 
@@ -94,31 +101,41 @@ class Lattice:
         return best, back
 
     def solve(self, unit: str) -> tuple[tuple[int, ...], int, int]:
-        """Best ids, their cost, and what the second-best segmentation costs more (-1: there is none)."""
-        into = self.edges(unit)
-        best, back = self.forward(into)
-        n = len(unit)
-        used, ids, j = set(), [], n
+        """Best ids, their cost, and what the second-best segmentation costs more (-1: there is none).
+
+        One forward pass keeps the least and the second-least cost of every position.
+        """
+        table, n = self.table, len(unit)
+        best, second = [FAR] * (n + 1), [FAR] * (n + 1)
+        back: list = [None] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            one, two = best[i], second[i]
+            for j in range(i + 1, n + 1):
+                found = table.get(unit[i:j])
+                if found is None:
+                    ids, cost, more = None, 0, False
+                else:
+                    ids, cost, more = found
+                if ids is None and j == i + 1:
+                    ids = self.spell(unit[i])
+                    cost = self.spelled * len(ids)
+                if ids is not None:
+                    c = one + cost
+                    old = best[j]
+                    if c < old:
+                        two_ = two + cost
+                        second[j] = old if old < two_ else two_
+                        best[j], back[j] = c, (i, ids)
+                    elif c < second[j]:
+                        second[j] = c
+                if not more:
+                    break
+        ids, j = [], n
         while j:
-            edge = back[j]
-            used.add((edge[0], j, edge[2]))
-            ids.append(edge[2])
-            j = edge[0]
-        rest = [1 << 60] * (n + 1)
-        rest[n] = 0
-        loss = 1 << 60
-        for j in range(n, 0, -1):
-            for edge in into[j]:
-                i, c, k = edge
-                total = c + rest[j]
-                if total < rest[i]:
-                    rest[i] = total
-        for j in range(1, n + 1):
-            if len(into[j]) > 1 or (into[j] and (into[j][0][0], j, into[j][0][2]) not in used):
-                for i, c, k in into[j]:
-                    if (i, j, k) not in used:
-                        loss = min(loss, best[i] + c + rest[j] - best[n])
-        return tuple(chain.from_iterable(reversed(ids))), best[n], loss if loss < 1 << 59 else -1
+            j, part = back[j]
+            ids.append(part)
+        return tuple(chain.from_iterable(reversed(ids))), best[n], second[n] - best[n] if second[n] < FAR // 2 else -1
 
     def nbest(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` cheapest segmentations as (cost, ids), by backward A-star."""
@@ -146,31 +163,39 @@ class Lattice:
         return text.removeprefix(self.prefix).replace("▁", " ")
 
 
-def _alternatives(lattice: Lattice, units: list[str], solved: list, n: int, searched: Cached) -> list[dict]:
+def _alternatives(lattice: Lattice, units: list[str], solved: list, total: int, pieces: int, n: int, searched: Cached) -> list[dict]:
     """The ``n`` best segmentations of a text as changes to its best one."""
-    total = sum(s[1] for s in solved)
-    pieces = sum(len(s[0]) for s in solved)
-    loss = np.fromiter((s[2] for s in solved), dtype=np.int64, count=len(solved))
-    open_ = np.flatnonzero(loss >= 0)
-    if len(open_) > n - 1:
-        chosen = open_[np.argsort(loss[open_], kind="stable")[:n - 1]] if len(open_) < 64 else open_[
-            np.lexsort((open_, loss[open_]))[:n - 1]]
-    else:
-        chosen = open_
+    loss = np.array([s[2] for s in solved], dtype=np.int64)
+    loss[loss < 0] = FAR
+    chosen = np.arange(len(loss))
+    if len(loss) >= n:
+        # The units with the n - 1 least losses, the first ones where losses are equal.
+        bound = np.partition(loss, n - 2)[n - 2] if n > 1 else -1
+        under, equal = np.flatnonzero(loss < bound), np.flatnonzero(loss == bound)
+        chosen = np.concatenate([under, equal[:n - 1 - len(under)]])
     kept: list[tuple[int, tuple]] = [(0, ())]
-    for u in sorted(chosen.tolist()):
+    for u in sorted(chosen[loss[chosen] < FAR].tolist()):
         choices = searched[units[u]]
         kept = heapq.nsmallest(n, ((cost + choice[0] - choices[0][0], edits if not k else edits + ((u, choice[1]),))
                                    for cost, edits in kept for k, choice in enumerate(choices)), key=lambda x: x[0])
     out = []
-    wanted = {u for _, edits in kept for u, _ in edits}
-    starts = np.cumsum([0] + [len(s[0]) for s in solved]) if wanted else None
     for rank, (cost, edits) in enumerate(kept, 1):
-        changes = [{"at": int(starts[u]), "drop": len(solved[u][0]), "put": list(ids)} for u, ids in edits]
+        changes = [{"at": sum([len(s[0]) for s in solved[:u]]), "drop": len(solved[u][0]), "put": list(ids)} for u, ids in edits]
         out.append({"rank": rank, "cost": total + cost, "n_pieces": pieces + sum(len(c["put"]) - c["drop"] for c in changes), "edits": changes})
     return out
 
 
+_SOLVERS: dict[tuple[str, int], tuple] = {}
+
+
+def _solver(path: str, n: int) -> tuple[Lattice, Cached, Cached]:
+    """The model and the units solved so far; a worker keeps them from task to task."""
+    if (path, n) not in _SOLVERS:
+        lattice = Lattice(path)
+        _SOLVERS[path, n] = lattice, Cached(lattice.solve, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
+    return _SOLVERS[path, n]
+
+
 def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
     """``doc_id`` with the pieces of the best segmentation, their cost, whether decoding them gives the text
     back, and the ``n`` best segmentations as edits of the best (``at``: index in ``ids``); one narrow pass.
@@ -180,9 +205,7 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        lattice = Lattice(path or public_tokenizers.path("piece_bpe_32k.model"))
-        cache = Cached(lattice.solve, UNIT_CACHE)
-        searched = Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
+        lattice, cache, searched = _solver(path or public_tokenizers.path("piece_bpe_32k.model"), n)
         for batch in small_batches(batches, "text"):
             counts, costs, flat, exact, best = [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -193,7 +216,7 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
                 costs.append(sum([s[1] for s in solved]))
                 flat.append(np.array(ids, dtype=np.int32))
                 exact.append(lattice.decode(ids) == text)
-                best.append(_alternatives(lattice, units, solved, n, searched))
+                best.append(_alternatives(lattice, units, solved, costs[-1], counts[-1], n, searched))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.array([], np.int32)))
             yield pa.RecordBatch.from_arrays(
