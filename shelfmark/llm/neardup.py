@@ -10,11 +10,11 @@ three rounds, the components joined after each. In the first two, one node of a
 those not yet in its component: first over a few bands, then over all of them with a pivot from the bucket's largest
 component. That connects a group of thousands of near copies in a few passes over its members. In the last round
 every pair of different components in one bucket is looked at, in bounded tiles, inside the tasks: pairs whose sketches
-(a byte of each place) agree too little are ruled out there, and the rest, each once, are confirmed on their full sets. Nodes
+(a byte of each of ``WIDE`` places) agree too little are ruled out there, and the rest, each once, are confirmed on their full sets. Nodes
 already connected need no comparison, and no pair of different components goes unseen.
 
 With ``bands(percent, rows)`` bands a linked pair shares no bucket with a probability below 1e-7; its sketches rule it out
-with a probability below 4e-6 (``DEVIATIONS``). Sets hold 64-bit hashes of shingles and are named by 128-bit hashes.
+with a probability below 1e-6 (``DEVIATIONS``). Sets hold 64-bit hashes of shingles and are named by 128-bit hashes.
 
 Defined results: a document without words has an empty set and is linked with nothing; one of fewer words than a
 shingle has one element, all its words; rows that repeat an id are documents of their own with that id; a null
@@ -38,7 +38,9 @@ from .common import Bitmap, Cached, binaries, mixed, small_batches, texts
 from .components import connected_components
 
 MISS = 1e-7
-DEVIATIONS = 4.5  # below the mean agreement of a pair at the threshold, after which sketches rule it out
+HELD = 24 << 20   # places of the permutations in memory at once
+WIDE = 1024       # places of the sketch a node in a shared bucket gets
+DEVIATIONS = 5    # below the mean agreement of a pair at the threshold, after which sketches rule it out
 FEW = 6           # bands of the first round
 TILE = 2048       # nodes of a bucket compared in one place
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -99,9 +101,9 @@ def _bytes(signature: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame:
-    """``doc_id, row_key, n_shingles, node, keys, sketch``: the set's name, its bucket in every band, and a byte per place."""
+    """``doc_id, row_key, n_shingles, node, keys``: the set's name and its bucket in every band."""
     places = n_bands * band_rows
-    held = max(1, (48 << 20) // (2 * places))  # elements whose permutations are in memory at once
+    held = max(1, HELD // places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Cached(xxhash.xxh64_intdigest)
@@ -109,14 +111,13 @@ def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame
             sets = [shingles(t, k, ids) for t in binaries(batch, "text")]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             keys: list = [None] * len(sets)
-            sketch: list = [None] * len(sets)
             group: list[int] = []
 
             def settle() -> None:
                 if group:
                     signed = _signed([sets[i] for i in group], places, held)
-                    for i, row, short in zip(group, _band_keys(signed, n_bands, band_rows).view(np.int64), _bytes(signed)):
-                        keys[i], sketch[i] = row, short.tobytes()
+                    for i, row in zip(group, _band_keys(signed, n_bands, band_rows).view(np.int64)):
+                        keys[i] = row
                     group.clear()
 
             filled = 0
@@ -130,10 +131,10 @@ def sketches(rows: DataFrame, k: int, n_bands: int, band_rows: int) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "row_key", "n_shingles", "node", "keys", "sketch"])
+                 pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "row_key", "n_shingles", "node", "keys"])
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node binary, keys array<long>")
 
 
 def _signed(sets: list[np.ndarray], places: int, held: int) -> np.ndarray:
@@ -145,7 +146,7 @@ def _signed(sets: list[np.ndarray], places: int, held: int) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, size, items`` of the wanted nodes, hashed anew from the rows that stand for them.
+    """``id, size, items, sketch`` of the wanted nodes, hashed anew from the rows that stand for them.
 
     ``wanted``: ``id, doc_id, row_key``. A bitmap of fixed size keeps other texts out of the pass.
     """
@@ -157,13 +158,14 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             keep = bitmap.value.passes(whole.column("row_key").to_numpy(zero_copy_only=False))
             for batch in small_batches(iter([whole.filter(pa.array(keep))]), "text"):
                 sets = [shingles(t, k, ids) for t in binaries(batch, "text")]
+                sketch = [_bytes(_signed([s], WIDE, HELD // WIDE))[0].tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("row_key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "row_key", "items"])
+                    [batch.column("doc_id"), batch.column("row_key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                     pa.array(sketch, pa.binary())], names=["doc_id", "row_key", "items", "sketch"])
 
-    found = rows.mapInArrow(run, "doc_id long, row_key long, items array<long>").withColumnRenamed("doc_id", "own").withColumnRenamed("row_key", "key")
+    found = rows.mapInArrow(run, "doc_id long, row_key long, items array<long>, sketch binary").withColumnRenamed("doc_id", "own").withColumnRenamed("row_key", "key")
     chosen = found.join(wanted, (F.col("key") == F.col("row_key")) & F.col("own").eqNullSafe(F.col("doc_id")))
-    return materialize(chosen.select("id", F.size("items").alias("size"), "items").dropDuplicates(["id"]), "sets")
+    return materialize(chosen.select("id", F.size("items").alias("size"), "items", "sketch").dropDuplicates(["id"]), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,19 +191,21 @@ def _placed(members: DataFrame, components: DataFrame) -> DataFrame:
     return materialize(placed.join(split, "key", "left_semi"), "members")
 
 
-def _across(placed: DataFrame, nodes: DataFrame, percent: int, places: int) -> DataFrame:
+def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components in a bucket that sizes and sketches let through, each pair once.
 
     A bucket of more than ``TILE`` nodes is cut into tiles, and every two tiles meet in a place of their own.
     """
     theta = percent / 100
     share = theta + (1 - theta) / 256
-    least = places * share - DEVIATIONS * math.sqrt(places * share * (1 - share))
+    # A quarter of the sketch rules most pairs out, with one deviation to spare.
+    short, least, least_short = WIDE // 4, *(
+        n * share - d * math.sqrt(n * share * (1 - share)) for n, d in ((WIDE, DEVIATIONS), (WIDE // 4, DEVIATIONS + 1)))
     tiles = placed.groupBy("key").count().select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = placed.join(tiles, "key").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "band", "id", "n", "component")
-    rows = dealt.join(nodes.select("id", "keys", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = dealt.join(nodes.select("id", "keys"), "id").join(sets.select("id", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def pairs_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(rows)
@@ -214,6 +218,7 @@ def _across(placed: DataFrame, nodes: DataFrame, percent: int, places: int) -> D
             b = np.arange(a + 1, len(ids))
             ok = (component[b] != component[a]) & (np.minimum(n[b], n[a]) * 100 >= np.maximum(n[b], n[a]) * percent)
             b = b[ok & (tile[b] != tile[a])] if two else b[ok]
+            b = b[(sketch[b, :short] == sketch[a, :short]).sum(1) >= least_short]
             b = b[(sketch[b] == sketch[a]).sum(1) >= least]
             # A pair that shares several buckets is given by the first of them.
             b = b[(keys[b, :band + 1] == keys[a, :band + 1]).argmax(1) == band]
@@ -253,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     # Numbered where they are written; the numbers are read from there from then on.
     nodes = materialize(sketched.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.first("n_shingles").alias("n"),
-        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+        F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")
     # A key holds its band, so a bucket is a key.
     every = nodes.select("id", "n", F.posexplode("keys").alias("band", "key"))
     full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).filter("c > 1").drop("c")
@@ -275,7 +280,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     edges = edges.unionAll(materialize(_linked(materialize(_with_pivot(placed, pivots, percent), "pairs"), sets, percent), "links"))
 
     placed = _placed(placed.select("key", "band", "id", "n"), connected_components(edges))
-    rest = materialize(_across(placed, nodes, percent, n_bands * band_rows), "pairs")
+    rest = materialize(_across(placed, nodes, sets, percent), "pairs")
     edges = edges.unionAll(materialize(_linked(rest, sets, percent), "links"))
 
     components = connected_components(edges)
