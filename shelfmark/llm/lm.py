@@ -5,11 +5,13 @@ all training texts. Words of the ``HEAD`` most frequent, a fixed number, travel
 others are joined with the count table, one row per document and distinct rare word.
 
 The log-bilinear model predicts a token from the two before it: its score is the inner product of the token's vector with
-a sum of position-wise transformed context vectors, plus a bias. It knows the ``VOCABULARY`` most frequent words, the
-end, and one class for all other words, inside which a word has its smoothed share of the counts. It is trained by
-noise-contrastive estimation on a sample of training texts, ``SAMPLE`` tokens in expectation. With two context tokens
-the scores of all (context, token) pairs are two tables, and the normaliser of every context comes from batched
-matrix products, so the probabilities a text is scored with are normalised exactly.
+a sum of position-wise transformed context vectors, plus a bias. It knows the most frequent words, more of them the more
+tokens there are (:func:`vocabulary_size`), the end, and one outcome for all other words, inside which a word has its
+smoothed share of the counts. Outcomes are dealt to classes, a token's probability is that of its class times its own
+among the class, both normalised exactly. It is trained by noise-contrastive estimation on all training texts: each round
+a share of the texts is learnt from in parallel tasks that start from the same parameters; their parameters are averaged,
+every row weighted by how often a task changed it. Which texts meet in a task follows the partitions, so scores
+of the same table in other files differ a little.
 
 Defined results: a null or empty text is the end alone; with no training texts every token has the share a uniform
 model gives it.
@@ -17,6 +19,7 @@ model gives it.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections import Counter
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,11 @@ from ..session import materialize
 from .common import binaries, remainder, share, small_batches, texts
 
 HEAD = 1 << 17
-VOCABULARY = 1022       # besides the end and the class of other words
-SAMPLE = 400_000        # tokens to train on
+SAMPLE = 1_000_000      # tokens a task learns from in a round, while there are cores for all tasks
+ROUNDS = 4              # shares of the texts, one after the other
+PASSED = 1_600_000      # texts of fewer tokens are passed over again, EPOCHS times at most
+CHUNK = 1 << 20         # tokens put in random order at once
+FLAT = 64               # up to so many outcomes are one class
 DIM, NOISE, EPOCHS, BATCH, RATE = 24, 64, 4, 512, 0.08
 ALPHA = 0.1
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -84,81 +91,234 @@ def _head(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
 
 
+def vocabulary_size(tokens: int) -> int:
+    """Words the model knows: 1,022 up to 32,000 tokens, and ten times as many for a thousand times the tokens."""
+    return max(1022, int(32 * tokens ** (1 / 3)))
+
+
+def class_starts(share_: np.ndarray) -> np.ndarray:
+    """First outcome of every class. Classes are runs of outcomes with like sums of root shares, so frequent words share
+    theirs with few others; the end and the other words are alone."""
+    if len(share_) <= FLAT:
+        return np.zeros(1, dtype=np.int64)
+    mass = np.cumsum(np.sqrt(share_[2:]))
+    number = (mass / mass[-1] * math.sqrt(len(share_)) * (1 - 1e-9)).astype(np.int64)
+    return np.concatenate([[END, OTHER], 2 + np.flatnonzero(np.diff(number, prepend=-1))])
+
+
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of every row, which are written over."""
+    top = z.max(1, keepdims=True)
+    z -= top
+    np.exp(z, out=z)
+    return np.log(z.sum(1)) + top[:, 0]
+
+
+def _odds(z: np.ndarray) -> np.ndarray:
+    """Logistic function, written over its argument."""
+    np.clip(z, -30, 30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
 @dataclass(frozen=True)
 class LogBilinear:
-    """``first`` and ``second`` hold the scores a token gets from the last and the last but one token."""
+    """Rows of ``target`` and ``groups`` end in the bias; ``scales`` are of the last and the last but one token."""
 
     ids: dict[bytes, int]
-    first: np.ndarray
-    second: np.ndarray
-    normaliser: np.ndarray
+    starts: np.ndarray
+    context: np.ndarray
+    target: np.ndarray
+    groups: np.ndarray
+    scales: np.ndarray
+
+    # The tables of a model with one class.
+    @property
+    def first(self) -> np.ndarray:
+        return (self.context * self.scales[0]) @ self.target[:, :-1].T + self.target[:, -1]
+
+    @property
+    def second(self) -> np.ndarray:
+        return (self.context * self.scales[1]) @ self.target[:, :-1].T
+
+    @property
+    def normaliser(self) -> np.ndarray:
+        return np.stack([_log_sum(self.first + row) for row in self.second])
+
+    def logs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """Natural log probabilities of tokens after ``two, one``."""
+        out = np.empty(len(ids))
+        ends = np.append(self.starts[1:], len(self.target))
+        for a in range(0, len(ids), step):
+            w = ids[a:a + step]
+            ctx = self.context[one[a:a + step]] * self.scales[0] + self.context[two[a:a + step]] * self.scales[1]
+            group = np.searchsorted(self.starts, w, side="right") - 1
+            log = np.empty(len(w))
+            for b in range(0, len(w), 1 << 11):  # what the processor's cache holds
+                z = ctx[b:b + (1 << 11)] @ self.groups[:, :-1].T
+                z += self.groups[:, -1]
+                log[b:b + (1 << 11)] = z[np.arange(len(z)), group[b:b + (1 << 11)]]
+                log[b:b + (1 << 11)] -= _log_sum(z)
+            order = np.argsort(group, kind="stable")
+            bounds = np.searchsorted(group[order], np.arange(len(self.starts) + 1))
+            for g in np.flatnonzero((np.diff(bounds) > 0) & (ends - self.starts > 1)):
+                at, members = order[bounds[g]:bounds[g + 1]], self.target[self.starts[g]:ends[g]]
+                z = ctx[at] @ members[:, :-1].T
+                z += members[:, -1]
+                own = z[np.arange(len(at)), w[at] - self.starts[g]].astype(np.float64)
+                log[at] += own - _log_sum(z)
+            out[a:a + step] = log
+        return out
+
+
+def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all sequences, with the last and the last but one token before each."""
+    padded = [np.concatenate([[END, END], s]) for s in sequences if len(s)]
+    if not padded:
+        return (np.array([], dtype=np.int64),) * 3
+    return tuple(np.concatenate([s[2 - k:len(s) - k] for s in padded]) for k in range(3))
 
-    def log10(self, ids: np.ndarray) -> float:
-        """log10 probability of a token sequence that ends in :data:`END`."""
-        one = np.concatenate([[END], ids[:-1]])
-        two = np.concatenate([[END], one[:-1]])
-        z = self.first[one, ids].astype(np.float64) + self.second[two, ids] - self.normaliser[two, one]
-        return float(z.sum() / math.log(10))
 
+class Trainer:
+    """Noise-contrastive estimation with noise from the unigram distribution ``share_``.
 
-def train(sequences: list[np.ndarray], ids: dict[bytes, int], share_: np.ndarray, seed: int = 1,
-          dim: int = DIM, noise: int = NOISE, epochs: int = EPOCHS) -> LogBilinear:
-    """Noise-contrastive estimation with noise from the unigram distribution ``share_``, then exact normalisers."""
-    rng = np.random.default_rng(seed)
-    size = len(share_)
-    context = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
-    target = rng.normal(0, 0.1, (size, dim)).astype(np.float32)
-    near, far = (np.ones(dim, np.float32), np.ones(dim, np.float32) * 0.5)
-    bias = np.log(share_).astype(np.float32)
-    padded = [np.concatenate([[END, END], s]) for s in sequences if len(s)]
-    w = np.concatenate([s[2:] for s in padded]) if padded else np.array([], dtype=np.int64)
-    one = np.concatenate([s[1:-1] for s in padded]) if padded else w
-    two = np.concatenate([s[:-2] for s in padded]) if padded else w
-    log_noise = np.log(share_ * noise).astype(np.float32)
-    cumulative = np.cumsum(share_)
-    state = [np.full_like(x, 1e-6) for x in (context, target, near, far, bias)]
-
-    def step(i: int, x: np.ndarray, g: np.ndarray, rows: np.ndarray | None = None) -> None:
+    Parameters are rows of four tables: context vectors, vectors of outcomes and of classes with their bias, scales.
+    ``state`` sums the squared gradients of every row, ``changes`` counts what it was changed for.
+    """
+
+    def __init__(self, share_: np.ndarray, dim: int = DIM, noise: int = NOISE, seed: int = 1):
+        rng, size = np.random.default_rng(seed), len(share_)
+        self.share, self.noise, self.starts = share_, noise, class_starts(share_)
+        self.of = np.searchsorted(self.starts, np.arange(size), side="right") - 1
+        self.group_share = np.add.reduceat(share_, self.starts)
+        vectors = lambda p: np.column_stack([rng.normal(0, 0.1, (len(p), dim)), np.log(p)])
+        tables = (rng.normal(0, 0.1, (size, dim)), vectors(share_), vectors(self.group_share), np.array([[1.0], [0.5]]).repeat(dim, 1))
+        self.tables = [t.astype(np.float32) for t in tables]
+        self.state = [np.full(len(t), 1e-6, dtype=np.float32) for t in self.tables]
+        self.changes = [np.zeros(len(t)) for t in self.tables]
+
+    def model(self, ids: dict[bytes, int]) -> LogBilinear:
+        return LogBilinear(ids, self.starts, *self.tables)
+
+    def _step(self, i: int, g: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is None:
-            state[i] += g * g
-            x -= RATE * g / np.sqrt(state[i])
-            return
-        order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
-        total = np.add.reduceat(g[order], first, axis=0)
-        state[i][own] += total * total
-        x[own] -= RATE * total / np.sqrt(state[i][own])
-
-    for _ in range(epochs if len(w) else 0):
+            own = slice(None)
+            self.changes[i] += 1
+        else:
+            order = np.argsort(rows, kind="stable")
+            own, first = np.unique(rows[order], return_index=True)
+            g = np.add.reduceat(g[order], first, axis=0)
+            self.changes[i][own] += np.diff(first, append=len(rows))
+        self.state[i][own] += (g * g).mean(1)
+        self.tables[i][own] -= RATE * g / np.sqrt(self.state[i][own])[:, None]
+
+    def learn(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator) -> None:
+        context, target, groups, scales = self.tables
+        log_noise, log_groups = (np.log(x * self.noise).astype(np.float32) for x in (self.share, self.group_share))
+        cumulative, weight = np.cumsum(self.share), (self.group_share * self.noise).astype(np.float32)
         order = rng.permutation(len(w))
         for a in range(0, len(w), BATCH):
             at = order[a:a + BATCH]
-            ctx = context[one[at]] * near + context[two[at]] * far
+            x, x1, x2 = w[at], one[at], two[at]
+            n, c1, c2 = np.float32(len(at)), context[x1], context[x2]
+            ctx = np.ones((len(at), target.shape[1]), np.float32)
+            np.add(c1 * scales[0], c2 * scales[1], out=ctx[:, :-1])
             # One set of noise tokens serves the whole batch, so its scores are one matrix product.
-            other = np.searchsorted(cumulative, rng.random(noise) * cumulative[-1]).clip(0, size - 1)
-            good = (ctx * target[w[at]]).sum(1) + bias[w[at]] - log_noise[w[at]]
-            bad = ctx @ target[other].T + bias[other] - log_noise[other]
-            g_good = -1 / (1 + np.exp(np.clip(good, -30, 30)))
-            g_bad = 1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-            g_ctx = g_good[:, None] * target[w[at]] + g_bad @ target[other]
-            n = np.float32(len(at))
-            rows = np.concatenate([w[at], other])
-            step(1, target, np.concatenate([g_good[:, None] * ctx, g_bad.T @ ctx]) / n, rows)
-            step(4, bias, np.concatenate([g_good, g_bad.sum(0)]) / n, rows)
-            step(0, context, np.concatenate([g_ctx * near, g_ctx * far]) / n, np.concatenate([one[at], two[at]]))
-            step(2, near, (g_ctx * context[one[at]]).sum(0) / n)
-            step(3, far, (g_ctx * context[two[at]]).sum(0) / n)
-    first = (context * near) @ target.T + bias
-    second = (context * far) @ target.T
-    normaliser = np.empty((size, size), np.float32)
-    for two_ in range(size):
-        z = first + second[two_]
-        top = z.max(1, keepdims=True)
-        normaliser[two_] = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-    return LogBilinear(ids, first.astype(np.float32), second.astype(np.float32), normaliser)
-
-
-def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
+            other = np.searchsorted(cumulative, rng.random(self.noise) * cumulative[-1]).clip(0, len(self.share) - 1)
+            vectors = target[x]
+            good = _odds(np.einsum("ij,ij->i", ctx, vectors) - log_noise[x]) - 1
+            z = ctx @ target[other].T
+            z -= log_noise[other]
+            bad = _odds(z)
+            g_ctx = good[:, None] * vectors + bad @ target[other]
+            g_target = np.concatenate([good[:, None] * ctx, bad.T @ ctx]) / n
+            if len(groups) > 1:
+                # All classes serve as noise, each with its expected number of draws.
+                z, own = ctx @ groups.T, (np.arange(len(at)), self.of[x])
+                z -= log_groups
+                g = _odds(z)
+                hit = g[own] - 1
+                g *= weight
+                g[own] += hit
+                g_ctx += g @ groups
+                self._step(2, g.T @ ctx / n)
+            g_ctx = g_ctx[:, :-1]
+            self._step(1, g_target, np.concatenate([x, other]))
+            g_scales = np.stack([(g_ctx * c1).sum(0), (g_ctx * c2).sum(0)]) / n
+            self._step(0, np.concatenate([g_ctx * scales[0], g_ctx * scales[1]]) / n, np.concatenate([x1, x2]))
+            self._step(3, g_scales)
+
+    def changed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers over all tables, changes, and values with the state, of the rows that were changed."""
+        rows, n, values, base = [], [], [], 0
+        for table, state, changes in zip(self.tables, self.state, self.changes):
+            own = np.flatnonzero(changes)
+            full = np.zeros((len(own), self.tables[1].shape[1] + 1))
+            full[:, :table.shape[1]], full[:, -1] = table[own], state[own]
+            rows, n, values, base = [*rows, own + base], [*n, changes[own]], [*values, full], base + len(table)
+        return np.concatenate(rows), np.concatenate(n), np.concatenate(values)
+
+    def take(self, rows: np.ndarray, values: np.ndarray) -> None:
+        base = 0
+        for table, state in zip(self.tables, self.state):
+            mine = (rows >= base) & (rows < base + len(table))
+            at = rows[mine] - base
+            table[at], state[at] = values[mine, :table.shape[1]], values[mine, -1]
+            base += len(table)
+
+
+def train(sequences: list[np.ndarray], ids: dict[bytes, int], share_: np.ndarray, seed: int = 1,
+          dim: int = DIM, noise: int = NOISE, epochs: int = EPOCHS) -> LogBilinear:
+    """A model of sequences that fit into one process."""
+    trainer, rng = Trainer(share_, dim, noise, seed), np.random.default_rng(seed)
+    for _ in range(epochs):
+        trainer.learn(*windows(sequences), rng)
+    return trainer.model(ids)
+
+
+def encode(found: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    return np.array([*(ids.get(w, OTHER) for w in found), END], dtype=np.int64)
+
+
+def train_all(teaching: DataFrame, tokens: int, ids: dict[bytes, int], share_: np.ndarray, sample: int = SAMPLE) -> LogBilinear:
+    """A model of all texts of ``teaching`` (``row_key, text``), ``tokens`` with the ends.
+
+    A round's parameters are averaged by one aggregate over rows of parameters, so the driver receives one set of them.
+    """
+    context = teaching.sparkSession.sparkContext
+    trainer = Trainer(share_)
+    names = [f"x{i}" for i in range(DIM + 2)]
+    rounds = ROUNDS if tokens > sample else 1
+    tasks = min(max(1, tokens // (rounds * sample)), 2 * context.defaultParallelism)
+    for number in range(rounds * min(EPOCHS, max(1, -(-PASSED // max(1, tokens)))) if tokens else 0):
+        shared = context.broadcast((trainer, ids))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            trainer, ids = copy.deepcopy(shared.value[0]), shared.value[1]
+            rng = np.random.default_rng((number, TaskContext.get().partitionId()))
+            held, size = [], 0
+            for batch in small_batches(batches, "text"):
+                for text in binaries(batch, "text"):
+                    held.append(encode(words(text), ids))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        trainer.learn(*windows(held), rng)
+                        held, size = [], 0
+            trainer.learn(*windows(held), rng)
+            rows, n, values = trainer.changed()
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(n), *(pa.array(v) for v in (values * n[:, None]).T.copy())], names=["row", "n", *names])
+
+        part = teaching.filter(F.floor(share(F.col("row_key")) * rounds) == number % rounds).select("text").coalesce(tasks)
+        sums = part.mapInArrow(run, "row long, n double, " + ", ".join(f"{x} double" for x in names)).groupBy("row").agg(
+            F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()
+        trainer.take(sums["row"].to_numpy(), np.column_stack([sums[x].to_numpy() for x in names]) / sums["n"].to_numpy()[:, None])
+        shared.unpersist()
+    return trainer.model(ids)
+
+
+def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, row_key, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Texts of rows where ``trains`` (over doc_id) holds are learnt from.
@@ -171,21 +331,13 @@ def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int =
     ends = teaching.count()
     tokens, kinds = (known["n"] or 0) + ends, known["v"] + (ends > 0)
     frequent = _head(counts, head)
-    ids = {w: i for i, (w, _) in enumerate(frequent[:vocabulary], 2)}
-    within = sum(n for _, n in frequent[:vocabulary])
+    known_words = frequent[:vocabulary or vocabulary_size(tokens)]
+    ids = {w: i for i, (w, _) in enumerate(known_words, 2)}
+    within = sum(n for _, n in known_words)
     rest, rest_kinds = tokens - ends - within, known["v"] - len(ids)
-    share_ = np.array([ends, rest, *(n for _, n in frequent[:vocabulary])], dtype=float) + 1
+    share_ = np.array([ends, rest, *(n for _, n in known_words)], dtype=float) + 1
     share_ /= share_.sum()
-
-    fraction = sample / max(1, tokens)
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            out = [[ids.get(w, OTHER) for w in words(t)] + [END] for t in binaries(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(out, pa.list_(pa.int32()))], names=["row_key", "ids"])
-
-    taken = teaching.filter(share(F.col("row_key")) < fraction).select("row_key", "text").mapInArrow(encoded, "row_key long, ids array<int>").toArrow().sort_by("row_key")
-    model = train([np.array(x, dtype=np.int64) for x in taken["ids"].to_pylist()], ids, share_)
+    model = train_all(teaching, tokens, ids, share_, sample)
     lookup = {w: n for w, n in frequent}
     shared = spark.sparkContext.broadcast((lookup, model))
     base_total = math.log10(tokens + ALPHA * (kinds + 1))
@@ -198,16 +350,18 @@ def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int =
         logs = {w: math.log10(n + ALPHA) for w, n in lookup.items()}
         for batch in small_batches(batches, "text"):
             columns: list[list] = [[] for _ in range(7)]
-            for text in binaries(batch, "text"):
-                found = words(text)
+            split = [words(text) for text in binaries(batch, "text")]
+            sequences = [encode(found, vocabulary) for found in split]
+            # Every sequence has its end, so none of the sums is over nothing.
+            model_logs = np.add.reduceat(model.logs(*windows(sequences)), np.cumsum([0, *(len(x) for x in sequences[:-1])])) / math.log(10)
+            for found, model_log in zip(split, model_logs.tolist()):
                 rare = Counter(w for w in found if w not in lookup)
                 n_rare = sum(rare.values())
-                sequence = np.array([vocabulary.get(w, OTHER) for w in found] + [END], dtype=np.int64)
                 log_sum = math.fsum(logs[w] for w in found if w in lookup)
                 outside = [logs[w] for w in found if w in lookup and w not in vocabulary]
                 for c, x in zip(columns, (
                         len(found) + 1, len(found) - n_rare, log_sum, math.fsum(outside),
-                        len(outside) + n_rare, model.log10(sequence), list(rare.items()))):
+                        len(outside) + n_rare, model_log, list(rare.items()))):
                     c.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(),
                      pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
@@ -225,6 +379,8 @@ def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int =
     n = F.coalesce("n", F.lit(0))
     tails = rare.join(counts, "word", "left").groupBy("row_key").agg(
         F.sum(F.col("times") * F.log10(n + ALPHA)).alias("tail_logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("tail_known"))
+    # A matrix product rounds by a row's place in it; rows that repeat take one of their values.
+    tails = passed.groupBy("row_key").agg(F.min("model_log").alias("same_log")).join(tails, "row_key", "left")
     tail_logs = F.coalesce("tail_logs", F.lit(0.0))
     end_log = math.log10(ends + ALPHA)
     return passed.drop("rare").join(tails, "row_key", "left").select(
@@ -232,7 +388,7 @@ def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int =
         (F.col("n_head") + F.coalesce("tail_known", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_logs") + tail_logs + end_log - F.col("n_tokens") * base_total).alias("base_score"),
-        (F.col("model_log") + F.col("outside_logs") + tail_logs - F.col("n_outside") * rest_total).alias("score"))
+        (F.col("same_log") + F.col("outside_logs") + tail_logs - F.col("n_outside") * rest_total).alias("score"))
 
 
 def held_out() -> Column:

@@ -150,6 +150,28 @@ def test_probabilities_sum_to_one():
     assert np.allclose(p.sum(2), 1, atol=1e-4)
 
 
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    share = rng.random(150) + 0.1
+    share /= share.sum()
+    model = lm.train([np.append(rng.integers(1, 150, 30), 0) for _ in range(40)], {}, share, epochs=2)
+    assert len(model.starts) > 2
+    every = np.arange(150)
+    for one, two in ((0, 0), (7, 0), (149, 60)):
+        logs = model.logs(every, np.full(150, one), np.full(150, two), step=64)
+        assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
+def test_vocabulary_and_training_grow_with_the_corpus(spark):
+    assert lm.vocabulary_size(0) == 1022 and lm.vocabulary_size(10**9) > 9 * lm.vocabulary_size(10**6)
+    # Every text is learnt from: pairs that each occur in a single text beat the unigram model.
+    rows = [(i, f"left{i} right{i} " * 40) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = lm.scored(df, F.lit(True), sample=4_000).collect()
+    gains = [r["score"] - r["base_score"] for r in got]
+    assert len(got) == 400 and min(gains) > 0
+
+
 # Quality
 
 def test_compiled_rules_equal_the_model(spark):
