@@ -2,8 +2,9 @@
 
 A page is read by regular expressions: comments, scripts and styles are cut out, then every ``href`` of an
 ``a`` tag is taken in order and resolved against the page's URL. Navigation is what lies in ``nav`` and ``aside``
-elements, or in an element with ``role="navigation"`` or one of the usual class names, up to the first
-closing tag of the same name.
+elements, or in an element with ``role="navigation"`` or one of the usual class names, at any depth. Where it ends is
+found by folding all tags in order: a container ends with its own closing tag, with that of an element around it, or
+with the page.
 """
 
 from __future__ import annotations
@@ -12,9 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>"
-_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_NAVIGATION = (r"""(?is)<(nav|aside)\b[^>]*>.*?</\1\s*>|<(\w+)\b[^>]*(?:\brole\s*=\s*["']?navigation\b|"""
-               r"""\bclass\s*=\s*["'][^"']*(?<![\w-])(?:toc|sidebar|sidebar-links)(?![\w-]))[^>]*>.*?</\2\s*>""")
+# Quoted values may hold angle brackets; the possessive loops neither backtrack nor recurse.
+_QUOTED = r"""|"[^"]*+"|'[^']*+'"""
+_TAG = rf"""</?[A-Za-z](?:[^>"']++{_QUOTED})*+>"""
+_HREF = rf"""(?is)<a(?=\s)(?:[^>"'\s]++|\s(?!href\s*=){_QUOTED})*+\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+_NAMES = "(?:toc|sidebar|sidebar-links)"
+_MARK = (r"""(?:role\s*=\s*(?:navigation(?=[\s>])|"navigation"|'navigation')|"""
+         rf"""class\s*=\s*(?:{_NAMES}(?=[\s>])|"(?:[^"]*\s)?{_NAMES}(?:\s[^"]*)?"|'(?:[^']*\s)?{_NAMES}(?:\s[^']*)?'))""")
+_CONTAINER = rf"""(?is)^<(?:(?:nav|aside)(?![\w:-])|\w(?:[^>"'\s]++|\s(?!{_MARK}){_QUOTED})*+\s{_MARK})"""
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_IMPLIED = ("p", "li", "dt", "dd", "tr", "td", "th", "option")  # one ends where the next one of its name starts
 # Character references that occur in links; the ampersand comes last.
 _REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -31,6 +39,34 @@ def hrefs(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), _unquoted)
 
 
+def navigation_tags(html: Column) -> Column:
+    """The opening ``a`` tags inside navigation, in order.
+
+    The fold keeps the names of the open elements and the place of the outermost container among them.
+    """
+    tags = F.transform(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0)), lambda t: F.struct(
+        t.alias("tag"), F.lower(F.regexp_extract(t, r"^</?([\w:-]+)", 1)).alias("name"), t.startswith("</").alias("closes"),
+        t.rlike(_CONTAINER).alias("opens")))
+    tags = F.filter(tags, lambda t: ~t["name"].isin(*_VOID))
+    # Pages without navigation need no fold.
+    tags = F.when(F.exists(tags, lambda t: t["opens"]), tags)
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("base"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        n = F.size(s["open"])
+        back = F.array_position(F.reverse(s["open"]), t["name"]).cast("int")
+        left = F.when(t["closes"] & (back > 0), n - back).when(
+            ~t["closes"] & (back == 1) & t["name"].isin(*_IMPLIED), n - 1).otherwise(n)
+        kept = F.slice(s["open"], F.lit(1), left)
+        base = F.when(s["base"] > left, F.lit(0)).otherwise(s["base"])
+        return F.struct(
+            F.when(t["closes"], kept).otherwise(F.concat(kept, F.array(t["name"]))).alias("open"),
+            F.when((base == 0) & t["opens"], left + 1).otherwise(base).alias("base"),
+            F.when((base > 0) & (t["name"] == "a") & ~t["closes"], F.concat(s["found"], F.array(t["tag"]))).otherwise(s["found"]).alias("found"))
+
+    return F.coalesce(F.aggregate(tags, start, step, lambda s: s["found"]), F.array().cast("array<string>"))
+
+
 def _without_dots(path: Column) -> Column:
     """``.`` and ``..`` segments resolved; nothing climbs above the root."""
     tail = F.regexp_extract(path, r"[?#].*$", 0)
@@ -65,7 +101,7 @@ def link_pages(pages: DataFrame) -> DataFrame:
     ``text`` is the page's characters outside tags, enough to tell a blank page.
     """
     read = pages.withColumn("_seen", F.regexp_replace(F.coalesce("html", F.lit("")), _HIDDEN, " "))
-    areas = F.array_join(F.regexp_extract_all("_seen", F.lit(_NAVIGATION), F.lit(0)), "\n")
+    areas = F.array_join(navigation_tags(F.col("_seen")), "\n")
     menu = F.array_distinct(F.filter(hrefs(areas), lambda h: (h != "") & ~h.startswith("#")))
     url = F.col("url")
     return read.select(

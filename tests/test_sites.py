@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import markup
 from shelfmark.functions import urls as U
+from shelfmark.functions.links import link_pages
 from shelfmark.operators import crawl, discovery, duplicates, inspection
 from shelfmark.session import fresh_dir
 from shelfmark.sources import store as sinks
@@ -95,6 +97,27 @@ def test_discover_and_links(spark):
     assert [r["pos"] for r in plain] == [2, 0, 1]
 
 
+PAGES = [
+    '<div class="sidebar"><div><a href=1></a></div><a href=2></a></div><a href=3></a>',
+    '<nav><nav><a href="/a">x</a></nav><a href="/b">y</a></nav><a href="/c">z</a>',
+    '<ul role="navigation"><li><ul><li><a href="a">x</a></ul><li><a href="b">y</a></ul><a href="c">z</a>',
+    '<aside><a href="a">x</a><p><a data-href="no" href="b">y</a>',
+    '<NAV><div class="toc"><A HREF="a">x</A></div><a class="k" href=\'b\'>y</a></NAV><a href="c">z</a>',
+    '<div class="my-toc toc2"><a href="a">x</a></div><div class="x toc"><a title="a>b" href="b">y</a></div>',
+    '<div data-class="toc"><a href="a">x</a></div><img class="toc"><a href="b">x</a><nav></nav><a href="c">z</a>',
+    '<a class="toc" href="self">x</a><a data-href="only">y</a><navy><a href="z">x</a></navy><a href="#t">q</a>', "plain", "",
+    '<div><nav><a href="a">x</a></div><a href="b">y</a>', '<nav><p><a href="a">x</a><p></div><a href="b">y</a>',
+    "<b " + "x='y' " * 5000 + "><nav><a " + "x='y' " * 5000 + 'href="a">x</a></nav>']
+
+
+def test_links_and_navigation_equal_the_parser(spark):
+    url = "https://e.com/g/start"
+    pages = spark.createDataFrame([(i, url, h) for i, h in enumerate(PAGES)], "i int, url string, html string")
+    for r in link_pages(pages).collect():
+        want = markup.web_page(PAGES[r["i"]], url)
+        assert (r["links"], r["nav_links"]) == (want["links"], want["nav_links"]), PAGES[r["i"]]
+
+
 def crawl_model(graph, texts, start, max_pages, same_host, existing, seeds=()):
     """A queue, one page at a time."""
     key = lambda u: u.split("//")[1].rstrip("/")
