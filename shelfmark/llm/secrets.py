@@ -42,8 +42,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA[A-Z0-9]{14}"),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
 )
+# A key runs to its END line. Without one it takes in header lines, words of base64 and a last, shorter line of it.
+# Possessive loops neither backtrack nor recurse, however long the key is.
+_GAP = r"(?:\s|\\[rn])++"
+_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=\s\\:,._]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|"
+        rf"(?:{_GAP}[A-Za-z-]{{4,}}:\x20[^\r\n]*+)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+(?![A-Za-z0-9+/=._-]))++"
+        r"(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]{1,15}+={0,2}+(?=[ \t]*(?:\r?\n|\\n|$)))?|)")
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY"),
+    Rule("private_key", _KEY, 0, 1, r"-----BEGIN [A-Z ]*PRIVATE KEY"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
 RULES = BASE + MORE
@@ -133,7 +139,10 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every finding replaced by its kind in brackets, one rule after the other."""
-    for rule in rules:
+    """The text with every finding replaced by its kind in brackets, one rule after the other.
+
+    Keys come first, as what another rule replaces inside one would cut it short.
+    """
+    for rule in sorted(rules, key=lambda r: r.kind != "private_key"):
         text = F.when(text.rlike(rule.probe), _masked(text, rule)).otherwise(text)
     return text
