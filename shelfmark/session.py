@@ -52,15 +52,16 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", *folders: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage.
 
     Unlike a local checkpoint the files outlive any executor, so a lost machine
-    costs a re-read and not the whole history of an iterative job.
+    costs a re-read and not the whole history of an iterative job. Columns named as
+    ``folders`` partition the files.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
