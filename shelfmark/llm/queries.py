@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import balltree, decontam, langid, lm, neardup, pieces, quality, secrets, tokens, toxicity
+from . import audit, balltree, decontam, langid, lm, neardup, pieces, pii, quality, ranked, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -87,3 +87,23 @@ def op9_language_model(table):
 def op10_quality(table):
     found = quality.scored(table("documents"), table("labels"), ~quality.held_out())
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_pii(table):
+    found = pii.find(table("documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
+    count = lambda n: F.size(F.filter("spans", lambda s: s["rank"] == n)).cast("long")
+    return found.select(
+        "doc_id", *[count(n).alias(f"n_{kind.name}") for n, kind in enumerate(pii.BASE)],
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_ranked_search(table):
+    return ranked.search(table("documents"), table("benchmark"))
+
+
+@query
+def op13_filter_audit(table):
+    return audit.audit(table("documents"), table("labels"))

@@ -6,7 +6,8 @@ A run scans only the pairs the ledger lacks, appends them, and joins the finding
 that holds the blob.
 
 Defined results: a null or empty text is the blob of the empty text and has no findings; repeated
-rows share a blob and its findings; an empty table gives no rows and leaves the ledger as it was.
+rows share a blob and its findings; an empty table gives no rows and leaves the ledger as it was. A pair that two jobs
+have written to the ledger counts once.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def scan_versions(rows: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     known = read_ledger(spark, path).filter(F.col("rule_version") == version)
     unseen = named.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
     scan(unseen, rules).select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(path)
-    found = read_ledger(spark, path).filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    found = read_ledger(spark, path).filter((F.col("rule_version") == version) & (F.size("spans") > 0)).groupBy("blob").agg(
+        F.first("spans").alias("spans"))
     return named.select("doc_id", "blob").join(found, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 

@@ -19,7 +19,8 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op2_ball_tree", "op3_decontaminate", "op5_superminhash", "op7_secret_scan"])
+@pytest.mark.parametrize("name", [
+    "op2_ball_tree", "op3_decontaminate", "op5_superminhash", "op7_secret_scan", "op11_pii", "op12_ranked_search", "op13_filter_audit"])
 def test_query_equals_sql(spark, duck, name):
     from shelfmark.llm.oracles import ORACLES
     from shelfmark.llm.queries import QUERIES
@@ -35,7 +36,7 @@ def test_entry_registers_every_operator():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
 
 
