@@ -101,9 +101,13 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
 
 
+def bm25_weight(tf: Column, length: Column, avg_length: Column) -> Column:
+    """What a term's count is worth, before its rarity; over ``BM25_DELTA`` and at most ``BM25_K1 + 1`` more."""
+    return tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / avg_length))) + BM25_DELTA
+
+
 def _bm25_term(n: Column, df: Column, tf: Column, length: Column, avg_length: Column) -> Column:
-    weight = tf * (BM25_K1 + 1.0) / (tf + BM25_K1 * (1.0 - BM25_B + BM25_B * (length / avg_length)))
-    return _idf(n, df) * (weight + BM25_DELTA)
+    return _idf(n, df) * bm25_weight(tf, length, avg_length)
 
 
 def bm25(candidates: DataFrame, questions: DataFrame) -> DataFrame:

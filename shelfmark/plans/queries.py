@@ -15,7 +15,7 @@ from ..functions.vectors import cosine
 from ..operators import (chunking, conversations, crawl, discovery, duplicates, evaluation, inspection,
                          parsing, planning, ranking, structural, telemetry, vector_search)
 from ..operators.ann import ivf_search, train_cells
-from ..operators.lexical_index import build_lexical_index, lexical_search
+from ..operators.lexical_index import lexical_search
 from ..sources import readers, store as sinks
 from ..session import fresh_dir, ship_package, spread
 from ..streaming import jobs as streams
@@ -442,9 +442,7 @@ def bm25(t):
 @query
 def bm25_corpus(t):
     """The ten best documents of the whole corpus for every benchmark question, by an inverted index."""
-    path = fresh_dir(t.spark, "lexical")
-    build_lexical_index(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), path)
-    return lexical_search(t.spark, path, t.questions(), 10).select(
+    return lexical_search(t.spark, t.lexical_index(), t.questions(), 10).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), *big("rank"))
 
 

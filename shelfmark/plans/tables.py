@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.embedders import HashingEmbedder
 from ..model import Variant
 from ..operators.chunking import chunk, embed_chunks
-from ..session import spread
+from ..operators.lexical_index import build_lexical_index
+from ..session import fresh_dir, spread
 
 FIXED = Variant("fixed_512_128", "fixed", 512, 128)
 TOKEN = Variant("token_512_64", "token", 512, 64)
@@ -18,6 +19,7 @@ RECURSIVE = Variant("recursive_512_64", "recursive", 512, 64)
 SEMANTIC = Variant("semantic_512_64", "semantic", 512, 64)
 # Tables whose rows are long texts, worth spreading before they are read.
 HEAVY = ("documents", "pages", "conversations")
+_INDEXES: dict[tuple[str, str], str] = {}
 VARIANTS = (FIXED, TOKEN, RECURSIVE, SEMANTIC)
 
 
@@ -44,6 +46,15 @@ class Tables:
     def store(self) -> DataFrame:
         return embed_chunks(self.chunks())
 
+    def lexical_index(self) -> str:
+        """The index of all documents, written once for each table path in a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _INDEXES:
+            path = fresh_dir(self.spark, "lexical")
+            build_lexical_index(self.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), path)
+            _INDEXES[key] = path
+        return _INDEXES[key]
+
     def questions(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -255,7 +255,7 @@ def test_corpus_bm25_equals_brute_force(spark):
     path = fresh_dir(spark, "lexical")
     build_lexical_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"), path)
     asked = [(1, "Red fox"), (2, "the dog the"), (3, "absent"), (4, None)]
-    got = lexical_search(spark, path, spark.createDataFrame(asked, "query_id long, question string"), 3).collect()
+    got = lexical_search(spark, path, spark.createDataFrame(asked, "query_id long, question string"), 3, full=4).collect()
     split = lambda t: re.findall(r"[\w']+", (t or "").lower())
     words = [split(t) for t in texts]
     n, mean = len(texts), sum(map(len, words)) / len(texts)
@@ -271,3 +271,46 @@ def test_corpus_bm25_equals_brute_force(spark):
                 scores.append((-round(s, 9), i))
         want += [(q, i, r) for r, (_, i) in enumerate(sorted(scores)[:3], 1)]
     assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_lexical_index_skips_what_cannot_win(spark):
+    """Stop words fill the corpus; a search reads few of their postings and finds what a full search finds."""
+    import math
+    from collections import Counter
+
+    from shelfmark.operators.lexical_index import build_lexical_index, lexical_search, search_depths
+    from shelfmark.session import fresh_dir
+
+    rnd = random.Random(8)
+    common, rare = ["the", "of", "and", "in"], [f"r{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(common, [8, 4, 3, 1], k=rnd.randint(3, 60)) + rnd.choices(rare, k=rnd.randint(0, 30))) for _ in range(3000)]
+    path = fresh_dir(spark, "lexical")
+    build_lexical_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(5), path)
+    asked = [(1, "the"), (2, "the of and"), (3, "the r7 of"), (4, "r1 r2 r3 r4"), (5, "in"), (6, "unknown the")]
+    questions = spark.createDataFrame(asked, "query_id long, question string")
+    got = lexical_search(spark, path, questions, 10, full=0).collect()
+    assert sorted(got) == sorted(lexical_search(spark, path, questions, 10).collect())
+    words = [t.split() for t in texts]
+    counts, df = [Counter(w) for w in words], Counter(w for ws in words for w in set(ws))
+    mean, want = sum(map(len, words)) / len(words), []
+    for q, question in asked:
+        scores = []
+        for i, tf in enumerate(counts):
+            s = sum(math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * (tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(words[i]) / mean)) + 0.5)
+                    for t in question.split() if tf[t])
+            if s:
+                scores.append((-round(s, 9), i))
+        want += [(q, i, r) for r, (_, i) in enumerate(sorted(scores)[:10], 1)]
+    assert sorted((r["query_id"], r["chunk_id"], r["rank"]) for r in got) == sorted(want)
+    shares = {r["query_id"]: r["s"] for r in search_depths(spark, path, questions, 10, full=0).groupBy("query_id").agg(
+        (F.sum("n_read") / F.sum("n")).alias("s")).collect()}
+    assert shares[1] < 0.2 and shares[6] < 0.2 and shares[3] < 0.2, shares
+
+
+def test_lexical_index_without_texts(spark):
+    from shelfmark.operators.lexical_index import build_lexical_index, lexical_search
+    from shelfmark.session import fresh_dir
+
+    path = fresh_dir(spark, "lexical")
+    build_lexical_index(spark.createDataFrame([], "chunk_id long, content string"), path)
+    assert lexical_search(spark, path, spark.createDataFrame([(1, "the")], "query_id long, question string"), 3).count() == 0
