@@ -88,8 +88,9 @@ def prefix_effects(relations: DataFrame, names: list[str]) -> DataFrame:
     whole = (1 << len(names)) - 1
     asked = relations.select("filter", "part", "good", "toxic", "row", chosen(lambda m, bit: not m & bit).alias("prefix"))
     failed = relations.select("row", chosen(lambda m, bit: m & bit and m != whole).alias("prefix"))
-    removed = asked.join(failed, ["row", "prefix"], "left_anti")
-    redundant = asked.join(failed, ["row", "prefix"], "left_semi")
+    # Spark takes a side for as small as its files, without what the explosion adds, so it is told not to broadcast it.
+    removed = asked.join(failed.hint("merge"), ["row", "prefix"], "left_anti")
+    redundant = asked.join(failed.hint("merge"), ["row", "prefix"], "left_semi")
     one = lambda c: F.sum(F.col(c).cast("long")).alias(f"{c}_lost")
     counts = lambda df, prefix, which: df.groupBy("filter", prefix, "part").agg(
         F.count(F.lit(1)).alias(which), *([one("good"), one("toxic")] if which == "removed" else []))
