@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Bitmap, Cached, binaries, small_batches
+from .common import Bitmap, binaries, small_batches
 
 SHARD_DOCS = 1024
 SHARD_BYTES = 8 << 20
@@ -88,20 +88,22 @@ def item_terms(items: DataFrame) -> DataFrame:
 POSTINGS = "shard long, term binary, docs binary, tfs binary, ids array<long>, lengths array<long>"
 
 
-class _Codes(dict):
+class _Codes:
     """Numbers for the words of a shard that may be asked for, -1 for the others."""
 
-    def __init__(self, asked: Cached):
-        super().__init__()
-        self.asked, self.names = asked, []
+    def __init__(self, asked: Bitmap):
+        self.asked, self.names, self.known = asked, [], {}
 
-    def __missing__(self, word: bytes) -> int:
-        code = -1
-        if self.asked[word]:
-            code = len(self.names)
-            self.names.append(word)
-        self[word] = code
-        return code
+    def of(self, words_: list[bytes]) -> np.ndarray:
+        new = list(set(words_).difference(self.known))
+        if new:
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
+            held = self.asked.passes(hashes)
+            self.known.update(dict.fromkeys(new, -1))
+            for at in np.flatnonzero(held).tolist():
+                self.known[new[at]] = len(self.names)
+                self.names.append(new[at])
+        return np.fromiter(map(self.known.__getitem__, words_), dtype=np.int64, count=len(words_))
 
 
 def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -112,12 +114,10 @@ def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap(asked, "hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        held = Cached(lambda w: bool(bits.passes(np.array([signed_hash(w)]))[0]), 1 << 18)
         shard = TaskContext.get().partitionId() << 32
         for whole in small_batches(batches, "text", SHARD_BYTES):
             for a in range(0, whole.num_rows, SHARD_DOCS):
-                yield _packed(whole.slice(a, SHARD_DOCS), shard, _Codes(held))
+                yield _packed(whole.slice(a, SHARD_DOCS), shard, _Codes(bitmap.value))
                 shard += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -129,7 +129,7 @@ def _packed(batch: pa.RecordBatch, shard: int, codes: _Codes) -> pa.RecordBatch:
     for at, text in enumerate(binaries(batch, "text")):
         for piece in words(text):
             lengths[at] += len(piece)
-            found = np.fromiter(map(codes.__getitem__, piece), dtype=np.int64, count=len(piece))
+            found = codes.of(piece)
             keys.append((found[found >= 0] << 32) + at)
     key, times = np.unique(np.concatenate(keys), return_counts=True)
     code, doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
