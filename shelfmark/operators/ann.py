@@ -1,55 +1,256 @@
-"""Inverted-file search: a coarse clustering prunes what an exact search would scan."""
+"""A stored inverted-file index of vectors with product-quantised codes.
+
+A vector, scaled to length one, belongs to the cell of its nearest centre; what it differs from the centre is cut into
+parts, and every part stored as the number of the nearest vector of that part's codebook. Rows lie in one folder per cell, with
+their code, the length of what code and centre leave over, and the vector itself. Centres and codebooks are fitted once, on a
+bounded sample chosen by a hash of the id; rows are added at any time without fitting anew.
+
+A search reads the codes of the probed cells only. A table of products of the question's parts with the codebooks gives the
+score of a row's approximation; a few times as many rows as are asked for go on by it, and are scored on their vectors. What the
+approximation leaves over bounds its error, so the search can also let rows go on proven bounds alone: then the answer is
+exact within the probed cells, and with all cells probed it is that of :func:`~.vector_search.knn`.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import let
-from ..functions.vectors import norm
-from .vector_search import knn
+from ..functions.vectors import cosine
+from .vector_search import MAX_BLOCK_ROWS, SCORE_DIGITS, _arrow_schema, _matrices
 
 DEFAULT_CELLS = 100
-# Distances to cells are sums of products; ties go to the lower cell number.
+SAMPLE = 1 << 14           # vectors the index is fitted on
+SAMPLE_BYTES = 64 << 20
+CODES = 256
+PART = 4                   # dimensions of a vector in one code
+REFINE = 4
+SLACK = 1e-6               # errors are stored in single precision
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Number of the nearest centre, the lower one of equally near."""
+    half = (centres * centres).sum(1) / 2
+    return np.concatenate([(half - rows[a:a + step] @ centres.T).argmin(1) for a in range(0, len(rows), step)] or [np.zeros(0, np.int64)])
+
+
+def _centres(rows: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """At most ``n`` centres of rows by Lloyd's rounds; a centre that loses all its rows moves to the row farthest from its own."""
+    distinct = np.unique(rows, axis=0)
+    centres = distinct[rng.permutation(len(distinct))[:n]]
+    if len(distinct) <= n:
+        return centres
+    for _ in range(rounds):
+        own = _nearest(rows, centres)
+        sizes = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        empty = np.flatnonzero(sizes == 0)
+        far = np.argsort(((rows - centres[own]) ** 2).sum(1))[::-1]
+        centres = sums / np.maximum(sizes, 1)[:, None]
+        centres[empty] = rows[far[:len(empty)]]
+    return centres
+
+
+@dataclass(frozen=True)
+class Quantiser:
+    """``centres`` of cells, and for every part of a vector its codebook (``books``: part, code, dimension)."""
+
+    centres: np.ndarray
+    books: np.ndarray
+
+    @property
+    def dim(self) -> int:
+        return self.centres.shape[1]
+
+    def parts(self, rows: np.ndarray) -> np.ndarray:
+        """Rows cut into parts, the last one filled up with zeros."""
+        padded = np.zeros((len(rows), len(self.books) * self.books.shape[2]))
+        padded[:, :rows.shape[1]] = rows
+        return padded.reshape(len(rows), *self.books.shape[::2])
+
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes and errors of unit vectors."""
+        cells = _nearest(unit, self.centres)
+        rest = self.parts(unit - self.centres[cells])
+        codes = np.stack([_nearest(rest[:, p], book) for p, book in enumerate(self.books)], axis=1)
+        error = rest - self.books[np.arange(len(self.books)), codes]
+        return cells.astype(np.int32), codes.astype(np.uint8), np.sqrt((error * error).sum((1, 2)))
+
+    def tables(self, unit: np.ndarray) -> np.ndarray:
+        """Products of questions' parts with all codes: question, part, code."""
+        return np.einsum("qpd,pcd->qpc", self.parts(unit), self.books)
+
+    @classmethod
+    def fit(cls, unit: np.ndarray, cells: int, seed: int = 42) -> "Quantiser":
+        rng = np.random.default_rng(seed)
+        centres = _centres(unit, cells, rng)
+        rest = unit - centres[_nearest(unit, centres)]
+        books = np.zeros((-(-unit.shape[1] // PART), CODES, PART))
+        for p in range(len(books)):
+            part = np.zeros((len(rest), PART))
+            own = rest[:, p * PART:(p + 1) * PART]
+            part[:, :own.shape[1]] = own
+            found = _centres(part, CODES, rng)
+            books[p] = found[np.arange(CODES) % len(found)]
+        return cls(centres, books)
+
+
+class VectorIndex:
+    """Rows ``chunk_id, embedding`` below one path: ``rows`` in folders by cell, ``centres`` and ``books`` beside them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def fit(self, chunks: DataFrame, cells: int = DEFAULT_CELLS, seed: int = 42) -> None:
+        """Fit centres and codebooks to at most about ``SAMPLE`` rows or ``SAMPLE_BYTES``."""
+        rows = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
+        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+        if not seen["n"] or seen["least"] != seen["most"]:
+            raise ValueError("an index is fitted to vectors of one length")
+        wanted = min(SAMPLE, SAMPLE_BYTES // (8 * max(1, seen["most"])))
+        share = F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        sample = rows.filter(share < wanted / seen["n"]).orderBy(F.xxhash64("chunk_id")).toArrow() if seen["n"] > wanted else rows.orderBy("chunk_id").toArrow()
+        matrix = next(m for _, m in _matrices(sample["embedding"]))
+        model = Quantiser.fit(_unit(matrix), cells, seed)
+        self._write("centres", [(i, v.tolist()) for i, v in enumerate(model.centres)], "number int, vector array<double>")
+        self._write("books", [(p, c, v.tolist()) for p, book in enumerate(model.books) for c, v in enumerate(book)], "part int, code int, vector array<double>")
+
+    def _write(self, name: str, rows: list, schema: str) -> None:
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def quantiser(self) -> Quantiser:
+        centres = self.spark.read.parquet(f"{self.path}/centres").orderBy("number").toArrow()
+        books = self.spark.read.parquet(f"{self.path}/books").orderBy("part", "code").toArrow()
+        matrix = lambda t: np.array(t["vector"].to_pylist(), dtype=np.float64)
+        return Quantiser(matrix(centres), matrix(books).reshape(-1, CODES, PART))
+
+    def insert(self, chunks: DataFrame) -> None:
+        """Add rows of new ids, without fitting anew; rows without a vector are left out."""
+        model = self.spark.sparkContext.broadcast(self.quantiser())
+        rows = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
+        kind = T.StructType(list(rows.schema.fields)).add("cell", "integer").add("codes", "binary").add("error", "float")
+        arrow = _arrow_schema(kind)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, matrix in _matrices(batch.column("embedding")):
+                    if matrix.shape[1] != model.value.dim:
+                        raise ValueError(f"the index holds vectors of {model.value.dim} dimensions, not {matrix.shape[1]}")
+                    cells, codes, errors = model.value.encode(_unit(matrix))
+                    own = batch.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [*own.columns, pa.array(cells), pa.array([c.tobytes() for c in codes], pa.binary()),
+                         pa.array((errors + SLACK).astype(np.float32))], schema=arrow)
+
+        # Spark sizes the files by their bytes and splits a cell that holds a third of all rows.
+        rows.mapInArrow(run, kind).hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{self.path}/rows")
 
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
 
-def _unit(v: Column) -> Column:
-    return let(norm(v), lambda n: F.transform(v, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)))
+    def search(self, questions: DataFrame, k: int, nprobe: int, refine: int | None = REFINE, block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+        """``query_id, chunk_id, score, rank``: the best ``k`` rows of each question's ``nprobe`` nearest cells.
 
+        ``refine`` times ``k`` rows by their approximation are scored exactly; None takes all that may be among the best.
 
-def train_cells(chunks: DataFrame, nlist: int = DEFAULT_CELLS, *, seed: int = 42, max_iter: int = 20) -> np.ndarray:
-    """Cell centres by k-means on unit vectors; ``nlist`` rows reach the driver."""
-    units = chunks.select(array_to_vector(_unit(F.col("embedding"))).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(units)
-    centres = np.asarray(model.clusterCenters())
-    norms = np.linalg.norm(centres, axis=1, keepdims=True)
-    return np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
+        Questions are taken in blocks of bounded size, each of which reads the codes of the cells it probes.
+        """
+        asked = questions.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+        blocks = max(1, -(-asked.count() // block_rows))
+        kind = T.StructType([asked.schema["query_id"], self.rows().schema["chunk_id"]]).add("cell", "integer").add("low", "double").add("high", "double")
+        model, found, probed, keep = self.quantiser(), None, set(), k * (refine or 1)
+        for number in range(blocks):
+            block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+            part, cells = self._candidates(block.toArrow(), model, keep, nprobe, refine is None, kind)
+            probed |= cells
+            found = part if found is None else found.unionByName(part)
+        order = Window.partitionBy("query_id")
+        best = order.orderBy(F.desc("score"), "chunk_id")
+        if refine is None:
+            return found.select("query_id", "chunk_id", F.col("low").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        # The last of the best lower bounds of all tasks is a floor for the upper bounds.
+        floored = found.withColumn("r", F.row_number().over(order.orderBy(F.desc("low")))).withColumn(
+            "floor", F.coalesce(F.max(F.when(F.col("r") == keep, F.col("low"))).over(order), F.lit(-2.0)))
+        kept = floored.filter(F.col("high") >= F.col("floor")).select("query_id", F.col("chunk_id").alias("_id"), F.col("cell").alias("_cell"))
+        vectors = self.rows().filter(F.col("cell").isin(sorted(probed))).select("chunk_id", "embedding", "cell")
+        named = vectors.join(kept, (F.col("chunk_id") == F.col("_id")) & (F.col("cell") == F.col("_cell")))
+        scored = named.join(asked.withColumnRenamed("embedding", "_question"), "query_id").select(
+            "query_id", "chunk_id", F.round(cosine(F.col("_question"), F.col("embedding")), SCORE_DIGITS).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
+    def _candidates(self, block: pa.Table, model: Quantiser, k: int, nprobe: int, bounded: bool, kind: T.StructType) -> tuple[DataFrame, set[int]]:
+        """Rows of probed cells whose upper bound reaches their task's floor, with both bounds; the cells.
 
-def nearest_cells(vector: Column, cells: np.ndarray, n: int) -> Column:
-    """The ``n`` nearest cells of each vector, by an Arrow UDF holding the centres."""
+        If ``bounded``, they are scored on their vectors where they are met, so no more than the best of a task go on, with
+        their score for both bounds. Otherwise the score of the approximation stands for both.
+        """
+        arrow = _arrow_schema(kind)
+        vectors = block["embedding"].to_pylist()
+        if any(len(v) != model.dim for v in vectors):
+            raise ValueError(f"the index holds vectors of {model.dim} dimensions")
+        unit = _unit(np.array(vectors, dtype=np.float64).reshape(-1, model.dim))
+        near = unit @ model.centres.T
+        gap = (model.centres * model.centres).sum(1) / 2 - near
+        probes = np.argsort(gap, axis=1, kind="stable")[:, :nprobe]
+        by_cell = {int(c): np.flatnonzero((probes == c).any(1)) for c in np.unique(probes)}
+        shared = self.spark.sparkContext.broadcast((block["query_id"], unit, near, model.tables(unit), by_cell))
 
-    @F.arrow_udf("array<int>")
-    def run(vectors: pa.Array) -> pa.Array:
-        rows = np.asarray(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), -1)
-        order = np.argsort(-np.round(rows @ cells.T, 9), axis=1, kind="stable")[:, :n]
-        return pa.array(order.tolist(), type=pa.list_(pa.int32()))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, unit, near, tables, by_cell = shared.value
+            floor, lows, held = np.full(len(near), -np.inf), [np.zeros(0)] * len(near), []
 
-    return run(vector)
+            def rise(questions: np.ndarray, low: np.ndarray) -> None:
+                for i, q in enumerate(questions.tolist()):
+                    best = np.concatenate([lows[q], low[i]])
+                    lows[q] = np.partition(best, len(best) - k)[len(best) - k:] if len(best) > k else best
+                    if len(lows[q]) == k:
+                        floor[q] = lows[q].min()
 
+            for batch in batches:
+                cells = batch.column("cell").to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                errors = batch.column("error").to_numpy().astype(np.float64) * bounded
+                for cell in np.unique(cells).tolist():
+                    own, asking = np.flatnonzero(cells == cell), by_cell[cell]
+                    score = np.repeat(near[asking, cell][:, None], len(own), axis=1)
+                    for p in range(codes.shape[1]):
+                        score += tables[asking, p][:, codes[own, p]]
+                    low, high = score - errors[own], score + errors[own]
+                    if bounded:
+                        rows = _unit(next(m for _, m in _matrices(batch.column("embedding").take(pa.array(own)))))
+                        # What cannot reach the floor is not scored; no floor is above the k-th best score.
+                        exact = np.full(high.shape, -np.inf)
+                        q, r = np.nonzero(high >= floor[asking][:, None])
+                        exact[q, r] = np.round(np.einsum("ij,ij->i", unit[asking[q]], rows[r]), SCORE_DIGITS)
+                        low = high = exact
+                    rise(asking, low)
+                    q, r = np.nonzero((high >= floor[asking][:, None]) & (high > -np.inf))
+                    if len(q):
+                        held.append((asking[q], batch.column("chunk_id").take(pa.array(own[r])), np.full(len(q), cell, np.int32), low[q, r], high[q, r]))
+            for q, ids, cell, low, high in held:
+                keep = high >= floor[q]
+                yield pa.RecordBatch.from_arrays(
+                    [names.combine_chunks().take(pa.array(q[keep])).cast(arrow.field(0).type), ids.filter(pa.array(keep)), pa.array(cell[keep]),
+                     pa.array(low[keep]), pa.array(high[keep])], schema=arrow)
 
-def assign_cells(chunks: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Add ``cell``; a store partitioned by it lets a search read the probed cells only."""
-    return chunks.withColumn("cell", F.get(nearest_cells(F.col("embedding"), cells, 1), F.lit(0)))
+        # Partition values, so folders of other cells are not read.
+        rows = self.rows().filter(F.col("cell").isin(sorted(by_cell))).select("chunk_id", "cell", "codes", "error", *(["embedding"] if bounded else []))
+        return rows.mapInArrow(run, kind), set(by_cell)
 
 
-def ivf_search(questions: DataFrame, chunks: DataFrame, cells: np.ndarray, nprobe: int, k: int) -> DataFrame:
-    """Top ``k`` among the chunks of each question's ``nprobe`` nearest cells."""
-    if "cell" not in chunks.columns:
-        chunks = assign_cells(chunks, cells)
-    probing = questions.withColumn("cells", nearest_cells(F.col("embedding"), cells, nprobe))
-    return knn(probing, chunks, k)
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``query_id, recall``: the share of each question's exact hits that were found."""
+    hit = found.select("query_id", "chunk_id", F.lit(1).alias("_hit"))
+    return exact.join(hit, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("_hit", F.lit(0))), 6).alias("recall"))

@@ -415,6 +415,8 @@ SELECT a.vec_id, round({cos('a.v', 'b.v')}, 6) AS score FROM emb a JOIN emb b ON
 
 O["knn"] = f"WITH {VEC_TOP} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM top"
 
+O["ivf_full_probe"] = O["knn"]
+
 O["knn_in_document"] = f"""WITH {VEC_PAIRS}
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY vp.score DESC, chunk_id) AS rank
 FROM vp WHERE ql = cl QUALIFY rank <= 5"""

@@ -14,12 +14,12 @@ from ..functions.text import unnest
 from ..functions.vectors import cosine
 from ..operators import (chunking, conversations, crawl, discovery, duplicates, evaluation, inspection,
                          parsing, planning, ranking, structural, telemetry, vector_search)
-from ..operators.ann import ivf_search, train_cells
+from ..operators.ann import recall
 from ..operators.lexical_index import lexical_search
 from ..sources import readers, store as sinks
 from ..session import fresh_dir, ship_package, spread
 from ..streaming import jobs as streams
-from .tables import FIXED, RECURSIVE, SEMANTIC, TOKEN, VARIANTS, Tables
+from .tables import CELLS, FIXED, RECURSIVE, SEMANTIC, TOKEN, VARIANTS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -472,8 +472,19 @@ def pairwise_distance(t):
 
 @query
 def ivf_search_query(t):
-    cells = train_cells(t.vectors(), 16)
-    return _hits(ivf_search(t.vector_questions(), t.vectors(), cells, nprobe=4, k=10))
+    return _hits(t.vector_index().search(t.vector_questions(), 10, nprobe=12))
+
+
+@query
+def ivf_full_probe(t):
+    """With every cell probed the index gives what an exact search gives."""
+    return _hits(t.vector_index().search(t.vector_questions(), 10, nprobe=CELLS, refine=None))
+
+
+@query
+def ivf_recall(t):
+    found = t.vector_index().search(t.vector_questions(), 10, nprobe=12)
+    return recall(found, vector_search.knn(t.vector_questions(), t.vectors(), 10))
 
 
 @query

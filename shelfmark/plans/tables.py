@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embedders import HashingEmbedder
 from ..model import Variant
+from ..operators.ann import VectorIndex
 from ..operators.chunking import chunk, embed_chunks
 from ..operators.lexical_index import build_lexical_index
 from ..session import fresh_dir, spread
@@ -19,6 +20,7 @@ RECURSIVE = Variant("recursive_512_64", "recursive", 512, 64)
 SEMANTIC = Variant("semantic_512_64", "semantic", 512, 64)
 # Tables whose rows are long texts, worth spreading before they are read.
 HEAVY = ("documents", "pages", "conversations")
+CELLS = 16
 _INDEXES: dict[tuple[str, str], str] = {}
 VARIANTS = (FIXED, TOKEN, RECURSIVE, SEMANTIC)
 
@@ -55,6 +57,17 @@ class Tables:
             _INDEXES[key] = path
         return _INDEXES[key]
 
+    def vector_index(self) -> VectorIndex:
+        """The index of all vectors, written once; a third of them come in by a second insertion."""
+        key = (self.spark.sparkContext.applicationId, f"vectors {self.sf_dir}")
+        if key not in _INDEXES:
+            index = VectorIndex(self.spark, fresh_dir(self.spark, "vectors"))
+            index.fit(self.vectors(), CELLS)
+            index.insert(self.vectors().filter("chunk_id % 3 <> 0"))
+            index.insert(self.vectors().filter("chunk_id % 3 = 0"))
+            _INDEXES[key] = index.path
+        return VectorIndex(self.spark, _INDEXES[key])
+
     def questions(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.vectors import cosine, nearest_rank
 from shelfmark.operators import evaluation, planning, ranking, telemetry, vector_search
-from shelfmark.operators.ann import ivf_search, train_cells
 
 
 def cos(a, b):
@@ -106,14 +105,47 @@ def test_cosine_column(spark):
     assert [r[0] for r in df.select(F.round(cosine(F.col("a"), F.col("b")), 9)).collect()] == [0.0, 1.0]
 
 
-def test_ivf_recall_and_full_probe(spark):
-    questions, chunks = cloud(seed=9, n=400)
+def test_index_recall_full_probe_and_insertion(spark):
+    from shelfmark.operators.ann import VectorIndex, recall
+    from shelfmark.session import fresh_dir
+
+    rnd = np.random.default_rng(9)
+    around = rnd.normal(size=(12, 24))
+    vectors = [(around[i % 12] + rnd.normal(size=24) * 0.4).tolist() for i in range(1500)]
+    # A third of the rows are one vector; one has no length.
+    vectors[::3], vectors[1] = [vectors[0]] * 500, [0.0] * 24
+    chunks = [{"id": f"c{i:04d}", "doc": "d", "v": v} for i, v in enumerate(vectors)]
+    questions = [{"id": i, "v": (around[i % 12] + rnd.normal(size=24) * 0.5).tolist()} for i in range(40)]
     q, c = frames(spark, questions, chunks)
-    cells = train_cells(c, 8)
-    assert got(ivf_search(q, c, cells, nprobe=8, k=5)) == brute(questions, chunks, 5)
-    exact, near = brute(questions, chunks, 5), got(ivf_search(q, c, cells, nprobe=4, k=5))
-    recall = sum(len(set(exact[i]) & set(near.get(i, []))) for i in exact) / (5 * len(exact))
-    assert recall > 0.5
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.fit(c.filter("chunk_id < 'c0900'"), 16)
+    index.insert(c.filter("chunk_id < 'c0900'"))
+    fitted = index.quantiser().centres.tolist()
+    index.insert(c.filter("chunk_id >= 'c0900'"))
+    assert index.quantiser().centres.tolist() == fitted and index.rows().count() == 1500
+    exact = brute(questions, chunks, 10)
+    assert got(index.search(q, 10, nprobe=16, refine=None)) == exact
+    assert got(index.search(q, 10, nprobe=16, refine=None, block_rows=7)) == exact
+    near = index.search(q, 10, nprobe=4)
+    assert recall(near, vector_search.knn(q, c, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    plan = VectorIndex(spark, index.path).search(q.limit(1), 10, nprobe=2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_index_with_few_rows_and_other_lengths(spark):
+    from shelfmark.operators.ann import VectorIndex
+    from shelfmark.session import fresh_dir
+
+    q, c = frames(spark, [{"id": 1, "v": [1.0, 0.0, 2.0]}], [{"id": "a", "doc": "d", "v": [1.0, 0.0, 2.0]}, {"id": "b", "doc": "d", "v": [0.0, 1.0, 0.0]}])
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.fit(c, 8)
+    index.insert(c)
+    assert got(index.search(q, 5, nprobe=8)) == {1: ["a", "b"]}
+    assert index.search(q.limit(0), 5, nprobe=8).count() == 0
+    with pytest.raises(Exception, match="3 dimensions"):
+        index.insert(spark.createDataFrame([("x", [1.0])], "chunk_id string, embedding array<float>"))
+    with pytest.raises(ValueError):
+        index.fit(c.limit(0), 2)
 
 
 def test_dedup_keeps_best_of_equal_texts(spark):
