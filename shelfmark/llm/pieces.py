@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import Cached, small_batches, texts
 
 N_BEST = 4
-UNIT_CACHE = 1 << 18  # kept between tasks, so it must leave room for other stages
+UNIT_CACHE = 1 << 19  # kept between tasks, so it must leave room for other stages
 FAR = 1 << 60
+_NONE = ({}, None, 0)
 
 _EDITS = "array<struct<at:int,drop:int,put:array<int>>>"
 SCHEMA = f"n_pieces long, cost long, ids array<int>, exact boolean, nbest array<struct<rank:int,cost:long,n_pieces:int,edits:{_EDITS}>>"
@@ -66,6 +68,11 @@ class Lattice:
         # Everything a scan may meet: ids and cost of a piece, and whether a longer piece begins so.
         self.table = {p: (None, 0, True) for p in starts} | {
             p: ((i,), c, p in starts) for p, (i, c) in self.pieces.items()}
+        # The same by character: what follows, and the ids and cost of the piece that ends here.
+        self.trie: dict[str, tuple] = {}
+        for p in sorted(self.pieces, key=len):
+            self._plant(p)
+        self.longest = max(map(len, self.pieces), default=1)
         crossing = any(re.search("[^▁]▁", p) for p in self.pieces)
         lines = not any("\n" in p for p in self.pieces)
         self.units = re.compile("(?s).+" if crossing else "\n|▁+[^▁\n]*|[^▁\n]+" if lines else "▁+[^▁]*|[^▁]+")
@@ -73,6 +80,13 @@ class Lattice:
         # What the model puts before a text to mark the start of a word.
         self.prefix = sp.normalize("a")[:-1]
 
+    def _plant(self, piece: str) -> None:
+        node = self.trie
+        for c in piece[:-1]:
+            node = node.setdefault(c, ({}, None, 0))[0]
+        i, cost = self.pieces[piece]
+        node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, (i,), cost)
+
     def spell(self, character: str) -> tuple[int, ...]:
         """Ids for a character that is no piece."""
         spelled = character.encode("utf-8", "surrogatepass")
@@ -105,21 +119,27 @@ class Lattice:
 
         One forward pass keeps the least and the second-least cost of every position.
         """
-        table, n = self.table, len(unit)
+        root, n, longest = self.trie, len(unit), self.longest
         best, second = [FAR] * (n + 1), [FAR] * (n + 1)
         back: list = [None] * (n + 1)
         best[0] = 0
         for i in range(n):
-            one, two = best[i], second[i]
-            for j in range(i + 1, n + 1):
-                found = table.get(unit[i:j])
-                if found is None:
-                    ids, cost, more = None, 0, False
-                else:
-                    ids, cost, more = found
-                if ids is None and j == i + 1:
-                    ids = self.spell(unit[i])
-                    cost = self.spelled * len(ids)
+            one, two, j, node = best[i], second[i], i, root
+            if root.get(unit[i], _NONE)[1] is None:
+                ids = self.spell(unit[i])
+                cost = self.spelled * len(ids)
+                c, old = one + cost, best[i + 1]
+                if c < old:
+                    second[i + 1] = min(old, two + cost)
+                    best[i + 1], back[i + 1] = c, (i, ids)
+                elif c < second[i + 1]:
+                    second[i + 1] = c
+            for character in unit[i:i + longest]:
+                hit = node.get(character)
+                if hit is None:
+                    break
+                node, ids, cost = hit
+                j += 1
                 if ids is not None:
                     c = one + cost
                     old = best[j]
@@ -129,22 +149,32 @@ class Lattice:
                         best[j], back[j] = c, (i, ids)
                     elif c < second[j]:
                         second[j] = c
-                if not more:
-                    break
         ids, j = [], n
         while j:
             j, part = back[j]
             ids.append(part)
         return tuple(chain.from_iterable(reversed(ids))), best[n], second[n] - best[n] if second[n] < FAR // 2 else -1
 
+    def packed(self, unit: str) -> tuple[bytes, int, int]:
+        """:meth:`solve` with the ids as 32-bit numbers, which take less memory."""
+        ids, cost, loss = self.solve(unit)
+        return array("i", ids).tobytes(), cost, loss
+
     def nbest(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest segmentations as (cost, ids), by backward A-star."""
+        """The ``n`` cheapest segmentations as (cost, ids), by backward A-star.
+
+        Of equal partial paths the newest is opened first, so a unit with many ties is followed to its start at once. The
+        estimates are exact, so a position comes off the queue by its cheapest ways to the end; no more than ``n`` of them matter.
+        """
         into = self.edges(unit)
         best, _ = self.forward(into)
         queue = [(best[-1], 0, len(unit), 0, ())]
-        found, order = [], 0
+        found, order, opened = [], 0, [0] * (len(unit) + 1)
         while queue and len(found) < n:
             total, _, j, done, tail = heapq.heappop(queue)
+            opened[j] += 1
+            if j and opened[j] > n:
+                continue
             if not j:
                 flat = []
                 while tail:
@@ -153,7 +183,7 @@ class Lattice:
                 found.append((total, tuple(flat)))
                 continue
             for i, c, ids in into[j]:
-                order += 1
+                order -= 1
                 heapq.heappush(queue, (done + c + best[i], order, i, done + c, (ids, tail)))
         return found
 
@@ -179,8 +209,9 @@ def _alternatives(lattice: Lattice, units: list[str], solved: list, total: int,
         kept = heapq.nsmallest(n, ((cost + choice[0] - choices[0][0], edits if not k else edits + ((u, choice[1]),))
                                    for cost, edits in kept for k, choice in enumerate(choices)), key=lambda x: x[0])
     out = []
+    before = np.cumsum([0, *(len(s[0]) // 4 for s in solved)])
     for rank, (cost, edits) in enumerate(kept, 1):
-        changes = [{"at": sum([len(s[0]) for s in solved[:u]]), "drop": len(solved[u][0]), "put": list(ids)} for u, ids in edits]
+        changes = [{"at": int(before[u]), "drop": len(solved[u][0]) // 4, "put": list(ids)} for u, ids in edits]
         out.append({"rank": rank, "cost": total + cost, "n_pieces": pieces + sum(len(c["put"]) - c["drop"] for c in changes), "edits": changes})
     return out
 
@@ -192,7 +223,7 @@ def _solver(path: str, n: int) -> tuple[Lattice, Cached, Cached]:
     """The model and the units solved so far; a worker keeps them from task to task."""
     if (path, n) not in _SOLVERS:
         lattice = Lattice(path)
-        _SOLVERS[path, n] = lattice, Cached(lattice.solve, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
+        _SOLVERS[path, n] = lattice, Cached(lattice.packed, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
     return _SOLVERS[path, n]
 
 
@@ -211,11 +242,11 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
             for text in batch.column("text").to_pylist():
                 units = lattice.units.findall(lattice.model.normalize(text))
                 solved = list(map(cache.__getitem__, units))
-                ids = list(chain.from_iterable([s[0] for s in solved]))
+                ids = np.frombuffer(b"".join([s[0] for s in solved]), np.int32)
                 counts.append(len(ids))
                 costs.append(sum([s[1] for s in solved]))
-                flat.append(np.array(ids, dtype=np.int32))
-                exact.append(lattice.decode(ids) == text)
+                flat.append(ids)
+                exact.append(lattice.decode(ids.tolist()) == text)
                 best.append(_alternatives(lattice, units, solved, costs[-1], counts[-1], n, searched))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.array([], np.int32)))

@@ -30,6 +30,25 @@ def test_unit_search_equals_enumeration(lattice, unit):
     assert loss == (want[1][0] - want[0][0] if len(want) > 1 else -1)
 
 
+@pytest.mark.parametrize("text", ["x" * 20_001, " " * 20_001, "ab" * 10_000, "=" * 20_001, "QUJD" * 5000, "prose and " * 200 + "-" * 20_001, "é" * 20_001])
+def test_long_runs_end_soon(lattice, text):
+    import time
+
+    started = time.time()
+    units = lattice.units.findall(lattice.model.normalize(text))
+    for unit in sorted(set(units), key=len)[-2:]:
+        found = lattice.nbest(unit, 4)
+        ids, cost, loss = lattice.solve(unit)
+        assert len(set(found)) == len(found) and found[0][0] == cost and loss == (found[1][0] - cost if len(found) > 1 else -1)
+        assert all(lattice.decode(i).replace(" ", "▁").endswith(unit.strip("▁")) for _, i in found)
+    assert time.time() - started < 10
+
+
+@pytest.mark.parametrize("unit", ["▁aaaaaaaaaa", "xyxyxyxyxy", "▁▁▁▁▁▁▁▁"])
+def test_ties_equal_enumeration(lattice, unit):
+    assert [c for c, _ in lattice.nbest(unit, 9)] == [c for c, _ in every(lattice, unit)[:9]]
+
+
 def test_texts(spark, lattice):
     texts = ["the cat sat", "a  b\n\nc\td", "", None, "x", "naïve ①🙂 été", " lead and trail ", "word " * 3000, "a" * 3000, "the cat sat", "\n", "a▁b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
