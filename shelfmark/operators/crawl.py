@@ -37,6 +37,21 @@ def page_edges(pages: DataFrame) -> DataFrame:
     ).filter(F.col("link_key").isNotNull())
 
 
+def site_seeds(order: DataFrame, starts: DataFrame, *, max_pages: int = DEFAULT_MAX_PAGES, existing: DataFrame | None = None) -> DataFrame:
+    """Seeds of sessions that share a site: ``session, url, position``.
+
+    ``order`` has ``start, url, position`` and ``starts`` ``session, start``. Stored pages are never followed, and a session
+    takes no more than ``max_pages`` others, one of which may be its own start; so a site is cut to that many before its
+    sessions meet it.
+    """
+    named = order.withColumn("key", url_key(F.col("url"))).filter(F.col("key").isNotNull())
+    if existing is not None:
+        named = named.join(existing.select(F.col("url_key").alias("key")).distinct(), "key", "left_anti")
+    first = named.groupBy("start", "key").agg(F.min(F.struct("position", "url")).alias("_m")).select("start", "_m.url", "_m.position")
+    cut = first.withColumn("_nth", F.row_number().over(Window.partitionBy("start").orderBy("position"))).filter(F.col("_nth") <= max_pages)
+    return starts.select("session", "start").join(cut.drop("_nth"), "start").select("session", "url", "position")
+
+
 def crawl_bfs(pages: DataFrame, starts: DataFrame, *, max_pages: int = DEFAULT_MAX_PAGES,
               same_host: bool = True, existing: DataFrame | None = None,
               discovered: DataFrame | None = None, override: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.urls import (base_dir, canonical_url, decoded_path, directory,
                               link_score, origin, url_key, url_path)
 from ..session import materialize
 from ..sources.readers import read_sitemaps
+from .numbering import numbered
 
 # Usual limits of a site visit; every operator takes None for no limit.
 MAX_URLS = 2000
@@ -47,20 +48,21 @@ def select_family(urls: DataFrame) -> DataFrame:
 def structural_order(urls: DataFrame, limit: int | None = MAX_URLS) -> DataFrame:
     """Directories visited in turn, shortest page first: ``start, url, position``.
 
-    Only the first ``limit`` pages of a directory can make the cut, so each directory is
-    limited before anything is ranked across directories. None keeps all.
+    Only the first ``limit`` pages of a directory can make the cut, so each directory is limited before
+    anything is ranked across directories. None keeps all, and numbers a site of any size by ranges.
     """
-    within = lambda n: F.lit(True) if limit is None else n <= limit
-    size, where = F.length("url"), directory(F.col("url"))
+    placed = urls.select("start", "url").distinct().withColumn("_len", F.length("url")).withColumn("_dir", directory(F.col("url")))
+    if limit is None:
+        rounds = numbered(placed, ["start", "_dir"], ["_len", "url"], "_round")
+        heads = rounds.filter("_round = 1").select("start", "_dir", F.struct("_len", "url").alias("_head"))
+        return numbered(rounds.join(heads, ["start", "_dir"]).select("start", "url", "_round", "_head"), ["start"], ["_round", "_head"], "position").select(
+            "start", "url", "position")
     in_dir = Window.partitionBy("start", "_dir").orderBy("_len", "url")
-    rounds = (
-        urls.select("start", "url").distinct().withColumn("_len", size).withColumn("_dir", where)
-        .withColumn("_round", F.row_number().over(in_dir)).filter(within(F.col("_round")))
-        .withColumn("_head", F.min(F.struct("_len", "url")).over(Window.partitionBy("start", "_dir")))
-    )
+    rounds = placed.withColumn("_round", F.row_number().over(in_dir)).filter(F.col("_round") <= limit).withColumn(
+        "_head", F.min(F.struct("_len", "url")).over(Window.partitionBy("start", "_dir")))
     order = Window.partitionBy("start").orderBy("_round", "_head")
     return (
-        rounds.withColumn("position", F.row_number().over(order)).filter(within(F.col("position")))
+        rounds.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
         .select("start", "url", "position")
     )
 
@@ -141,10 +143,11 @@ def expand_sitemaps(starts: DataFrame, rules: DataFrame, bodies: DataFrame, *, m
             F.col("_nth") <= max_sitemaps).select("start", "root").distinct()
         valid = valid.join(roots, ["start", "root"], "left_semi")
     distinct = valid.groupBy("start", F.col("child").alias("url")).agg(F.min("at").alias("at"))
-    order = Window.partitionBy("start").orderBy("at", "url")
-    kept = distinct.withColumn("pos", F.row_number().over(order).cast("bigint"))
-    if max_urls is not None:
-        kept = kept.filter(F.col("pos") <= max_urls)
+    if max_urls is None:
+        kept = numbered(distinct, ["start"], ["at", "url"], "pos")
+    else:
+        order = Window.partitionBy("start").orderBy("at", "url")
+        kept = distinct.withColumn("pos", F.row_number().over(order).cast("bigint")).filter(F.col("pos") <= max_urls)
     return _tidy(robots_allows(kept.filter(in_scope(F.col("url"), F.col("start"))), rules))
 
 

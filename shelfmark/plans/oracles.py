@@ -608,7 +608,7 @@ O["structural_order"] = f"""WITH {URLS},
 d AS (SELECT DISTINCT origin || '/' AS start, url, length(url) AS n, regexp_replace(path, '[^/]*$', '') AS dir FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY start, dir ORDER BY n, url) AS rnd FROM d),
 f AS (SELECT r.*, h.n AS hn, h.url AS hu FROM r JOIN r h ON h.start = r.start AND h.dir = r.dir AND h.rnd = 1)
-SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f QUALIFY position <= 2000"""
+SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f"""
 
 O["robots_allows"] = f"""WITH {URLS},
 f AS (SELECT host, arg_min(url, page_id) AS url FROM k GROUP BY host),
@@ -633,7 +633,7 @@ ok AS (SELECT start, url FROM l WHERE NOT contains(regexp_extract(url, '[^/]*$')
 f AS (SELECT DISTINCT ON (start, fam) start, url FROM (SELECT *, CASE WHEN regexp_full_match(lower(regexp_extract(url, '[^/]*$')),
    'rc\d*|alpha|beta|snapshot|nightly|dev|next|latest|stable|current|main|master|v?\d[\w.-]*') THEN '' ELSE url END AS fam FROM ok)
    ORDER BY start, fam, length(url), url)
-SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f QUALIFY position <= 2000"""
+SELECT start, url, row_number() OVER (PARTITION BY start ORDER BY length(url), url) AS position FROM f"""
 
 O["rank_links"] = f"""WITH {NAV},
 s AS (SELECT page_id, pos::BIGINT AS pos, link, (2 * (contains(lower(link), 'that')::INT + contains(lower(link), 'other')::INT
@@ -653,7 +653,7 @@ O["crawl_bfs"] = f"""WITH {URLS},
 d AS (SELECT DISTINCT origin || '/' AS start, url, url_key, length(url) AS n, regexp_replace(path, '[^/]*$', '') AS dir FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY start, dir ORDER BY n, url) AS rnd FROM d),
 f AS (SELECT r.*, h.n AS hn, h.url AS hu FROM r JOIN r h ON h.start = r.start AND h.dir = r.dir AND h.rnd = 1),
-o AS (SELECT start, url_key, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f QUALIFY position <= 2000),
+o AS (SELECT start, url_key, row_number() OVER (PARTITION BY start ORDER BY rnd, hn, hu) AS position FROM f),
 stored AS (SELECT DISTINCT url_key FROM k WHERE url LIKE '%?%'),
 nodes AS (SELECT url_key, min(url) AS url FROM k GROUP BY url_key),
 seeds AS (SELECT k.page_id, o.url_key, min(o.position) AS position FROM k JOIN o ON o.start = k.origin || '/'

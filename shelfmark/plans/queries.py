@@ -707,7 +707,7 @@ def select_family(t):
 
 @query
 def structural_order(t):
-    return discovery.structural_order(t.page_urls().select("start", "url")).select(
+    return discovery.structural_order(t.page_urls().select("start", "url"), limit=None).select(
         "start", "url", *big("position"))
 
 
@@ -745,7 +745,7 @@ def discover(t):
     moved = t.pages.withColumn("url", F.concat(U.origin(F.col("url")), F.lit("/p"), F.col("page_id"), F.lit(".html")))
     pages = link_pages(moved)
     starts = moved.select(F.col("url").alias("start"))
-    return discovery.discover(pages, starts).select("start", "url", *big("position"))
+    return discovery.discover(pages, starts, limit=None).select("start", "url", *big("position"))
 
 
 @query
@@ -769,10 +769,10 @@ def crawl_bfs(t):
     """
     pages = link_pages(t.pages)
     urls = t.page_urls().select("page_id", "url", "start")
-    order = discovery.structural_order(urls.select("start", "url"))
+    order = discovery.structural_order(urls.select("start", "url"), limit=None)
     starts = urls.select(F.col("page_id").alias("session"), F.col("url").alias("start"), F.lit("that other there").alias("question"))
-    seeds = urls.select(F.col("page_id").alias("session"), "start").join(order, "start").select("session", "url", "position")
     stored = duplicates.existing_sources(t.pages.filter("url LIKE '%?%'").select(F.col("url").alias("source")))
+    seeds = crawl.site_seeds(order, urls.select(F.col("page_id").alias("session"), "start"), existing=stored)
     return crawl.crawl_bfs(pages, starts, existing=stored, discovered=seeds).select(
         "session", "url", *big("level", "visit"), "ingested")
 

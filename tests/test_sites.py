@@ -250,3 +250,41 @@ def test_inspection(spark):
                                  "batch string, doc_id int, state string, chunk_count int, message string")
     assert [r["summary"] for r in inspection.batch_summary(jobs).collect()] == ["b: 1 page(s) complete, 1 failed, 3 chunk(s) total."]
     assert [r["failure"] for r in inspection.batch_failures(jobs).collect()] == [" - 2: boom"]
+
+
+def test_numbering_across_ranges(spark):
+    import random
+
+    from shelfmark.operators.numbering import numbered
+
+    rnd = random.Random(2)
+    rows = [("hot", rnd.randrange(10**6), i) for i in range(8000)] + [(f"g{i % 40}", rnd.randrange(50), i) for i in range(700)] + [(None, 3, 1), (None, 1, 2)]
+    df = spark.createDataFrame(rows, "g string, o int, id int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = numbered(df, ["g"], ["o", "id"], "n")
+        per = {}
+        for r in found.collect():
+            per.setdefault(r["g"], {})[r["n"]] = (r["o"], r["id"])
+        assert found.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, places in per.items():
+        assert [places[n] for n in sorted(places)] == sorted((o, i) for h, o, i in rows if h == g) and set(places) == set(range(1, len(places) + 1))
+    assert numbered(df.limit(0), ["g"], ["o"], "n").count() == 0
+
+
+def test_structural_order_without_a_limit(spark):
+    urls = [(f"https://s{i % 3}/", f"https://s{i % 3}/{'abcde'[i % 5]}/{i}") for i in range(900)]
+    df = spark.createDataFrame(urls, "start string, url string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(discovery.structural_order(df, None)) == rows(discovery.structural_order(df, 10_000))
+
+
+def test_site_seeds_are_cut_before_sessions_meet_them(spark):
+    order = spark.createDataFrame([("s", f"https://h/{i // 2 if i < 20 else i}", i) for i in range(200)], "start string, url string, position int")
+    starts = spark.createDataFrame([(1, "s"), (2, "s"), (3, "other")], "session int, start string")
+    stored = spark.createDataFrame([("h/1",), ("h/30",)], "url_key string")
+    seeds = crawl.site_seeds(order, starts, max_pages=12, existing=stored)
+    own = [(r["url"], r["position"]) for r in seeds.filter("session = 2").orderBy("position").collect()]
+    assert seeds.count() == 24 and own == [(f"https://h/{n}", 2 * n) for n in range(10) if n != 1] + [(f"https://h/{n}", n) for n in (20, 21, 22)]
