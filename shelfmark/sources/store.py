@@ -1,18 +1,24 @@
-"""A chunk store on Parquet that grows by batches.
+"""A chunk store on Parquet that grows by batches and is merged when read.
 
 Parquet has no row-level update. So a change is appended as a numbered batch and nothing already stored is
-rewritten: an upsert adds the new rows, a delete adds the ids of the documents. A reader keeps the row of the
-latest batch for each chunk id and leaves out rows older than their document's deletion. Compaction folds the batches of a
-variant into one, in files sized by their bytes. A batch that is written again under its number replaces
-itself, so replays change nothing.
+rewritten: an upsert adds the new rows, a delete adds the ids of the documents. Beside its rows a batch has a slim table of
+its chunk ids. When a batch comes in, its ids are looked up in those of the other batches, and the rows that do not count any
+more are listed as superseded. A reader leaves out the listed rows by an anti join on id and batch: contents and vectors are
+neither sorted nor compared, and a store in which nothing was replaced is read as it lies.
+
+The ids of a batch are written last, and what has no ids yet is not read. Compaction folds the batches of a variant into
+one, in files sized by their bytes. A batch that is written again under its number replaces itself, so replays change nothing.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import map_merge
+from ..session import materialize
 
 
 def latest_by_id(rows: DataFrame, sequence: str = "seq") -> DataFrame:
@@ -61,8 +67,8 @@ def with_store_metadata(chunks: DataFrame) -> DataFrame:
 class ChunkStore:
     """Chunk tables of all variants below one path.
 
-    ``rows`` holds ``module / variant / batch`` partitions, ``deletes`` the ids deleted in a batch. The ``boot``
-    variant, a ``(module, variant)`` pair, cannot be dropped.
+    ``rows`` and ``keys`` hold ``module / variant / batch`` partitions, ``superseded`` ``module / variant / by`` (the batch that
+    made the list), ``deletes`` the ids deleted in a batch. The ``boot`` variant, a ``(module, variant)`` pair, cannot be dropped.
     """
 
     def __init__(self, spark: SparkSession, path: str, boot: tuple[str, str] | None = None) -> None:
@@ -70,50 +76,90 @@ class ChunkStore:
 
     def read(self, module: str | None = None, variant: str | None = None) -> DataFrame:
         """The stored chunks; naming a module or variant prunes partitions."""
-        return self._current(module, variant).drop("batch")
+        return self._current(module, variant).drop("batch", "pos", "seq")
 
     def _current(self, module: str | None, variant: str | None) -> DataFrame:
+        wanted = lambda part: (module is None or part[0] == module) and (variant is None or part[1] == variant)
+        held = {p for p in self._parts("keys", "batch") if wanted(p)}
         df = self.spark.read.option("mergeSchema", "false").parquet(f"{self.path}/rows")
         if module is not None:
             df = df.filter(F.col("module") == module)
         if variant is not None:
             df = df.filter(F.col("variant") == variant)
-        # Partition columns only, so this is a listing and no scan.
-        if df.groupBy("module", "variant").agg(F.countDistinct("batch").alias("n")).filter("n > 1").isEmpty():
-            latest = df
-        else:
-            newest = Window.partitionBy("module", "variant", "chunk_id").orderBy(F.col("batch").desc())
-            latest = df.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
+        df = self._without(df, "batch", {p for p in self._parts("rows", "batch") if wanted(p)} - held)
+        lists = {p for p in self._parts("superseded", "by") if wanted(p)}
+        if lists & held:
+            listed = self._without(self.spark.read.parquet(f"{self.path}/superseded"), "by", lists - held)
+            old = listed.select(*[F.col(c).alias(f"_{c}") for c in ("module", "variant", "batch", "chunk_id", "keep")])
+            same = F.col("pos") != F.col("_keep")
+            for c in ("module", "variant", "batch", "chunk_id"):
+                same = same & (F.col(c) == F.col(f"_{c}"))
+            df = df.join(old, same, "left_anti")
         if not self._batches("deletes/batch=*"):
-            return latest
+            return df
         gone = self.spark.read.parquet(f"{self.path}/deletes").groupBy("doc_id").agg(F.max("batch").alias("_until")).withColumnRenamed(
             "doc_id", "_gone")
-        return latest.join(gone, (F.col("doc_id").cast("string") == F.col("_gone")) & (F.col("batch") < F.col("_until")), "left_anti")
+        return df.join(gone, (F.col("doc_id").cast("string") == F.col("_gone")) & (F.col("batch") < F.col("_until")), "left_anti")
+
+    @staticmethod
+    def _without(df: DataFrame, number: str, parts: set[tuple[str, str, int]]) -> DataFrame:
+        for module, variant, n in sorted(parts):
+            df = df.filter(~((F.col("module") == module) & (F.col("variant") == variant) & (F.col(number) == n)))
+        return df
+
+    def _parts(self, folder: str, number: str) -> list[tuple[str, str, int]]:
+        """Module, variant and number of the partitions of a folder, by listing it."""
+        names = lambda path: [unquote(x.partition("=")[2]) for x in path.split("/")[-3:]]
+        found = [names(str(p)) for p in self._listed(f"{folder}/module=*/variant=*/{number}=*")]
+        return [(module, variant, int(n)) for module, variant, n in found]
 
     def exists(self) -> bool:
         return bool(self._batches("rows/module=*/variant=*/batch=*"))
 
-    def _batches(self, pattern: str) -> list[int]:
+    def _listed(self, pattern: str) -> list:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
         found = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(target)
-        return [int(f.getPath().getName().partition("=")[2]) for f in found or []]
+        return [f.getPath() for f in found or []]
+
+    def _batches(self, pattern: str) -> list[int]:
+        return [int(p.getName().partition("=")[2]) for p in self._listed(pattern)]
 
     def _next(self) -> int:
         return 1 + max([-1, *self._batches("rows/module=*/variant=*/batch=*"), *self._batches("deletes/batch=*")])
 
     def _append(self, rows: DataFrame, batch: int, folder: str, *partitions: str) -> None:
-        # The hint lets Spark size the files by bytes and split what is skewed.
-        (rows.withColumn("batch", F.lit(batch)).hint("rebalance")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*partitions, "batch").parquet(f"{self.path}/{folder}"))
 
     def upsert(self, chunks: DataFrame, module: str = "basic", batch: int | None = None) -> None:
-        """Add or replace chunks by id; the last row of an id in ``chunks`` counts.
+        """Add or replace chunks by id; the last row of an id in ``chunks`` counts, by ``seq`` if it has that.
 
         ``batch`` numbers the change where the caller may repeat it, such as a stream's epoch.
         """
-        new = with_store_metadata(_one_per_id(chunks)).withColumn("module", F.lit(module))
-        self._append(new, self._next() if batch is None else batch, "rows", "module", "variant")
+        self._write(chunks, module, self._next() if batch is None else batch)
+
+    def _write(self, chunks: DataFrame, module: str, number: int) -> None:
+        seq = F.col("seq").cast("bigint") if "seq" in chunks.columns else F.lit(0).cast("bigint")
+        rows = with_store_metadata(chunks).withColumn("module", F.lit(module)).withColumn("seq", seq).withColumn("pos", F.monotonically_increasing_id())
+        self._append(rows, number, "rows", "module", "variant")
+        # From here on only ids are read.
+        own = self.spark.read.parquet(f"{self.path}/rows").filter((F.col("module") == module) & (F.col("batch") == number))
+        last = F.max(F.struct("seq", "pos"))["pos"]
+        keys = materialize(own.groupBy("variant", "chunk_id").agg(last.alias("keep"), F.count(F.lit(1)).alias("n")), "keys")
+        all_rows = F.lit(-1).cast("bigint").alias("keep")
+        listed = keys.filter("n > 1").select("variant", F.lit(number).alias("batch"), "chunk_id", "keep")
+        if [p for p in self._parts("keys", "batch") if p[0] == module and p[2] != number]:
+            others = self.spark.read.parquet(f"{self.path}/keys").filter((F.col("module") == module) & (F.col("batch") != number))
+            older = others.filter(F.col("batch") < number).join(keys, ["variant", "chunk_id"], "left_semi").select("variant", "batch", "chunk_id", all_rows)
+            # Only a batch that is written again has newer ones.
+            newer = keys.join(others.filter(F.col("batch") > number), ["variant", "chunk_id"], "left_semi").select(
+                "variant", F.lit(number).alias("batch"), "chunk_id", all_rows)
+            listed = listed.unionByName(older).unionByName(newer)
+        for path in self._listed(f"superseded/module={module}/variant=*/by={number}"):
+            self._remove(path)
+        listed.withColumn("module", F.lit(module)).withColumn("by", F.lit(number)).write.mode("append").partitionBy(
+            "module", "variant", "by").parquet(f"{self.path}/superseded")
+        self._append(keys.select(F.lit(module).alias("module"), "variant", "chunk_id"), number, "keys", "module", "variant")
 
     def delete(self, doc_ids: DataFrame, batch: int | None = None) -> None:
         """Remove the documents from every variant; unknown ids change nothing."""
@@ -123,17 +169,27 @@ class ChunkStore:
 
     def compact(self, module: str, variant: str) -> None:
         """Fold a variant's batches into a new one; readers in between see the same rows from either."""
-        old = self._batches(f"rows/module={module}/variant={variant}/batch=*")
-        if old:
-            self._append(self._current(module, variant).drop("batch"), self._next(), "rows", "module", "variant")
+        part = f"module={module}/variant={variant}"
+        old = self._batches(f"keys/{part}/batch=*")
+        if not old:
+            return
+        # The hint lets Spark size the files by bytes and split what is skewed.
+        current = self._current(module, variant).drop("batch", "pos", "seq", "module").hint("rebalance")
+        self._write(current, module, self._next())
         for batch in old:
-            self._drop(f"rows/module={module}/variant={variant}/batch={batch}")
+            self._drop(f"keys/{part}/batch={batch}")
+            self._drop(f"rows/{part}/batch={batch}")
+        # All lists are about rows that are gone now.
+        self._drop(f"superseded/{part}")
 
     def drop_variant(self, module: str, variant: str) -> None:
         if (module, variant) == self.boot:
             raise ValueError(f"{module}/{variant} is in use from the start and cannot be dropped")
-        self._drop(f"rows/module={module}/variant={variant}")
+        for folder in ("keys", "rows", "superseded"):
+            self._drop(f"{folder}/module={module}/variant={variant}")
 
     def _drop(self, relative: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self._remove(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}"))
+
+    def _remove(self, path) -> None:
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

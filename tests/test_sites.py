@@ -238,6 +238,38 @@ def test_store_roundtrip(spark):
         plan.upsert(chunk_rows(spark, [("v1", "d9", 0, "a")]).withColumn("embedding", F.lit(None).cast("array<float>")))
 
 
+def test_store_reads_neither_sort_nor_compare_contents(spark):
+    store = sinks.ChunkStore(spark, fresh_dir(spark, "t"))
+    every = [("v1", f"d{i}", 0, f"first {i}") for i in range(50)]
+    store.upsert(chunk_rows(spark, every))
+    plan = lambda: store.read()._jdf.queryExecution().toString()
+    assert "Join" not in plan() and "Window" not in plan() and "Sort" not in plan()
+    store.upsert(chunk_rows(spark, [("v1", "new", 0, "n")]))
+    assert "Join" not in plan()  # nothing was replaced
+    store.upsert(chunk_rows(spark, [("v1", f"d{i}", 0, f"second {i}") for i in range(0, 50, 2)] * 2))
+    assert "Window" not in plan() and "LeftAnti" in plan()
+    read = lambda: {r["doc_id"]: r["content"] for r in store.read().collect()}
+    want = {f"d{i}": f"{'first' if i % 2 else 'second'} {i}" for i in range(50)} | {"new": "n"}
+    assert read() == want and store.read().count() == 51 and not {"pos", "seq", "batch"} & set(store.read().columns)
+    # Batch 0 comes again with other rows: what later batches replaced stays replaced.
+    store.upsert(chunk_rows(spark, [("v1", "d2", 0, "late"), ("v1", "d3", 0, "again"), ("v1", "only", 0, "o")]), batch=0)
+    assert read() == {f"d{i}": f"second {i}" for i in range(0, 50, 2)} | {"new": "n", "d3": "again", "only": "o"}
+    # Rows whose ids are not written yet are not read.
+    store._append(sinks.with_store_metadata(chunk_rows(spark, [("v1", "half", 0, "x")])).withColumn("module", F.lit("basic")).withColumn(
+        "seq", F.lit(0).cast("bigint")).withColumn("pos", F.lit(0).cast("bigint")), 77, "rows", "module", "variant")
+    assert "half" not in read()
+    before = read()
+    store.compact("basic", "v1")
+    assert read() == before and "Join" not in plan()
+
+
+def test_store_takes_the_last_by_seq(spark):
+    store = sinks.ChunkStore(spark, fresh_dir(spark, "t"))
+    rows = chunk_rows(spark, [("v1", "d1", 0, c) for c in "abc"])
+    store.upsert(rows.withColumn("seq", F.when(F.col("content") == "b", 9).otherwise(1)))
+    assert [r["content"] for r in store.read().collect()] == ["b"]
+
+
 def test_inspection(spark):
     c = spark.createDataFrame([("i1", "d1", 10, "late"), ("i2", "d1", 2, "early"), ("i3", None, 0, "o"), ("i4", "", 0, "e")],
                               "chunk_id string, doc_id string, chunk_index int, title string").withColumn("source", F.lit("s"))
