@@ -70,15 +70,18 @@ def structural_order(urls: DataFrame, limit: int | None = MAX_URLS) -> DataFrame
 def robots_allows(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """URLs that no disallow rule of their host is a prefix of.
 
-    An anti join on the host with the prefix test as a side condition: a URL stops at
-    its first matching rule and no pair is produced.
+    A path is looked up under its beginnings, of the lengths the host's rules have, so it makes a few equality
+    probes however many rules there are. Each distinct path is probed once.
     """
     active = rules.filter((F.col("kind") == "disallow") & (F.col("value") != "")).select(
         F.col("host").alias("_host"), F.col("value").alias("_rule")).distinct()
+    lengths = active.groupBy("_host").agg(F.collect_set(F.length("_rule")).alias("_lengths"))
     tested = urls.withColumn("_h", host(F.col("url"))).withColumn("_p", url_path(F.col("url")))
-    return tested.join(
-        active, (F.col("_h") == F.col("_host")) & F.col("_p").startswith(F.col("_rule")), "left_anti"
-    ).drop("_h", "_p")
+    paths = tested.select(F.col("_h").alias("_host"), F.col("_p").alias("_path")).distinct().join(lengths, "_host")
+    probes = paths.select("_host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n")).select(
+        "_host", "_path", F.substring("_path", F.lit(1), F.col("_n")).alias("_rule"))
+    closed = probes.join(active, ["_host", "_rule"], "left_semi").select("_host", "_path").distinct()
+    return tested.join(closed, (F.col("_h") == F.col("_host")) & (F.col("_p") == F.col("_path")), "left_anti").drop("_h", "_p")
 
 
 def sitemap_candidates(starts: DataFrame, rules: DataFrame) -> DataFrame:

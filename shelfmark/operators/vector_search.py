@@ -122,6 +122,10 @@ class _Best:
     def __init__(self, block: QuestionBlock) -> None:
         self.block = block
         self.groups = block.by_dimension()
+        # Scopes as numbers, -1 for none; rows of other documents get a number no question has.
+        names = {} if block.scopes is None else {s: i for i, s in enumerate(dict.fromkeys(s for s in block.scopes if s is not None))}
+        self.numbers = names
+        self.scopes = None if block.scopes is None else np.asarray([-1 if s is None else names[s] for s in block.scopes], dtype=np.int64)
         self.floor = np.full(len(block.ids), -np.inf)
         self.question = np.zeros(0, dtype=np.int64)
         self.score = np.zeros(0)
@@ -130,6 +134,9 @@ class _Best:
     def add(self, ids: pa.Array, embeddings: pa.Array, scope: list | None = None,
             cell: np.ndarray | None = None) -> None:
         found = []
+        if scope is not None:
+            other = len(self.numbers)
+            scope = np.asarray([self.numbers.get(s, other) for s in scope], dtype=np.int64)
         for rows, matrix in _matrices(embeddings):
             for dim, members in self.groups.items():
                 for start in range(0, len(members), _SLICE):
@@ -145,9 +152,8 @@ class _Best:
         vectors = np.stack([self.block.vectors[i] for i in part]) if dim else np.zeros((len(part), 0))
         scores = _similarity(matrix, vectors)
         if scope is not None:
-            same = np.asarray([[self.block.scopes[q] is None or self.block.scopes[q] == scope[r]
-                                for q in part] for r in rows])
-            scores = np.where(same, scores, -np.inf)
+            wanted = self.scopes[part]
+            scores = np.where((wanted < 0) | (scope[rows][:, None] == wanted), scores, -np.inf)
         if cell is not None:
             wanted = np.stack([np.isin(cell[rows], self.block.cells[q]) for q in part], axis=1)
             scores = np.where(wanted, scores, -np.inf)
@@ -252,6 +258,8 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, *, max_block_rows: int
     else:
         partial = _tiled(questions, chunks, k, schema, max_block_rows, tile_rows)
 
+    # The salt is taken where the partial winners are made; a join on the question would bring them together.
+    partial = partial.withColumn("_salt", F.spark_partition_id() % MERGE_SALT)
     limit = F.lit(k)
     if "k" in optional:
         own = questions.select("query_id", F.coalesce("k", F.lit(k)).alias("_k"))
@@ -261,8 +269,7 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, *, max_block_rows: int
     first = Window.partitionBy("query_id", "_salt").orderBy(*best)
     last = Window.partitionBy("query_id").orderBy(*best)
     return (
-        partial.withColumn("_salt", F.spark_partition_id() % MERGE_SALT)
-        .withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)
+        partial.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= limit)
         .withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= limit)
         .select("query_id", "chunk_id", "score", "rank")
     )

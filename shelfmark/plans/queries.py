@@ -17,7 +17,7 @@ from ..operators import (chunking, conversations, crawl, discovery, duplicates,
 from ..operators.ann import recall
 from ..operators.lexical_index import lexical_search
 from ..sources import readers, store as sinks
-from ..session import fresh_dir, ship_package, spread
+from ..session import fresh_dir, materialize, ship_package, spread
 from ..streaming import jobs as streams
 from .tables import CELLS, FIXED, RECURSIVE, SEMANTIC, TOKEN, VARIANTS, Tables
 
@@ -132,7 +132,8 @@ def delete_orphans(t):
 def variant_store(t):
     """Upserts of three variants, one of them repeated in part, a drop, a delete and a compaction."""
     store = sinks.ChunkStore(t.spark, fresh_dir(t.spark, "store"), boot=(FIXED.module, FIXED.variant_id))
-    rows = chunking.embed_chunks(t.chunks(FIXED)).drop("lang", "source")
+    # Stored three times, embedded once.
+    rows = materialize(chunking.embed_chunks(t.chunks(FIXED)).drop("lang", "source"), "chunks")
     store.upsert(rows, module=FIXED.module)
     store.upsert(chunking.embed_chunks(t.chunks(TOKEN)).drop("lang", "source"), module=TOKEN.module)
     store.upsert(rows, module="advanced")
