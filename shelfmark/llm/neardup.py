@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize, recorded
 from .common import Bitmap, Cached, binaries, mixed, small_batches, texts
 from .components import connected_components
 
@@ -254,7 +254,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     """
     n_bands = bands(percent, band_rows)
     rows = texts(docs)
-    sketched = materialize(sketches(rows, shingle, n_bands, band_rows), "sketches")
+    steps: dict[str, list[str]] = {}
+    with recorded() as steps["sketches"]:
+        sketched = materialize(sketches(rows, shingle, n_bands, band_rows), "sketches")
     # Numbered where they are written; the numbers are read from there from then on.
     nodes = materialize(sketched.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.first("n_shingles").alias("n"),
@@ -262,7 +264,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     # A key holds its band, so a bucket is a key.
     every = nodes.select("id", "n", F.posexplode("keys").alias("band", "key"))
     full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).filter("c > 1").drop("c")
-    met = materialize(every.join(full, "key"), "members")
+    # From here on rows need no keys.
+    sketched = materialize(sketched.drop("keys"), "named")
+    discard(sketched.sparkSession, steps["sketches"])
+    with recorded() as steps["met"]:
+        met = materialize(every.join(full, "key"), "members")
     if met.isEmpty():
         return _result(sketched, nodes.select("node", F.col("least").alias("component_id"), F.col("row").alias("first")))
     members = met.select("key", "band", "id", "n")
@@ -273,13 +279,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
         F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct(), "pairs")
     edges = materialize(_linked(few, sets, percent), "links")
 
-    placed = _placed(members, connected_components(edges))
+    with recorded() as steps["first"]:
+        placed = _placed(members, connected_components(edges))
+    discard(sketched.sparkSession, steps["met"])
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("one"))
     pivots = sizes.groupBy("key").agg(F.max(F.struct("c", "component", "one")).alias("m")).select(
         "key", F.col("m.one.id").alias("p"), F.col("m.one.n").alias("pn"), F.col("m.component").alias("pc"))
     edges = edges.unionAll(materialize(_linked(materialize(_with_pivot(placed, pivots, percent), "pairs"), sets, percent), "links"))
 
     placed = _placed(placed.select("key", "band", "id", "n"), connected_components(edges))
+    discard(sketched.sparkSession, steps["first"])
     rest = materialize(_across(placed, nodes, sets, percent), "pairs")
     edges = edges.unionAll(materialize(_linked(rest, sets, percent), "links"))
 
