@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import decontam, neardup, pieces, quality, secrets
 from shelfmark.llm.common import unused, without
-from shelfmark.session import fresh_dir, materialize, ship_package
+from shelfmark.session import discard, fresh_dir, materialize, recorded, ship_package
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     ship_package(spark)
-    found = neardup.near_duplicates(docs, shingle=5, percent=80, band_rows=6)
+    with recorded() as steps:
+        found = neardup.near_duplicates(docs, shingle=5, percent=80, band_rows=6)
     decided = materialize(found.select("doc_id", "row_key", "chosen", "n_shingles"), "decided")
+    discard(spark, steps)
     left = without(docs, materialize(decided.filter(~F.col("chosen")), "dropped"))
     # A row that is there several times is a group of its own.
     again = decided.filter("chosen AND n_shingles > 0").groupBy("doc_id", "row_key").count().filter("count > 1")
@@ -38,16 +40,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
     ship_package(spark)
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, materialize(found.filter("n_hit > 0").select("doc_id", "row_key"), "dropped"))
+    with recorded() as steps:
+        found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dropped = materialize(found.filter("n_hit > 0").select("doc_id", "row_key"), "dropped")
+    discard(spark, steps)
+    return without(docs, dropped)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the findings of the secret scan replaced by their kind in brackets."""
     ship_package(spark)
-    found = secrets.scan_versions(docs).filter(F.size("spans") > 0).select("blob").distinct()
     blob, name = unused(docs, "blob"), unused(docs, "found")
+    with recorded() as steps:
+        found = secrets.scan_versions(docs).filter(F.size("spans") > 0).select("blob").distinct()
     flagged = materialize(found.select(F.col("blob").alias(name)), "flagged")
+    discard(spark, steps)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.withColumn(blob, F.sha2(text.cast("binary"), 256)).join(flagged, F.col(blob) == F.col(name), "left")
     hit = F.col(name).isNotNull()
