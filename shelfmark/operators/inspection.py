@@ -160,3 +160,14 @@ def document_chunks(chunks: DataFrame, doc_id, width: int = 150) -> DataFrame:
         .select("chunk_id", F.left("content", F.lit(width)).alias("content_preview"), "chunk_index")
         .orderBy("chunk_index")
     )
+
+
+def opening_chunks(documents: DataFrame, chunks: DataFrame, n: int = 1) -> DataFrame:
+    """The first ``n`` chunks of every row of ``documents``, which stays if it has none: its columns, ``chunk_id, chunk_index``.
+
+    A lateral join with a limit per outer row; Spark ranks each document's chunks before the shuffle and keeps ``n`` of a task.
+    """
+    # The outer column has a name of its own, else the inner one would be taken.
+    outer = documents.withColumn("_document", F.col("doc_id"))
+    own = chunks.where(F.col("doc_id") == F.col("_document").outer()).orderBy("chunk_index", "chunk_id").limit(n)
+    return outer.lateralJoin(own.select("chunk_id", "chunk_index"), how="left").drop("_document")

@@ -551,6 +551,20 @@ SELECT module, doc_id, chunk_count, '(' || lpad(chunk_count::VARCHAR, width::INT
 O["bounded_top_k"] = f"""WITH {FIXED}
 SELECT chunk_id, length(content) AS content_length, doc_id, chunk_index FROM chunks ORDER BY content_length DESC, chunk_id LIMIT 25"""
 
+O["document_openings"] = f"""WITH {FIXED}
+SELECT l.doc_id, l.quality, c.chunk_id, c.chunk_index FROM labels l
+LEFT JOIN (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) <= 2) c ON c.doc_id = l.doc_id"""
+
+O["pack_lines"] = f"""WITH {LINES},
+items AS (SELECT doc_id, list({{'l': l, 'cur': '', 'on': false, 'out': []::VARCHAR[]}} ORDER BY i) AS xs FROM raw_lines GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(xs, lambda a, x: CASE
+   WHEN NOT a.on THEN {{'l': '', 'cur': x.l, 'on': true, 'out': a.out}}
+   WHEN length(a.cur) + 1 + length(x.l) > 512 THEN {{'l': '', 'cur': x.l, 'on': true, 'out': list_append(a.out, a.cur)}}
+   ELSE {{'l': '', 'cur': a.cur || chr(10) || x.l, 'on': true, 'out': a.out}} END,
+   {{'l': '', 'cur': '', 'on': false, 'out': []::VARCHAR[]}}) AS f FROM items),
+ps AS (SELECT doc_id, list_append(f.out, f.cur) AS p FROM folded)
+SELECT doc_id, (i - 1)::BIGINT AS piece_index, c AS content FROM (SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM ps)"""
+
 O["longest_chunks"] = f"""WITH {TOKEN}
 SELECT chunk_id, length(content) AS content_length, doc_id, chunk_index FROM tchunks ORDER BY content_length DESC, chunk_id LIMIT 10"""
 

@@ -16,6 +16,7 @@ from ..operators import (chunking, conversations, crawl, discovery, duplicates,
                          parsing, planning, ranking, structural, telemetry, vector_search)
 from ..operators.ann import recall
 from ..operators.lexical_index import lexical_search
+from ..operators.packing import pack_rows
 from ..sources import readers, store as sinks
 from ..session import fresh_dir, materialize, ship_package, spread
 from ..streaming import jobs as streams
@@ -337,6 +338,13 @@ def chunk_dispatch(t):
         "chunk_id", "doc_id", *big("chunk_index"), "format", "content_type", F.length("content").alias("chars"))
 
 
+@query
+def pack_lines(t):
+    """Lines of each document packed by the table function, as rows."""
+    lines = unnest(t.documents, ["doc_id"], F.split("text", "\n"), "line", "content")
+    return pack_rows(lines, "doc_id", "line", "content", 512).select("doc_id", "piece_index", "content")
+
+
 @query
 def chunk_variants(t):
     return chunking.chunk_variants(t.docs(), [FIXED, TOKEN]).select(
@@ -621,6 +629,12 @@ def document_chunks(t):
     return inspection.document_chunks(t.chunks(), 7).select("chunk_id", "content_preview", *big("chunk_index"))
 
 
+@query
+def document_openings(t):
+    """The first two chunks of every labelled document."""
+    return inspection.opening_chunks(t.labels, t.chunks(), 2).select("doc_id", "quality", "chunk_id", *big("chunk_index"))
+
+
 # Duplicates
 
 @query
