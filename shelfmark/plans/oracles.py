@@ -714,6 +714,13 @@ O["window_percentiles"] = """SELECT (floor(epoch(ts))::BIGINT // 86400) * 86400
   quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY ALL"""
 O["stream_percentiles"] = O["window_percentiles"]
 
+# Hours that ended ten minutes before the last event are closed; a window has six of them.
+O["stream_sliding_percentiles"] = """WITH e AS (SELECT event_type, value, (floor(epoch(ts))::BIGINT // 3600) * 3600 AS hour FROM events),
+closed AS (SELECT * FROM e WHERE hour + 3600 <= (SELECT max(epoch_ms(ts)) / 1000.0 - 600 FROM events)),
+w AS (SELECT event_type, value, hour - 3600 * unnest(range(0, 6)) AS window_start FROM closed)
+SELECT window_start::BIGINT AS window_start, event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
+  0.0::DOUBLE AS rank_error FROM w GROUP BY window_start, event_type"""
+
 O["token_cost"] = """WITH usage AS (SELECT 'p' || conv_id % 4 AS provider_id, (conv_id % 50 + 1)::VARCHAR AS model_id,
   sum(CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END)::BIGINT AS input_tokens,
   sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) // 4 END)::BIGINT AS output_tokens FROM conversations GROUP BY ALL),

@@ -899,6 +899,11 @@ def stream_percentiles(t):
     return streams.percentiles_result(t.spark, t.sf_dir)
 
 
+@query
+def stream_sliding_percentiles(t):
+    return streams.sliding_result(t.spark, t.sf_dir)
+
+
 @query
 def stream_retention(t):
     return streams.retention_result(t.spark, t.sf_dir)

@@ -25,6 +25,8 @@ LATENESS = "10 minutes"
 SESSION_GAP = "30 minutes"
 JOB_TTL = timedelta(hours=1)
 MAX_FINISHED = 1000
+PANE = "1 hour"
+SKETCH = 4096
 FINISHED = ("COMPLETED", "FAILED")
 VARIANT = Variant("fixed_512_128", "fixed", 512, 128)
 
@@ -40,10 +42,10 @@ def event_stream(spark: SparkSession, sf_dir: str, lateness: str = LATENESS) ->
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 
 
-def run_to_end(stream: DataFrame, write, mode: str) -> None:
-    """Process all available input, handing every batch to ``write(df, epoch)``."""
+def run_to_end(stream: DataFrame, write, mode: str, progress: str | None = None) -> None:
+    """Process all available input, handing every batch to ``write(df, epoch)``; ``progress`` continues an earlier run."""
     (stream.writeStream.outputMode(mode).foreachBatch(write)
-     .option("checkpointLocation", fresh_dir(stream.sparkSession, "progress"))
+     .option("checkpointLocation", progress or fresh_dir(stream.sparkSession, "progress"))
      .trigger(availableNow=True).start().awaitTermination())
 
 
@@ -191,6 +193,48 @@ def percentiles_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("window_start", F.unix_timestamp("window_start"))
 
 
+# Sketches per pane
+
+def panes(events: DataFrame, keys: list[str], pane: str = PANE, k: int = SKETCH) -> DataFrame:
+    """``pane_start, keys, n, sketch``: a mergeable quantile sketch of ``value`` for each stretch of time.
+
+    In append mode a pane is given once, when the watermark has passed it, and its state is dropped.
+    """
+    return (
+        events.groupBy(F.window("ts", pane).alias("w"), *keys)
+        .agg(F.count("value").alias("n"), F.kll_sketch_agg_double(F.col("value").cast("double"), F.lit(k)).alias("sketch"))
+        .select(F.col("w.start").alias("pane_start"), *keys, "n", "sketch")
+    )
+
+
+def store_panes(events: DataFrame, keys: list[str], path: str, progress: str | None = None, pane: str = PANE, k: int = SKETCH) -> None:
+    """Keep the panes of a stream under ``path``, a folder per epoch, so that a batch that is replayed replaces itself."""
+    run_to_end(panes(events, keys, pane, k), lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), "append", progress)
+
+
+def sliding_percentiles(stored: DataFrame, keys: list[str], panes_per_window: int, pane: str = PANE, k: int = SKETCH) -> DataFrame:
+    """``window_start, keys, n, p50, p95, rank_error`` of windows that start with every pane, merged from stored panes.
+
+    ``rank_error`` bounds how far the rank of a percentile is off, as a share of ``n``, at 99% confidence; a window of
+    no more than ``k`` values is exact.
+    """
+    step = F.expr(f"interval {pane}")
+    starts = F.transform(F.sequence(F.lit(0), F.lit(panes_per_window - 1)), lambda i: F.col("pane_start") - step * i)
+    windows = stored.select(F.explode(starts).alias("window_start"), *keys, "n", "sketch").groupBy("window_start", *keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return windows.filter("n > 0").select(
+        "window_start", *keys, "n", at(0.5).alias("p50"), at(0.95).alias("p95"),
+        F.when(F.col("n") <= k, F.lit(0.0)).otherwise(F.lit(2.296 / k ** 0.9723)).alias("rank_error"))
+
+
+def sliding_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "panes")
+    store_panes(event_stream(spark, sf_dir), ["event_type"], path)
+    found = sliding_percentiles(spark.read.parquet(path), ["event_type"], 6)
+    return found.withColumn("window_start", F.unix_timestamp("window_start"))
+
+
 # Retention
 
 def retain(jobs: DataFrame, now, ttl: timedelta = JOB_TTL, max_finished: int = MAX_FINISHED) -> DataFrame:

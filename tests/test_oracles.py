@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SAMPLE = ("chunk_fixed", "chunk_recursive", "chunk_semantic", "group_sections", "group_json", "knn", "hybrid_search",
           "multi_step_search", "build_context", "select_family", "expand_sitemaps", "discover", "window_percentiles", "stream_sessions",
           "structural_order", "crawl_bfs", "bm25_corpus", "ivf_full_probe", "pack_lines",
-          "document_openings", "robots_allows", "variant_store")
+          "document_openings", "robots_allows", "variant_store", "stream_sliding_percentiles")
 
 
 def names():
