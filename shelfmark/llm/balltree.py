@@ -10,7 +10,7 @@ shards gives the result.
 Scores are exact: integers below 2**53 in size are multiplied as doubles, larger ones as Python integers.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as queries or
-candidates; a query meets only vectors of its own length; rows with the query's own id are not its candidates;
+candidates, nor do rows without an id; a query meets only vectors of its own length; rows with the query's own id are not its candidates;
 repeated rows are candidates each by itself; a score beyond a long becomes the nearest one, and a repeated query id gets the result of each of its rows' vectors,
 distinct ones numbered by ``variant``; fewer than k candidates give fewer rows.
 """
@@ -97,8 +97,8 @@ def _below(score: int) -> float:
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
-    """Write the shards of ``vec_id, v`` (v null: left out) to the shared folder; one row per shard and length."""
-    valid = vectors.filter("v IS NOT NULL")
+    """Write the shards of ``vec_id, v`` (either null: left out) to the shared folder; one row per shard and length."""
+    valid = vectors.filter("v IS NOT NULL AND vec_id IS NOT NULL")
     n = max(1, -(-valid.count() // shard_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) ->
     Only one block of queries is on the driver at a time, and it is as large as ``block`` whatever the table.
     """
     spark = index.sparkSession
-    valid = queries.filter("v IS NOT NULL").select("query_id", "v").distinct()
+    valid = queries.filter("v IS NOT NULL AND query_id IS NOT NULL").select("query_id", "v").distinct()
     w = Window.partitionBy("query_id").orderBy("v")
     valid = valid.withColumn("variant", F.row_number().over(w).cast("int"))
     n = valid.count()

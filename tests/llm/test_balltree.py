@@ -38,6 +38,13 @@ def test_equals_brute_force(spark):
     assert run(spark, rows, 5, 5, 64, 8, 32) == brute(as_float, 5, 5)
 
 
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(None, [9.0, 9.0]), (0, [1.0, 0.5]), (None, None), (1, [0.5, 0.5]), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", balltree.integral(F.col("embedding")).alias("v"))
+    found = balltree.search(balltree.build_index(df), df.withColumnRenamed("vec_id", "query_id"), 5).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(0, 1), (1, 0)]
+
+
 def test_few_rows_and_empty(spark):
     assert run(spark, [(0, [1.0, 0.5]), (1, [0.5, 0.5])], 5, 1, 10, 4, 16) == [(0, 1, 1, 256 * 128 + 128 * 128), (1, 1, 0, 256 * 128 + 128 * 128)]
     assert run(spark, [(0, [1.0])], 5, 1, 10, 4, 16) == []
