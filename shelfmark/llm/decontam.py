@@ -99,21 +99,21 @@ _ARROW = pa.list_(pa.struct([("print", pa.int64()), ("start", pa.int32()), ("len
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per document row: ``doc_id, row_key, n_words, n_hit, items`` (sorted ids, as text) and ``spans`` of hit words.
 
-    The items of a window are gathered once, so a passage many documents share adds one row per
-    document and window; a document gathers at most its own windows.
+    The items of a window are gathered once and sorted, so a passage many documents share adds one row per
+    document and window, and a document gathers one copy of the items its windows have in common.
     """
     spark = docs.sparkSession
     rows = texts(items.select(F.col("item_id").alias("doc_id"), "text"))
     windows = materialize(
         fingerprints(rows.filter("doc_id IS NOT NULL"), "doc_id", [], gram, whole=width)
         .select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.print", "m.length", "m.words")
-        .groupBy("print", "length", "words").agg(F.collect_set(F.col("doc_id").cast("string")).alias("items")), "windows")
+        .groupBy("print", "length", "words").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("items")), "windows")
     widths = sorted({width, *(r[0] for r in windows.select("length").distinct().collect())})
     bitmap = spark.sparkContext.broadcast(Bitmap(windows, "print"))
     marked = materialize(fingerprints(texts(docs), "doc_id", widths, gram, bitmap), "marks")
     hits = marked.filter(F.size("marks") > 0).select("doc_id", "row_key", F.explode("marks").alias("m")).select(
         "doc_id", "row_key", "m.print", "m.start", "m.length", "m.words").join(
-            windows.withColumn("set", F.xxhash64(F.array_sort("items"))), ["print", "length", "words"])
+            windows, ["print", "length", "words"])
     spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))
     merged = hits.groupBy("doc_id", "row_key").agg(spans.alias("windows"), F.collect_set("items").alias("sets"))
     found = merged.select(
