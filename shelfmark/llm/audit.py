@@ -54,7 +54,9 @@ def checked(docs: DataFrame, filters: dict[str, Column], part: str = "lang") ->
 def later_copies(rows: DataFrame) -> DataFrame:
     """Rows whose text a smaller ``doc_id`` has."""
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    return rows.join(firsts.select("digest", "first"), "digest").filter("doc_id > first").drop("first")
+    # Written, as Spark splits a large group of copies only in a join of two plain shuffles.
+    firsts = materialize(firsts.select("digest", "first"), "firsts")
+    return rows.join(firsts, "digest").filter("doc_id > first").drop("first")
 
 
 def store_relations(rows: DataFrame, labels: DataFrame, copies: str | None = COPIES) -> DataFrame:
