@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, materialize
 
 
 @dataclass(frozen=True)
@@ -131,6 +131,8 @@ def scan_versions(rows: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     scan(unseen, rules).select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(path)
     found = read_ledger(spark, path).filter((F.col("rule_version") == version) & (F.size("spans") > 0)).groupBy("blob").agg(
         F.first("spans").alias("spans"))
+    # Written, as Spark splits the rows of a frequent blob only in a join of two plain shuffles.
+    found = materialize(found, "found")
     return named.select("doc_id", "blob").join(found, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
