@@ -67,8 +67,17 @@ def binaries(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts take about ``limit`` bytes, one row at least."""
+# What an operator keeps in a Python worker from task to task, by the operator's name.
+KEPT: dict[str, dict] = {}
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts take about ``limit`` bytes, one row at least.
+
+    Lets go what other operators than ``keeps`` have left in this worker.
+    """
+    for other in [k for k in KEPT if k != keeps]:
+        del KEPT[other]
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(name)), 0)
         ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -99,6 +108,29 @@ class Cached(dict):
         return value
 
 
+class Frequent(Cached):
+    """A cache that takes in an argument when it comes for the second time, so those that come once take no room.
+
+    What has come is remembered in a table of fixed size, begun anew when it fills up.
+    """
+
+    SEEN = 1 << 23
+
+    def __init__(self, function, limit: int = 1 << 20):
+        super().__init__(function, limit)
+        self.seen, self.marks = bytearray(self.SEEN), 0
+
+    def __missing__(self, key):
+        at = hash(key) % self.SEEN
+        if self.seen[at]:
+            return super().__missing__(key)
+        if self.marks > self.SEEN // 2:
+            self.seen, self.marks = bytearray(self.SEEN), 0
+        self.seen[at] = 1
+        self.marks += 1
+        return self.function(key)
+
+
 class IntTable:
     """Rows of values by 64-bit key, looked up for whole arrays (open addressing)."""
 

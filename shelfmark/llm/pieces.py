@@ -4,8 +4,8 @@ A text, normalised by the model, is a lattice whose edges are vocabulary pieces.
 gives the least cost from the start to every position. Searching backwards from the end, that cost is an exact
 estimate of what is left, so A-star takes the complete paths off its queue in order of cost.
 
-Where no piece can cross a position, the lattice falls into independent units (words, mostly). Each distinct
-unit is solved once per worker. Costs add up over units, so only the units with the ``n - 1`` least second-best
+Where no piece can cross a position, the lattice falls into independent units (words, mostly). Units that come
+again are solved once or twice per worker. Costs add up over units, so only the units with the ``n - 1`` least second-best
 losses can differ in the ``n`` best segmentations of a text; only they are searched further, and merged exactly.
 
 Costs are integers (thousandths of a nat), so equal costs are equal. The scores of a unigram model are log
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cached, small_batches, texts
+from .common import KEPT, Cached, Frequent, small_batches, texts
 
 N_BEST = 4
-UNIT_CACHE = 1 << 19  # kept between tasks, so it must leave room for other stages
+UNIT_CACHE = 1 << 18
 FAR = 1 << 60
 _NONE = ({}, None, 0)
 
@@ -209,22 +209,20 @@ def _alternatives(lattice: Lattice, units: list[str], solved: list, total: int,
         kept = heapq.nsmallest(n, ((cost + choice[0] - choices[0][0], edits if not k else edits + ((u, choice[1]),))
                                    for cost, edits in kept for k, choice in enumerate(choices)), key=lambda x: x[0])
     out = []
-    before = np.cumsum([0, *(len(s[0]) // 4 for s in solved)])
+    before = np.cumsum([0] + [len(s[0]) for s in solved]) // 4
     for rank, (cost, edits) in enumerate(kept, 1):
         changes = [{"at": int(before[u]), "drop": len(solved[u][0]) // 4, "put": list(ids)} for u, ids in edits]
         out.append({"rank": rank, "cost": total + cost, "n_pieces": pieces + sum(len(c["put"]) - c["drop"] for c in changes), "edits": changes})
     return out
 
 
-_SOLVERS: dict[tuple[str, int], tuple] = {}
-
-
 def _solver(path: str, n: int) -> tuple[Lattice, Cached, Cached]:
-    """The model and the units solved so far; a worker keeps them from task to task."""
-    if (path, n) not in _SOLVERS:
+    """The model and the units solved so far; a worker keeps them from task to task of this operator."""
+    kept = KEPT.setdefault("pieces", {})
+    if (path, n) not in kept:
         lattice = Lattice(path)
-        _SOLVERS[path, n] = lattice, Cached(lattice.packed, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
-    return _SOLVERS[path, n]
+        kept[path, n] = lattice, Frequent(lattice.packed, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
+    return kept[path, n]
 
 
 def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFrame:
@@ -237,7 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
         import public_tokenizers
 
         lattice, cache, searched = _solver(path or public_tokenizers.path("piece_bpe_32k.model"), n)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", keeps="pieces"):
             counts, costs, flat, exact, best = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 units = lattice.units.findall(lattice.model.normalize(text))
