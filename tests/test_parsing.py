@@ -202,3 +202,20 @@ def test_read_documents(spark):
     ok, rejected = readers.read_documents(df, raw="raw")
     assert [r["metadata"]["title"] for r in ok.collect()] == ["x", "f", "Untitled document"]
     assert rejected.count() == 1
+
+
+def test_only_closed_references_are_resolved():
+    html = "<title>A &amp; B&amp</title><p>x &copy; &copy y &#38 &#38; <a href='/m?a=1&amp;b=2&copy=3'>z</a>"
+    page = markup.web_page(html, "https://e.com/")
+    assert page["title"] == "A & B&amp"
+    assert page["blocks"][1]["content"] == "x \u00a9 &copy y &#38 & z"
+    assert page["links"] == ["https://e.com/m?a=1&b=2&copy=3"]
+
+
+def test_readers_give_results_every_few_rows():
+    import pyarrow as pa
+
+    texts = [f"<p>{i}" if i % 7 else None for i in range(1000)]
+    found = list(parsing._batched("array<string>", lambda t: [t]).func(iter([pa.array(texts)])))
+    assert max(map(len, found)) == parsing.STEP
+    assert [x for part in found for x in part.to_pylist()] == [t and [t] for t in texts]
