@@ -7,7 +7,7 @@ never need a shuffle; :func:`explode_blocks` gives the flat table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ CONTENT_TYPES = {
 }
 TEXTUAL = ("TEXT", "HTML", "MARKDOWN", "JSON")
 BLOCKS = f"array<{BLOCK_TYPE}>"
+STEP = 64  # rows that a reader holds as Python objects at a time
 NO_BLOCKS = f"cast(array() as {BLOCKS})"
 
 
@@ -166,19 +167,28 @@ def _arrow_type(ddl: str) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(ddl))
 
 
-def _batched(returns: str, read):
-    """An Arrow UDF applying ``read`` to every value of its column or columns."""
+def _batched(returns: str, read, columns: int = 1):
+    """An Arrow UDF applying ``read`` to every value of its column or columns.
+
+    Results go out every few rows, so a worker never holds a whole batch of them.
+    """
     arrow_type = _arrow_type(returns)
 
-    @F.arrow_udf(returns)
-    def run(*columns: pa.Array) -> pa.Array:
-        rows = zip(*[c.to_pylist() for c in columns])
-        values = [None if row[0] is None else _as_arrow(read(*[x or "" for x in row])) for row in rows]
-        return pa.array(values, type=arrow_type)
+    def results(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch[0]), STEP):
+                rows = zip(*[c.slice(at, STEP).to_pylist() for c in batch])
+                yield pa.array([None if row[0] is None else _as_arrow(read(*[x or "" for x in row])) for row in rows], type=arrow_type)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from results((b,) for b in batches)
+
+    def many(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from results(batches)
 
     # A reader is worth running once: marked so, it is not copied below filters that use
     # its result.
-    return run.asNondeterministic()
+    return F.arrow_udf(one if columns == 1 else many, returns).asNondeterministic()
 
 
 def _as_arrow(value):
@@ -201,7 +211,12 @@ def html_blocks(content: Column, heuristic_headings: bool = False) -> Column:
 
 
 def web_page(html: Column, url: Column) -> Column:
-    return _batched(PAGE_TYPE, markup.web_page)(html, url)
+    return _batched(PAGE_TYPE, markup.web_page, 2)(html, url)
+
+
+def _marked_up(kind: str, text: str) -> dict:
+    html = kind == "HTML"
+    return {"html": markup.html_document(text) if html else None, "md": None if html else markup.markdown(text)}
 
 
 def with_sections(marked: Column) -> Column:
@@ -268,18 +283,20 @@ def parse(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", metada
     """
     base = with_text_content(detect_format(docs, metadata, raw), text, raw)
     content = F.coalesce(F.col(text), F.lit(""))
-    of = lambda name: F.when(F.col("format") == name, content)
     source_type = F.when(F.col("format").isin("JSON", "MARKDOWN", "HTML"), F.col("format")).otherwise("TEXT")
+    marked_up = lambda c: F.when(F.col("format").isin("HTML", "MARKDOWN"), c)
     read = base.select(
         F.col(doc_id).alias("doc_id"), source_type.alias("source_type"), content.alias("_text"),
         map_merge(F.coalesce(F.col(metadata), F.expr("cast(map() as map<string,string>)")),
                   F.create_map(F.lit("format"), source_type)).alias("metadata"), *keep,
-        html_blocks(of("HTML")).alias("_html"), _batched(_MARKDOWN, markup.markdown)(of("MARKDOWN")).alias("_md"))
+        # One reader for both formats, so that a task has one worker for them.
+        _batched(f"struct<html:{BLOCKS},md:{_MARKDOWN}>", _marked_up, 2)(
+            marked_up(F.col("format")), marked_up(content)).alias("_read"))
     kind = F.col("source_type")
     blocks = (
         F.when(kind == "JSON", json_blocks(F.col("_text")))
-        .when(kind == "HTML", F.col("_html"))
-        .when(kind == "MARKDOWN", with_sections(F.col("_md")))
+        .when(kind == "HTML", F.col("_read.html"))
+        .when(kind == "MARKDOWN", with_sections(F.col("_read.md")))
         .otherwise(plain_blocks(F.col("_text")))
     )
     return read.select("doc_id", "source_type", "metadata", blocks.alias("blocks"), *keep).withColumn(
