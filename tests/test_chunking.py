@@ -207,3 +207,9 @@ def test_pack_rows(spark):
             held = p if held is None else f"{held}--{p}"
         assert [got[d][k] for k in sorted(got[d])] == [*want, held] and sorted(got[d]) == list(range(len(want) + 1))
     assert "BatchEval" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simple_upper_keeps_the_length(value):
+    from shelfmark.functions.text import simple_upper
+
+    assert value(["Stra\u00dfe \u0149 \u1f80 \ufb01 \u00e9", "", None], simple_upper(F.col("t"))) == ["STRA\u1e9eE \u0149 \u1f88 \ufb01 \u00c9", "", None]
