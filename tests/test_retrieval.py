@@ -346,3 +346,37 @@ def test_lexical_index_without_texts(spark):
     path = fresh_dir(spark, "lexical")
     build_lexical_index(spark.createDataFrame([], "chunk_id long, content string"), path)
     assert lexical_search(spark, path, spark.createDataFrame([(1, "the")], "query_id long, question string"), 3).count() == 0
+
+
+def test_block_of_questions_sent_to_tasks_is_small(spark, monkeypatch):
+    """Workers keep every block they were sent; one must not hold products with all codes."""
+    import pickle
+
+    from shelfmark.operators.ann import VectorIndex
+    from shelfmark.session import fresh_dir
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 32)))]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.fit(df, 4)
+    index.insert(df)
+    sizes, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: sizes.append(len(pickle.dumps(v))) or send(v))
+    asked = df.withColumnRenamed("chunk_id", "query_id")
+    found = index.search(asked, 3, nprobe=4, refine=None, block_rows=200)
+    assert got(found) == got(vector_search.knn(asked, df, 3))
+    assert max(sizes) < 400 * 32 * 8 + 400 * 100
+
+
+def test_many_copies_in_blocks_and_tiles(spark):
+    """Equal scores fall to the lower id, however rows are cut."""
+    rows = [(i, [1.0, float(i % 3), 0.5], i % 2) for i in range(300)] + [(300 + i, [0.0, 0.0, 0.0], 1) for i in range(5)]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, doc_id long")
+    q = c.filter("chunk_id % 30 = 0 or chunk_id > 302").selectExpr("chunk_id AS query_id", "embedding", "if(chunk_id % 60 = 0, doc_id, null) AS scope")
+    whole = got(vector_search.knn(q, c, 4))
+    assert got(vector_search.knn(q, c, 4, max_block_rows=2, tile_rows=50)) == whole
+    zero = sorted(r[1] for r in vector_search.knn(q, c, 4).filter("query_id = 304").select("query_id", "chunk_id").collect())
+    assert zero == [0, 1, 2, 3]
+    pairs = [tuple(r) for r in vector_search.pairwise_distance(c, 5, tile_rows=40).collect()]
+    assert pairs == [(0, 3 * i, 0.0) for i in range(1, 6)]
