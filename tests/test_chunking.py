@@ -213,3 +213,16 @@ def test_simple_upper_keeps_the_length(value):
     from shelfmark.functions.text import simple_upper
 
     assert value(["Stra\u00dfe \u0149 \u1f80 \ufb01 \u00e9", "", None], simple_upper(F.col("t"))) == ["STRA\u1e9eE \u0149 \u1f88 \ufb01 \u00c9", "", None]
+
+
+def test_hashing_model_keeps_a_bounded_number_of_tokens():
+    import tracemalloc
+
+    model = hashing_model(8)
+    tracemalloc.start()
+    for at in range(0, 300_000, 1000):
+        model([" ".join(f"word{i}" for i in range(at, at + 1000))])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 16 << 20
+    assert (model(["word1 word299999"]) == hashing_model(8)(["word1 word299999"])).all()
