@@ -116,19 +116,43 @@ class Frequent(Cached):
 
     SEEN = 1 << 23
 
-    def __init__(self, function, limit: int = 1 << 20):
+    def __init__(self, function, limit: int = 1 << 20, together=None):
         super().__init__(function, limit)
-        self.seen, self.marks = bytearray(self.SEEN), 0
+        self.seen, self.marks, self.together = bytearray(self.SEEN), 0, together
 
     def __missing__(self, key):
+        return super().__missing__(key) if self._comes_again(key) else self.function(key)
+
+    def _comes_again(self, key) -> bool:
         at = hash(key) % self.SEEN
         if self.seen[at]:
-            return super().__missing__(key)
+            return True
         if self.marks > self.SEEN // 2:
             self.seen, self.marks = bytearray(self.SEEN), 0
         self.seen[at] = 1
         self.marks += 1
-        return self.function(key)
+        return False
+
+    def values_of(self, keys: set) -> dict:
+        """The values of distinct arguments; what is not held is worked out by one call of ``together``."""
+        found = {key: self[key] for key in self.keys() & keys}
+        missing = keys - found.keys()
+        older = self.older
+        for key in older.keys() & missing:
+            found[key] = older[key]
+            self._take(key, older[key])
+        missing = list(missing - found.keys())
+        for key, value in zip(missing, self.together(missing)):
+            found[key] = value
+            if self._comes_again(key):
+                self._take(key, value)
+        return found
+
+    def _take(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class IntTable:

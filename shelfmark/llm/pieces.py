@@ -5,7 +5,7 @@ gives the least cost from the start to every position. Searching backwards from
 estimate of what is left, so A-star takes the complete paths off its queue in order of cost.
 
 Where no piece can cross a position, the lattice falls into independent units (words, mostly). Units that come
-again are solved once or twice per worker. Costs add up over units, so only the units with the ``n - 1`` least second-best
+again are kept by the worker, and the others of some texts are solved together, position by position. Costs add up over units, so only the units with the ``n - 1`` least second-best
 losses can differ in the ``n`` best segmentations of a text; only they are searched further, and merged exactly.
 
 Costs are integers (thousandths of a nat), so equal costs are equal. The scores of a unigram model are log
@@ -31,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, Cached, Frequent, small_batches, texts
+from .common import KEPT, Cached, Frequent, IntTable, small_batches, texts
 
 N_BEST = 4
 UNIT_CACHE = 1 << 18
+TOGETHER = 2 << 20   # bytes of texts whose units are solved at once
+GROUP = 1 << 13      # of them in one go, so that the arrays stay in the processor's cache
+SHORT = 32           # longer units are solved one by one
 FAR = 1 << 60
 _NONE = ({}, None, 0)
 
@@ -72,6 +75,7 @@ class Lattice:
         self.trie: dict[str, tuple] = {}
         for p in sorted(self.pieces, key=len):
             self._plant(p)
+        self._flatten()
         self.longest = max(map(len, self.pieces), default=1)
         crossing = any(re.search("[^▁]▁", p) for p in self.pieces)
         lines = not any("\n" in p for p in self.pieces)
@@ -87,6 +91,24 @@ class Lattice:
         i, cost = self.pieces[piece]
         node[piece[-1]] = (node[piece[-1]][0] if piece[-1] in node else {}, (i,), cost)
 
+    def _flatten(self) -> None:
+        """The trie as arrays: characters by number, nodes by the key ``node * characters + character``, a piece and its cost by node."""
+        characters = sorted({c for p in self.pieces for c in p})
+        self.number = np.full(0x110000, len(characters), dtype=np.int32)
+        self.number[[ord(c) for c in characters]] = np.arange(len(characters))
+        self.kinds = len(characters) + 1
+        keys, piece, cost, open_ = [], [-1], [0], [(0, self.trie)]
+        while open_:
+            node, following = open_.pop()
+            for c, (deeper, ids, price) in following.items():
+                keys.append(node * self.kinds + int(self.number[ord(c)]))
+                piece.append(-1 if ids is None else ids[0])
+                cost.append(price)
+                if deeper:
+                    open_.append((len(keys), deeper))
+        self.piece, self.cost = np.array(piece, dtype=np.int32), np.array(cost, dtype=np.int64)
+        self.nodes = IntTable(np.array(keys, dtype=np.uint64), np.arange(1, len(keys) + 1))
+
     def spell(self, character: str) -> tuple[int, ...]:
         """Ids for a character that is no piece."""
         spelled = character.encode("utf-8", "surrogatepass")
@@ -160,6 +182,77 @@ class Lattice:
         ids, cost, loss = self.solve(unit)
         return array("i", ids).tobytes(), cost, loss
 
+    def packed_all(self, units: list[str]) -> list[tuple[bytes, int, int]]:
+        """:meth:`packed` of all units. The short ones are solved together: first all edges, one character deeper
+        at a time, then the two least costs of every position, those of one offset and one length of edges at a time."""
+        if not self.pieces:
+            return [self.packed(u) for u in units]
+        if len(units) > GROUP:
+            return list(chain.from_iterable(self.packed_all(units[a:a + GROUP]) for a in range(0, len(units), GROUP)))
+        short = [u for u in units if len(u) <= SHORT]
+        lengths = np.fromiter(map(len, short), dtype=np.int64, count=len(short))
+        # A unit has a place for each of its characters and one for its end.
+        first = np.cumsum(lengths + 1) - lengths - 1
+        code = np.frombuffer("\n".join([*short, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self.number[code]
+        inside = np.ones(len(code), dtype=bool)
+        inside[first + lengths] = False
+        number[~inside] = self.kinds - 1
+        offset = np.arange(len(code)) - np.repeat(first, lengths + 1)
+
+        at, node, edges = np.flatnonzero(inside), np.zeros(int(inside.sum()), dtype=np.int64), []
+        for depth in range(1, self.longest + 1):
+            node = self.nodes.values[self.nodes.find((node * self.kinds + number[at + depth - 1]).astype(np.uint64))]
+            whole = np.flatnonzero(self.piece[node] >= 0)
+            if depth == 1:
+                spelled = at[self.piece[node] < 0]
+            edges.append((at[whole], np.full(len(whole), depth), self.piece[node[whole]], self.cost[node[whole]]))
+            more = np.flatnonzero(node)
+            at, node = at[more], node[more]
+        odd, which = np.unique(code[spelled], return_inverse=True)
+        spellings = [self.spell(chr(c)) for c in odd]
+        sizes = np.array([len(x) for x in spellings], dtype=np.int64)
+        # A spelled character is an edge with the number of its spelling, below zero.
+        edges.append((spelled, np.ones(len(spelled), dtype=np.int64), -1 - which.reshape(-1), self.spelled * sizes[which.reshape(-1)]))
+        start, depth, piece, cost = (np.concatenate(x) for x in zip(*edges))
+        step = offset[start] * (self.longest + 1) + depth
+        # Numbers of 16 bits are sorted by counting.
+        order = np.argsort(step.astype(np.uint16) if SHORT * (self.longest + 1) < 1 << 16 else step, kind="stable")
+        start, depth, piece, cost, step = start[order], depth[order], piece[order], cost[order], step[order]
+        best, second = np.full((2, len(code)), FAR, dtype=np.int64)
+        back = np.zeros(len(code), dtype=np.int64)
+        best[first] = 0
+        bounds = [*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(step)]
+        for a, b in zip(bounds, bounds[1:]):
+            s = start[a:b]
+            e, c = s + depth[a], best[s] + cost[a:b]
+            old, other = best[e], second[e]
+            lower = c < old
+            second[e] = np.where(lower, np.minimum(old, second[s] + cost[a:b]), np.minimum(other, c))
+            best[e] = np.minimum(old, c)
+            back[e] = np.where(lower, np.arange(a, b), back[e])
+
+        end, unit, parts = first + lengths, np.arange(len(short)), []
+        place = end.copy()
+        while len(unit):
+            edge = back[place]
+            parts.append((unit, edge))
+            place = start[edge]
+            more = place > first[unit]
+            unit, place = unit[more], place[more]
+        unit, edge = (np.concatenate(x[::-1]) for x in zip(*parts)) if parts else (np.array([], np.int64),) * 2
+        order = np.argsort(unit, kind="stable")
+        unit, found = unit[order], piece[edge[order]]
+        width = np.ones(len(found), dtype=np.int64)
+        width[found < 0] = sizes[-1 - found[found < 0]]
+        ids = np.repeat(found, width)
+        ids[ids < 0] = list(chain.from_iterable(spellings[-1 - k] for k in found[found < 0].tolist()))
+        ends = 4 * np.cumsum(np.bincount(unit, width, len(short)).astype(np.int64))
+        flat, loss = ids.astype(np.int32).tobytes(), second[end] - best[end]
+        loss[second[end] >= FAR // 2] = -1
+        solved = zip([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], best[end].tolist(), loss.tolist())
+        return [next(solved) if len(u) <= SHORT else self.packed(u) for u in units]
+
     def nbest(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` cheapest segmentations as (cost, ids), by backward A-star.
 
@@ -193,10 +286,9 @@ class Lattice:
         return text.removeprefix(self.prefix).replace("▁", " ")
 
 
-def _alternatives(lattice: Lattice, units: list[str], solved: list, total: int, pieces: int, n: int, searched: Cached) -> list[dict]:
-    """The ``n`` best segmentations of a text as changes to its best one."""
-    loss = np.array([s[2] for s in solved], dtype=np.int64)
-    loss[loss < 0] = FAR
+def _alternatives(units: list[str], parts: tuple, loss: np.ndarray, total: int, pieces: int, n: int, searched: Cached) -> list[dict]:
+    """The ``n`` best segmentations of a text as changes to its best one, given as ``parts`` of 32-bit ids by unit."""
+    loss = np.where(loss < 0, FAR, loss)
     chosen = np.arange(len(loss))
     if len(loss) >= n:
         # The units with the n - 1 least losses, the first ones where losses are equal.
@@ -209,9 +301,10 @@ def _alternatives(lattice: Lattice, units: list[str], solved: list, total: int,
         kept = heapq.nsmallest(n, ((cost + choice[0] - choices[0][0], edits if not k else edits + ((u, choice[1]),))
                                    for cost, edits in kept for k, choice in enumerate(choices)), key=lambda x: x[0])
     out = []
-    before = np.cumsum([0] + [len(s[0]) for s in solved]) // 4
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    before = np.cumsum(sizes) - sizes
     for rank, (cost, edits) in enumerate(kept, 1):
-        changes = [{"at": int(before[u]), "drop": len(solved[u][0]) // 4, "put": list(ids)} for u, ids in edits]
+        changes = [{"at": int(before[u]), "drop": int(sizes[u]), "put": list(ids)} for u, ids in edits]
         out.append({"rank": rank, "cost": total + cost, "n_pieces": pieces + sum(len(c["put"]) - c["drop"] for c in changes), "edits": changes})
     return out
 
@@ -221,7 +314,7 @@ def _solver(path: str, n: int) -> tuple[Lattice, Cached, Cached]:
     kept = KEPT.setdefault("pieces", {})
     if (path, n) not in kept:
         lattice = Lattice(path)
-        kept[path, n] = lattice, Frequent(lattice.packed, UNIT_CACHE), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
+        kept[path, n] = lattice, Frequent(lattice.packed, UNIT_CACHE, lattice.packed_all), Cached(lambda unit: lattice.nbest(unit, n), 1 << 14)
     return kept[path, n]
 
 
@@ -235,17 +328,18 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
         import public_tokenizers
 
         lattice, cache, searched = _solver(path or public_tokenizers.path("piece_bpe_32k.model"), n)
-        for batch in small_batches(batches, "text", keeps="pieces"):
+        for batch in small_batches(batches, "text", TOGETHER, keeps="pieces"):
             counts, costs, flat, exact, best = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                units = lattice.units.findall(lattice.model.normalize(text))
-                solved = list(map(cache.__getitem__, units))
-                ids = np.frombuffer(b"".join([s[0] for s in solved]), np.int32)
+            split = [lattice.units.findall(lattice.model.normalize(text)) for text in batch.column("text").to_pylist()]
+            known = cache.values_of(set(chain.from_iterable(split)))
+            for text, units in zip(batch.column("text").to_pylist(), split):
+                parts, cost, loss = zip(*map(known.__getitem__, units)) if units else ((), (), ())
+                ids = np.frombuffer(b"".join(parts), np.int32)
                 counts.append(len(ids))
-                costs.append(sum([s[1] for s in solved]))
+                costs.append(sum(cost))
                 flat.append(ids)
                 exact.append(lattice.decode(ids.tolist()) == text)
-                best.append(_alternatives(lattice, units, solved, costs[-1], counts[-1], n, searched))
+                best.append(_alternatives(units, parts, np.array(loss, dtype=np.int64), costs[-1], counts[-1], n, searched))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.array([], np.int32)))
             yield pa.RecordBatch.from_arrays(

@@ -73,3 +73,27 @@ def test_texts(spark, lattice):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded).collect()}
     assert back[4] == "x" and back[3] == ""
     assert pieces.encode(df.limit(0)).count() == 0
+
+
+def test_units_solved_together_equal_units_solved_alone(lattice):
+    import random
+
+    rng = random.Random(5)
+    units = ["▁the", "汉x", "▁①b", "x", "\n", "a" * pieces.SHORT, "a" * (pieces.SHORT + 1), "\U0001f600", "\u0000é", "naïve▁", "①"]
+    units += ["".join(rng.choice("▁abcehinorst.,üß①汉\U0001f600%0") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    assert lattice.packed_all(units) == [lattice.packed(u) for u in units]
+    assert lattice.packed_all([]) == [] and lattice.packed_all(["b" * 99]) == [lattice.packed("b" * 99)]
+
+
+def test_units_not_held_are_solved_by_one_call():
+    from shelfmark.llm.common import Frequent
+
+    calls = []
+    held = Frequent(None, 8, lambda keys: calls.append(sorted(keys)) or [ord(k) for k in keys])
+    assert held.values_of({"a", "b"}) == {"a": 97, "b": 98}
+    assert held.values_of({"b", "c"}) == {"b": 98, "c": 99}
+    assert held.values_of({"b", "c"}) == {"b": 98, "c": 99} and calls == [["a", "b"], ["b", "c"], ["c"]]
+    for a in range(0, 26, 2):
+        for _ in range(3):
+            assert held.values_of(set(map(chr, (a, a + 1)))) == {chr(a): a, chr(a + 1): a + 1}
+            assert len(held) <= 4
