@@ -172,7 +172,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the threshold."""
     one = sets.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("items").alias("ia"))
     two = sets.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("items").alias("ib"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
+    # Sets in no pair as ``b`` stay where they are while the pairs are few.
+    both = pairs.join(one, "a").join(two.join(pairs.select("b"), "b", "left_semi"), "b").withColumn("common", F.size(F.array_intersect("ia", "ib")))
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
@@ -261,14 +262,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, band_r
     nodes = materialize(sketched.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("row"), F.first("n_shingles").alias("n"),
         F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    # A key holds its band, so a bucket is a key.
-    every = nodes.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    full = every.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).filter("c > 1").drop("c")
+    # A key holds its band, so a bucket is a key. Both columns are named throughout, so that the join takes the rows from the shuffle the groups are made of.
+    every = nodes.select("id", "n", F.posexplode("keys").alias("band", "key")).repartition("key", "band")
+    full = every.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).filter("c > 1").drop("c")
     # From here on rows need no keys.
     sketched = materialize(sketched.drop("keys"), "named")
     discard(sketched.sparkSession, steps["sketches"])
     with recorded() as steps["met"]:
-        met = materialize(every.join(full, "key"), "members")
+        met = materialize(every.join(full, ["key", "band"]), "members")
     if met.isEmpty():
         return _result(sketched, nodes.select("node", F.col("least").alias("component_id"), F.col("row").alias("first")))
     members = met.select("key", "band", "id", "n")

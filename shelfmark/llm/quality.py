@@ -14,6 +14,7 @@ there is none).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -171,20 +172,22 @@ def _paths(x: np.ndarray, y: np.ndarray, bounds: list[np.ndarray], features: np.
 def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression with an L1 penalty by accelerated proximal gradients; the bias is free."""
     n, d = z.shape
-    z1 = np.hstack([z, np.ones((n, 1), z.dtype)])
+    # The bias is one more column of ones, which is not stored: the table is the largest thing the driver holds.
+    times = lambda v: z @ v[:-1] + v[-1]
+    back = lambda r: np.append(z.T @ r, r.sum())
     v = np.random.default_rng(0).normal(size=d + 1).astype(z.dtype)
     for _ in range(20):
-        v = z1.T @ (z1 @ v)
+        v = back(times(v))
         v /= np.linalg.norm(v)
-    step = 1 / (0.26 * float(v @ (z1.T @ (z1 @ v))) / n)
+    step = 1 / (0.26 * float(v @ back(times(v))) / n)
     w = u = np.zeros(d + 1, z.dtype)
     w[-1] = u[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     t = 1.0
     for _ in range(steps):
-        g = z1.T @ (1 / (1 + np.exp(-(z1 @ u))) - y) / n
+        g = back(1 / (1 + np.exp(-times(u))) - y) / n
         new = u - step * g
         new[:-1] = np.sign(new[:-1]) * np.maximum(0, np.abs(new[:-1]) - step * penalty)
-        t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t1 = (1 + math.sqrt(1 + 4 * t * t)) / 2  # a numpy number would turn all into doubles, the table at every step too
         u = new + (t - 1) / t1 * (new - w)
         w, t = new, t1
     return w[:-1], float(w[-1])
@@ -208,15 +211,16 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7, penalty: float = 4e-4) -> R
         rows = np.concatenate([rng.choice(rare, 600), rng.choice(common, 600)])
         features = rng.choice(x.shape[1], size=max(3, x.shape[1] // 3), replace=False)
         _paths(x[rows], y[rows], bounds, features, DEPTH, (), found)
-    rules, columns, seen = [], [], set()
+    rules, columns, seen = [], [], {}
     for r in sorted(found, key=lambda r: (len(r.terms), r.terms)):
         held = r.holds(x)
-        key = held.tobytes()
-        if key not in seen and 0 < held.mean() < 1:
-            seen.add(key)
+        key = hash(held.tobytes())
+        if 0 < held.mean() < 1 and not any((columns[i] == held).all() for i in seen.get(key, ())):
+            seen.setdefault(key, []).append(len(rules))
             rules.append(r)
             columns.append(held)
     z = np.array(columns, dtype=np.float32).T
+    del columns
     w, bias = _lasso(z, y.astype(np.float32), penalty)
     kept = np.flatnonzero(np.abs(w) > 1e-3)
     return RuleEnsemble(tuple(rules[i] for i in kept), tuple(float(w[i]) for i in kept), bias)
@@ -227,8 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, trains: Column, target: str = "qua
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("y")).dropna()
     chosen = materialize(known.filter(trains & (share(F.col("doc_id")) < sample / max(1, known.filter(trains).count()))), "labels")
     rows = described(docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")).join(chosen, "doc_id").select(
-        *STATS, "y").toPandas().sort_values([*STATS, "y"], kind="stable")
-    return fit(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
+        *STATS, "y").toArrow()
+    known = np.column_stack([rows[c].to_numpy() for c in (*STATS, "y")])
+    known = known[np.lexsort(known.T[::-1])]
+    return fit(known[:, :-1], known[:, -1])
 
 
 def scored(docs: DataFrame, labels: DataFrame, trains: Column, target: str = "quality", sample: int = SAMPLE) -> DataFrame:

@@ -145,3 +145,16 @@ def test_kept_rules_are_paths_of_the_trees():
     for rule in model.rules:
         held = [all((row[k] > bound) == above for k, above, bound in rule.terms) for row in x.tolist()]
         assert rule.holds(x).tolist() == held and 0 < sum(held) < len(held)
+
+
+def test_lasso_takes_no_second_table():
+    import tracemalloc
+
+    z = (np.random.default_rng(1).random((3000, 400)) < 0.3).astype(np.float32)
+    y = (z[:, 0] + z[:, 1] > 0).astype(np.float32)
+    tracemalloc.start()
+    w, _ = quality._lasso(z, y, 4e-4, steps=200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < z.nbytes / 4
+    assert set(np.argsort(-w)[:2]) == {0, 1}

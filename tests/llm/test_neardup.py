@@ -112,3 +112,13 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {41} and got[200] == got[201] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_in_no_pair_are_left_out_before_the_shuffle(spark):
+    from shelfmark.llm import neardup
+
+    sets = spark.createDataFrame([(i, 4, [1, 2, 3, 4 + i // 2]) for i in range(8)], "id long, size int, items array<long>")
+    pairs = spark.createDataFrame([(0, 1), (2, 5), (4, 5)], "a long, b long")
+    found = neardup._linked(pairs, sets, 80)
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (4, 5)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
