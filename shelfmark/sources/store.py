@@ -173,8 +173,8 @@ class ChunkStore:
         old = self._batches(f"keys/{part}/batch=*")
         if not old:
             return
-        # The hint lets Spark size the files by bytes and split what is skewed.
-        current = self._current(module, variant).drop("batch", "pos", "seq", "module").hint("rebalance")
+        # A scan deals files to tasks by their bytes, small ones together, so the rows need no shuffle to fill larger files.
+        current = self._current(module, variant).drop("batch", "pos", "seq", "module")
         self._write(current, module, self._next())
         for batch in old:
             self._drop(f"keys/{part}/batch={batch}")

@@ -344,3 +344,17 @@ def test_robots_with_very_many_rules(spark):
     assert {r["id"] for r in allowed.collect()} == {i for i, u in enumerate(urls) if open_(u)}
     plan = allowed._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "StartsWith" not in plan
+
+
+def test_compaction_does_not_shuffle_rows(spark, monkeypatch, tmp_path):
+    from shelfmark.sources.store import ChunkStore
+
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    for a in range(3):
+        store.upsert(spark.createDataFrame([(f"c{a}", f"d{a}", 0, "v", "text", [1.0])],
+                                           "chunk_id string, doc_id string, chunk_index int, variant string, content string, embedding array<float>"))
+    plans, write = [], ChunkStore._write
+    monkeypatch.setattr(ChunkStore, "_write", lambda self, rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, *a)))
+    store.compact("basic", "v")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    assert {r["chunk_id"] for r in store.read().collect()} == {"c0", "c1", "c2"}
