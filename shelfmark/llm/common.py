@@ -135,14 +135,22 @@ class Frequent(Cached):
 
     def values_of(self, keys: set) -> dict:
         """The values of distinct arguments; what is not held is worked out by one call of ``together``."""
-        found = {key: self[key] for key in self.keys() & keys}
-        missing = keys - found.keys()
-        older = self.older
-        for key in older.keys() & missing:
-            found[key] = older[key]
-            self._take(key, older[key])
-        missing = list(missing - found.keys())
-        for key, value in zip(missing, self.together(missing)):
+        found, missing, held = {}, [], self.get
+        for key in keys:
+            value = held(key)
+            if value is None:
+                missing.append(key)
+            else:
+                found[key] = value
+        older, new = self.older, []
+        for key in missing:
+            value = older.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                found[key] = value
+                self._take(key, value)
+        for key, value in zip(new, self.together(new)):
             found[key] = value
             if self._comes_again(key):
                 self._take(key, value)

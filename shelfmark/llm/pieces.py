@@ -80,6 +80,7 @@ class Lattice:
         crossing = any(re.search("[^▁]▁", p) for p in self.pieces)
         lines = not any("\n" in p for p in self.pieces)
         self.units = re.compile("(?s).+" if crossing else "\n|▁+[^▁\n]*|[^▁\n]+" if lines else "▁+[^▁]*|[^▁]+")
+        self.plain = lines and not crossing
         self.raw = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).encode() for i in ids]
         # What the model puts before a text to mark the start of a word.
         self.prefix = sp.normalize("a")[:-1]
@@ -109,6 +110,17 @@ class Lattice:
         self.piece, self.cost = np.array(piece, dtype=np.int32), np.array(cost, dtype=np.int64)
         self.nodes = IntTable(np.array(keys, dtype=np.uint64), np.arange(1, len(keys) + 1))
 
+    def units_of(self, normal: str) -> list[str]:
+        """The independent units of a normalised text, in their order."""
+        if not self.plain or "▁▁" in normal or "\0" in normal:
+            return self.units.findall(normal)
+        # Cut before every mark and on both sides of every line end, which is quicker.
+        cut = normal.replace("▁", "\0▁")
+        if "\n" in cut:
+            cut = cut.replace("\n", "\0\n\0").replace("\0\0", "\0")
+        cut = cut.strip("\0")
+        return cut.split("\0") if cut else []
+
     def spell(self, character: str) -> tuple[int, ...]:
         """Ids for a character that is no piece."""
         spelled = character.encode("utf-8", "surrogatepass")
@@ -251,7 +263,7 @@ class Lattice:
         flat, loss = ids.astype(np.int32).tobytes(), second[end] - best[end]
         loss[second[end] >= FAR // 2] = -1
         solved = zip([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], best[end].tolist(), loss.tolist())
-        return [next(solved) if len(u) <= SHORT else self.packed(u) for u in units]
+        return list(solved) if len(short) == len(units) else [next(solved) if len(u) <= SHORT else self.packed(u) for u in units]
 
     def nbest(self, unit: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` cheapest segmentations as (cost, ids), by backward A-star.
@@ -282,13 +294,15 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """The text of ids; the mark of the first word goes, as the model put it there."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text.removeprefix(self.prefix).replace("▁", " ")
+        return self.shown(b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace"))
+
+    def shown(self, normal: str) -> str:
+        """A normalised text as it is read."""
+        return normal.removeprefix(self.prefix).replace("▁", " ")
 
 
-def _alternatives(units: list[str], parts: tuple, loss: np.ndarray, total: int, pieces: int, n: int, searched: Cached) -> list[dict]:
-    """The ``n`` best segmentations of a text as changes to its best one, given as ``parts`` of 32-bit ids by unit."""
-    loss = np.where(loss < 0, FAR, loss)
+def _alternatives(units: list[str], loss: np.ndarray, before: np.ndarray, total: int, n: int, searched: Cached) -> list[dict]:
+    """The ``n`` best segmentations of a text as changes to its best one; the ids of unit ``u`` begin at ``before[u]``, the end included."""
     chosen = np.arange(len(loss))
     if len(loss) >= n:
         # The units with the n - 1 least losses, the first ones where losses are equal.
@@ -300,11 +314,9 @@ def _alternatives(units: list[str], parts: tuple, loss: np.ndarray, total: int,
         choices = searched[units[u]]
         kept = heapq.nsmallest(n, ((cost + choice[0] - choices[0][0], edits if not k else edits + ((u, choice[1]),))
                                    for cost, edits in kept for k, choice in enumerate(choices)), key=lambda x: x[0])
-    out = []
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-    before = np.cumsum(sizes) - sizes
+    out, first, pieces = [], int(before[0]), int(before[-1] - before[0])
     for rank, (cost, edits) in enumerate(kept, 1):
-        changes = [{"at": int(before[u]), "drop": int(sizes[u]), "put": list(ids)} for u, ids in edits]
+        changes = [{"at": int(before[u]) - first, "drop": int(before[u + 1] - before[u]), "put": list(ids)} for u, ids in edits]
         out.append({"rank": rank, "cost": total + cost, "n_pieces": pieces + sum(len(c["put"]) - c["drop"] for c in changes), "edits": changes})
     return out
 
@@ -329,19 +341,31 @@ def encode(docs: DataFrame, path: str | None = None, n: int = N_BEST) -> DataFra
 
         lattice, cache, searched = _solver(path or public_tokenizers.path("piece_bpe_32k.model"), n)
         for batch in small_batches(batches, "text", TOGETHER, keeps="pieces"):
-            counts, costs, flat, exact, best = [], [], [], [], []
-            split = [lattice.units.findall(lattice.model.normalize(text)) for text in batch.column("text").to_pylist()]
+            split, same = [], []
+            for text in batch.column("text").to_pylist():
+                normal = lattice.model.normalize(text)
+                split.append(lattice.units_of(normal))
+                same.append(lattice.shown(normal) == text)
+            # What is known of each distinct unit as arrays, and the units of all texts as places in these.
             known = cache.values_of(set(chain.from_iterable(split)))
-            for text, units in zip(batch.column("text").to_pylist(), split):
-                parts, cost, loss = zip(*map(known.__getitem__, units)) if units else ((), (), ())
-                ids = np.frombuffer(b"".join(parts), np.int32)
-                counts.append(len(ids))
-                costs.append(sum(cost))
-                flat.append(ids)
-                exact.append(lattice.decode(ids.tolist()) == text)
-                best.append(_alternatives(units, parts, np.array(loss, dtype=np.int64), costs[-1], counts[-1], n, searched))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.array([], np.int32)))
+            parts, cost, loss = zip(*known.values()) if known else ((), (), ())
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+            cost, loss = np.array(cost, dtype=np.int64), np.array(loss, dtype=np.int64)
+            loss[loss < 0] = FAR
+            places = dict(zip(known, range(len(known))))
+            ends = np.cumsum([0, *map(len, split)])
+            units = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(ends[-1]))
+            before = np.concatenate([[0], np.cumsum(sizes[units])])
+            starts = np.cumsum(sizes) - sizes
+            ids = np.frombuffer(b"".join(parts), np.int32)[np.arange(before[-1]) + np.repeat(starts[units] - before[:-1], sizes[units])]
+            costs, strange = (np.concatenate([[0], np.cumsum(x)]) for x in (cost[units], ids == lattice.unknown))
+            costs, strange = np.diff(costs[ends]).tolist(), np.diff(strange[before[ends]]).tolist()
+            loss = loss[units]
+            # Pieces and bytes spell what was normalised; only the unknown piece, longer than any character, does not.
+            exact = [whole and not odd for whole, odd in zip(same, strange)]
+            best = [_alternatives(mine, loss[a:b], before[a:b + 1], total, n, searched) for mine, a, b, total in zip(split, ends[:-1], ends[1:], costs)]
+            offsets, counts = pa.array(before[ends].astype(np.int32)), np.diff(before[ends])
+            ids = pa.ListArray.from_arrays(offsets, pa.array(ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(costs, pa.int64()), ids,
                  pa.array(exact, pa.bool_()), pa.array(best, _NBEST_TYPE)],

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,10 @@ def test_units_not_held_are_solved_by_one_call():
         for _ in range(3):
             assert held.values_of(set(map(chr, (a, a + 1)))) == {chr(a): a, chr(a + 1): a + 1}
             assert len(held) <= 4
+
+
+def test_units_are_cut_as_the_pattern_cuts_them(lattice):
+    assert lattice.plain
+    rng = random.Random(4)
+    for text in ["", "▁", "\n", "▁a\n▁b", "\n\n▁\n", "a▁▁b", "a\0b▁c", *("".join(rng.choices("▁\nab\0é", (6, 2, 4, 4, 0.2, 2), k=rng.randrange(20))) for _ in range(500))]:
+        assert lattice.units_of(text) == lattice.units.findall(text)
