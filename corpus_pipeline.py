@@ -56,13 +56,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     flagged = materialize(found.select(F.col("blob").alias(name)), "flagged")
     discard(spark, steps)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn(blob, F.sha2(text.cast("binary"), 256)).join(flagged, F.col(blob) == F.col(name), "left")
+    # A text no rule matches is in no finding, so it stays where it is; the others meet the findings.
+    suspect = secrets.suspect(text)
+    joined = docs.filter(suspect).withColumn(blob, F.sha2(text.cast("binary"), 256)).join(flagged, F.col(blob) == F.col(name), "left")
     hit = F.col(name).isNotNull()
     changed = joined.withColumn("text", F.when(hit, secrets.redacted(F.col("text"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.when(hit, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(~suspect).unionAll(changed.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

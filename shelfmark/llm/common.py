@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -37,12 +38,23 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows named by ``doc_id, row_key`` as :func:`texts` gives them."""
+    """``docs``, all columns, without the rows named by ``doc_id, row_key`` as :func:`texts` gives them.
+
+    A bitmap of their keys leaves the texts of other rows where they are; what passes it meets the rows themselves. ``docs``
+    is read twice, so it has to be the same each time.
+    """
     key, mine, other = (unused(docs, n) for n in ("row_key", "mine", "other"))
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     named = rows.select(F.col("doc_id").alias(mine), F.col("row_key").alias(other)).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(Bitmap(named, other))
+
+    @F.pandas_udf("boolean")
+    def passes(keys: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.value.passes(keys.to_numpy()))
+
     same = (F.col(key) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(mine))
-    return keyed.join(named, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = keyed.filter(~passes(key)).unionAll(keyed.filter(passes(key)).join(named, same, "left_anti"))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remainder(column: str, n: int) -> Column:

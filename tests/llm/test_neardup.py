@@ -7,8 +7,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from shelfmark.llm import neardup
-from shelfmark.llm.common import Cached
+from shelfmark.llm.common import Cached, texts, without
 from shelfmark.llm.components import connected_components
+from shelfmark.session import fresh_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -122,3 +123,14 @@ def test_sets_in_no_pair_are_left_out_before_the_shuffle(spark):
     found = neardup._linked(pairs, sets, 80)
     assert sorted(map(tuple, found.collect())) == [(0, 1), (4, 5)]
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    path = fresh_dir(spark, "docs")
+    spark.createDataFrame([(i if i % 7 else None, f"text {i} " * 400) for i in range(400)] + [(1, None), (2, "")], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows = texts(docs).filter("doc_id % 20 = 0 OR doc_id IS NULL OR text = ''").select("doc_id", "row_key")
+    left = without(docs, rows.unionAll(rows))
+    want = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None and r["doc_id"] % 20 and r["text"])
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == want
+    assert "ArrowEvalPython" in left._jdf.queryExecution().toString()

@@ -121,3 +121,15 @@ def test_private_keys_are_covered_with_their_body(spark):
         assert clean[i] == f"{before}[private_key]{after}"
     whole = df.select("doc_id", secrets.redacted(F.col("text")).alias("c")).collect()
     assert not any("MII" in r["c"] for r in whole)
+
+
+def test_texts_without_matches_are_not_shuffled(spark):
+    docs = table(spark, ["plain words only, no key at all"] * 3 + TEXTS).select("doc_id", "text")
+    held = docs.select("text", secrets.suspect(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert not any(r["s"] for r in held[:3])
+    assert all(r["s"] for r in held if brute(r["text"])) and sum(r["s"] for r in held) < len(TEXTS)
+    # A clean blob enters the ledger all the same, under the name of its own text.
+    path = fresh_dir(spark, "ledger")
+    rows = secrets.scan_versions(docs, path).collect()
+    blobs = {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()}
+    assert {r["blob"] for r in rows} == blobs == {r["blob"] for r in secrets.read_ledger(spark, path).collect()}
