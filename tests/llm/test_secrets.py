@@ -133,3 +133,8 @@ def test_texts_without_matches_are_not_shuffled(spark):
     rows = secrets.scan_versions(docs, path).collect()
     blobs = {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()}
     assert {r["blob"] for r in rows} == blobs == {r["blob"] for r in secrets.read_ledger(spark, path).collect()}
+
+
+def test_redaction_names_each_text_a_few_times(spark):
+    plan = table(spark, TEXTS).select(secrets.redacted(F.col("text")).alias("clean"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("text#") < 20 and len(plan) < 20_000
