@@ -21,19 +21,18 @@ from __future__ import annotations
 
 import copy
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import binaries, remainder, share, small_batches, texts
+from .common import remainder, share, small_batches, texts
 
 HEAD = 1 << 17
 SAMPLE = 1_000_000      # tokens a task learns from in a round, while there are cores for all tasks
@@ -43,32 +42,41 @@ CHUNK = 1 << 20         # tokens put in random order at once
 FLAT = 64               # up to so many outcomes are one class
 DIM, NOISE, EPOCHS, BATCH, RATE = 24, 64, 4, 512, 0.08
 ALPHA = 0.1
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 END, OTHER = 0, 1
 
 
-def words(text: bytes | None) -> list[bytes]:
-    return _WORD.findall((text or b"").lower())
+def split(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts of a batch, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))  # at \x20 and \x09-\x0d
+    offsets, found = lists.offsets.to_numpy(), lists.flatten()
+    found = found.cast(pa.binary())
+    full = pc.binary_length(found).to_numpy() > 0  # white space at an end of a text leaves an empty word there
+    if not full.all():
+        offsets, found = np.append(0, np.cumsum(full))[offsets], found.filter(pa.array(full))
+    return found, np.diff(offsets).astype(np.int64)
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """``word, n`` over all texts; tasks combine what they can hold before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            keys = list(seen)
-            for a in range(0, len(keys), 1 << 16):
-                part = keys[a:a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[k] for k in part], pa.int64())], names=["word", "n"])
-            seen.clear()
+        def merged() -> pa.Table:
+            table = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table([table["word"], table["n_sum"]], names=["word", "n"])
 
         for batch in small_batches(batches, "text"):
-            for text in binaries(batch, "text"):
-                seen.update(words(text))
-            if len(seen) > 1 << 20:
-                yield from flush()
-        yield from flush()
+            seen = pc.value_counts(split(batch)[0])
+            held.append(pa.table([seen.field("values"), seen.field("counts")], names=["word", "n"]))
+            size += len(seen)
+            if size > 1 << 20:
+                held = [merged()]
+                size = len(held[0])
+                if size > 1 << 19:
+                    yield from held[0].to_batches(1 << 16)
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches(1 << 16)
 
     return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -109,18 +117,26 @@ def class_starts(share_: np.ndarray) -> np.ndarray:
 def _log_sum(z: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of exponentials of every row, which are written over."""
     top = z.max(1, keepdims=True)
-    z -= top
+    # Sums that cannot leave the type's range need no shift.
+    if not len(z) or top.max() > 60 or top.min() < -60:
+        z -= top
+    else:
+        top[:] = 0
     np.exp(z, out=z)
-    return np.log(z.sum(1)) + top[:, 0]
+    return np.log(z @ np.ones(z.shape[1], z.dtype)) + top[:, 0]
 
 
-def _odds(z: np.ndarray) -> np.ndarray:
-    """Logistic function, written over its argument."""
-    np.clip(z, -30, 30, out=z)
-    np.negative(z, out=z)
-    np.exp(z, out=z)
+def _short(rows: np.ndarray, limit: int) -> np.ndarray:
+    """Row numbers below ``limit`` in a type that numpy sorts by radix, if they fit."""
+    return rows.astype(np.uint16) if limit <= 1 << 16 else rows
+
+
+def _odds(z: np.ndarray, weight: np.ndarray | float = 1) -> np.ndarray:
+    """Logistic function of the negative of ``z``, times ``weight``, written over it."""
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
     z += 1
-    return np.reciprocal(z, out=z)
+    return np.divide(weight, z, out=z)
 
 
 @dataclass(frozen=True)
@@ -147,38 +163,57 @@ class LogBilinear:
     def normaliser(self) -> np.ndarray:
         return np.stack([_log_sum(self.first + row) for row in self.second])
 
-    def logs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    def logs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 17) -> np.ndarray:
         """Natural log probabilities of tokens after ``two, one``."""
-        out = np.empty(len(ids))
+        out, block = np.empty(len(ids)), 1 << 11  # rows of scores the processor's cache holds
         ends = np.append(self.starts[1:], len(self.target))
+        scores = np.empty(block * max(len(self.groups), *(ends - self.starts)), self.target.dtype)
         for a in range(0, len(ids), step):
             w = ids[a:a + step]
-            ctx = self.context[one[a:a + step]] * self.scales[0] + self.context[two[a:a + step]] * self.scales[1]
-            group = np.searchsorted(self.starts, w, side="right") - 1
-            log = np.empty(len(w))
-            for b in range(0, len(w), 1 << 11):  # what the processor's cache holds
-                z = ctx[b:b + (1 << 11)] @ self.groups[:, :-1].T
+            # Contexts come again and again; the classes are summed up once for each.
+            seen, which = np.unique(one[a:a + step] * len(self.target) + two[a:a + step], return_inverse=True)
+            last, before = np.divmod(seen, len(self.target))
+            ctx = self.context.take(last, 0) * self.scales[0]
+            ctx += self.context.take(before, 0) * self.scales[1]
+            totals = np.empty(len(ctx))
+            for b in range(0, len(ctx), block):
+                part = ctx[b:b + block]
+                z = np.matmul(part, self.groups[:, :-1].T, out=scores[:len(part) * len(self.groups)].reshape(len(part), -1))
                 z += self.groups[:, -1]
-                log[b:b + (1 << 11)] = z[np.arange(len(z)), group[b:b + (1 << 11)]]
-                log[b:b + (1 << 11)] -= _log_sum(z)
-            order = np.argsort(group, kind="stable")
+                totals[b:b + block] = _log_sum(z)
+            group = np.searchsorted(self.starts, w, side="right") - 1
+            log = np.einsum("ij,ij->i", ctx.take(which, 0), self.groups[:, :-1].take(group, 0)) + self.groups[group, -1] - totals[which]
+            order = np.argsort(_short(group, len(self.starts)), kind="stable")
             bounds = np.searchsorted(group[order], np.arange(len(self.starts) + 1))
             for g in np.flatnonzero((np.diff(bounds) > 0) & (ends - self.starts > 1)):
-                at, members = order[bounds[g]:bounds[g + 1]], self.target[self.starts[g]:ends[g]]
-                z = ctx[at] @ members[:, :-1].T
-                z += members[:, -1]
-                own = z[np.arange(len(at)), w[at] - self.starts[g]].astype(np.float64)
-                log[at] += own - _log_sum(z)
+                members = self.target[self.starts[g]:ends[g]]
+                for b in range(bounds[g], bounds[g + 1], block):
+                    at = order[b:min(b + block, bounds[g + 1])]
+                    z = np.matmul(ctx.take(which[at], 0), members[:, :-1].T, out=scores[:len(at) * len(members)].reshape(len(at), -1))
+                    z += members[:, -1]
+                    own = z[np.arange(len(at)), w[at] - self.starts[g]].astype(np.float64)
+                    log[at] += own - _log_sum(z)
             out[a:a + step] = log
         return out
 
 
-def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all sequences, with the last and the last but one token before each."""
-    padded = [np.concatenate([[END, END], s]) for s in sequences if len(s)]
-    if not padded:
-        return (np.array([], dtype=np.int64),) * 3
-    return tuple(np.concatenate([s[2 - k:len(s) - k] for s in padded]) for k in range(3))
+def ended(values: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The values of all texts, one after the other, with ``end`` after each text."""
+    out = np.full(len(values) + len(sizes), end, dtype=np.int64)
+    inside = np.ones(len(out), dtype=bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    out[inside] = values
+    return out
+
+
+def windows(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of texts of so many tokens each, their ends counted, with the last and the last but one token before each.
+
+    Before a text there are ends, and the text before has left one of them.
+    """
+    one, two = (np.concatenate([np.full(k, END), ids])[:len(ids)] for k in (1, 2))
+    two[np.cumsum(sizes)[:-1]] = END
+    return ids, one, two
 
 
 class Trainer:
@@ -205,50 +240,66 @@ class Trainer:
     def _step(self, i: int, g: np.ndarray, rows: np.ndarray | None = None) -> None:
         if rows is None:
             own = slice(None)
-            self.changes[i] += 1
         else:
-            order = np.argsort(rows, kind="stable")
-            own, first = np.unique(rows[order], return_index=True)
-            g = np.add.reduceat(g[order], first, axis=0)
-            self.changes[i][own] += np.diff(first, append=len(rows))
-        self.state[i][own] += (g * g).mean(1)
-        self.tables[i][own] -= RATE * g / np.sqrt(self.state[i][own])[:, None]
+            order = np.argsort(_short(rows, len(self.tables[i])), kind="stable")
+            rows = rows.take(order)
+            new = np.ones(len(rows) + 1, dtype=bool)
+            np.not_equal(rows[1:], rows[:-1], out=new[1:-1])
+            first = new.nonzero()[0]
+            own = rows.take(first[:-1])
+            g = np.add.reduceat(g.take(order, 0), first[:-1], axis=0)
+        table, state = (t if rows is None else t.take(own, 0) for t in (self.tables[i], self.state[i]))
+        squares = state + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        self.state[i][own] = squares
+        g *= (np.float32(RATE) / np.sqrt(squares))[:, None]
+        table -= g
+        if rows is not None:
+            self.tables[i][own] = table
 
     def learn(self, w: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator) -> None:
         context, target, groups, scales = self.tables
         log_noise, log_groups = (np.log(x * self.noise).astype(np.float32) for x in (self.share, self.group_share))
-        cumulative, weight = np.cumsum(self.share), (self.group_share * self.noise).astype(np.float32)
+        cumulative, classes = np.cumsum(self.share), groups if len(groups) > 1 else groups[:0]
+        weight = np.concatenate([np.ones(self.noise), self.group_share[:len(classes)] * self.noise]).astype(np.float32)
         order = rng.permutation(len(w))
+        drawn = rng.random((-(-len(w) // BATCH), self.noise)) * cumulative[-1]
+        drawn = np.minimum(np.searchsorted(cumulative, drawn), len(self.share) - 1)
+        scores = np.empty((min(BATCH, len(w)), len(weight)), np.float32)
         for a in range(0, len(w), BATCH):
             at = order[a:a + BATCH]
-            x, x1, x2 = w[at], one[at], two[at]
-            n, c1, c2 = np.float32(len(at)), context[x1], context[x2]
+            x, x1, x2 = w.take(at), one.take(at), two.take(at)
+            n, c1, c2 = np.float32(len(at)), context.take(x1, 0), context.take(x2, 0)
             ctx = np.ones((len(at), target.shape[1]), np.float32)
             np.add(c1 * scales[0], c2 * scales[1], out=ctx[:, :-1])
-            # One set of noise tokens serves the whole batch, so its scores are one matrix product.
-            other = np.searchsorted(cumulative, rng.random(self.noise) * cumulative[-1]).clip(0, len(self.share) - 1)
-            vectors = target[x]
-            good = _odds(np.einsum("ij,ij->i", ctx, vectors) - log_noise[x]) - 1
-            z = ctx @ target[other].T
-            z -= log_noise[other]
-            bad = _odds(z)
-            g_ctx = good[:, None] * vectors + bad @ target[other]
-            g_target = np.concatenate([good[:, None] * ctx, bad.T @ ctx]) / n
-            if len(groups) > 1:
-                # All classes serve as noise, each with its expected number of draws.
-                z, own = ctx @ groups.T, (np.arange(len(at)), self.of[x])
-                z -= log_groups
-                g = _odds(z)
-                hit = g[own] - 1
-                g *= weight
-                g[own] += hit
-                g_ctx += g @ groups
-                self._step(2, g.T @ ctx / n)
-            g_ctx = g_ctx[:, :-1]
-            self._step(1, g_target, np.concatenate([x, other]))
-            g_scales = np.stack([(g_ctx * c1).sum(0), (g_ctx * c2).sum(0)]) / n
-            self._step(0, np.concatenate([g_ctx * scales[0], g_ctx * scales[1]]) / n, np.concatenate([x1, x2]))
+            other = drawn[a // BATCH]
+            vectors = target.take(x, 0)
+            good = _odds(log_noise[x] - np.einsum("ij,ij->i", ctx, vectors)) - 1
+            # One set of noise tokens serves the whole batch, and all classes serve as noise, each with its expected number
+            # of draws; so their scores are one matrix product. What is taken from the scores is taken from the bias.
+            against = np.concatenate([target.take(other, 0), classes])
+            against[:self.noise, -1] -= log_noise[other]
+            against[self.noise:, -1] -= log_groups[:len(classes)]
+            g = _odds(np.matmul(ctx, np.negative(against).T, out=scores[:len(at)]), weight)
+            if len(classes):
+                own = self.noise + self.of[x]
+                g[np.arange(len(at)), own] += g[np.arange(len(at)), own] / weight[own] - 1
+            g_ctx = g @ against[:, :-1]
+            g_ctx += good[:, None] * vectors[:, :-1]
+            ctx /= n
+            g_rows = g.T @ ctx
+            if len(classes):
+                self._step(2, g_rows[self.noise:])
+            ctx *= good[:, None]
+            self._step(1, np.concatenate([ctx, g_rows[:self.noise]]), np.concatenate([x, other]))
+            g_ctx /= n
+            g_scales = np.stack([np.einsum("ij,ij->j", g_ctx, c1), np.einsum("ij,ij->j", g_ctx, c2)])
+            self._step(0, np.concatenate([g_ctx * scales[0], g_ctx * scales[1]]), np.concatenate([x1, x2]))
             self._step(3, g_scales)
+        size = len(self.share)
+        self.changes[0] += np.bincount(one, minlength=size) + np.bincount(two, minlength=size)
+        self.changes[1] += np.bincount(np.append(w, drawn), minlength=size)
+        self.changes[2] += len(drawn) if len(classes) else 0
+        self.changes[3] += len(drawn)
 
     def changed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row numbers over all tables, changes, and values with the state, of the rows that were changed."""
@@ -274,14 +325,10 @@ def train(sequences: list[np.ndarray], ids: dict[bytes, int], share_: np.ndarray
     """A model of sequences that fit into one process."""
     trainer, rng = Trainer(share_, dim, noise, seed), np.random.default_rng(seed)
     for _ in range(epochs):
-        trainer.learn(*windows(sequences), rng)
+        trainer.learn(*windows(np.concatenate(sequences), np.array([len(x) for x in sequences])), rng)
     return trainer.model(ids)
 
 
-def encode(found: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    return np.array([*(ids.get(w, OTHER) for w in found), END], dtype=np.int64)
-
-
 def train_all(teaching: DataFrame, tokens: int, ids: dict[bytes, int], share_: np.ndarray, sample: int = SAMPLE) -> LogBilinear:
     """A model of all texts of ``teaching`` (``row_key, text``), ``tokens`` with the ends.
 
@@ -299,14 +346,23 @@ def train_all(teaching: DataFrame, tokens: int, ids: dict[bytes, int], share_: n
             trainer, ids = copy.deepcopy(shared.value[0]), shared.value[1]
             rng = np.random.default_rng((number, TaskContext.get().partitionId()))
             held, size = [], 0
+            known = pa.array(ids, pa.binary())
+
+            def learn() -> None:
+                if held:
+                    trainer.learn(*map(np.concatenate, zip(*held)), rng)
+
             for batch in small_batches(batches, "text"):
-                for text in binaries(batch, "text"):
-                    held.append(encode(words(text), ids))
-                    size += len(held[-1])
-                    if size >= CHUNK:
-                        trainer.learn(*windows(held), rng)
-                        held, size = [], 0
-            trainer.learn(*windows(held), rng)
+                found, sizes = split(batch)
+                at = pc.fill_null(pc.index_in(found, known), OTHER - 2).to_numpy() + 2
+                tokens, ends, a = windows(ended(at, sizes, END), sizes + 1), np.cumsum(sizes + 1), 0
+                while (full := np.searchsorted(ends, a + CHUNK - size)) < len(ends):
+                    held.append([t[a:ends[full]] for t in tokens])
+                    learn()
+                    held, size, a = [], 0, ends[full]
+                held.append([t[a:] for t in tokens])
+                size += ends[-1] - a
+            learn()
             rows, n, values = trainer.changed()
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(n), *(pa.array(v) for v in (values * n[:, None]).T.copy())], names=["row", "n", *names])
 
@@ -338,36 +394,40 @@ def scored(docs: DataFrame, trains: Column, head: int = HEAD, vocabulary: int |
     share_ = np.array([ends, rest, *(n for _, n in known_words)], dtype=float) + 1
     share_ /= share_.sum()
     model = train_all(teaching, tokens, ids, share_, sample)
-    lookup = {w: n for w, n in frequent}
-    shared = spark.sparkContext.broadcast((lookup, model))
+    # Of the first of them the model knows, two more than a word's place is its outcome.
+    place = pa.array([w for w, _ in frequent], pa.binary())
+    head_logs = np.array([math.log10(n + ALPHA) for _, n in frequent] + [0.0, 0.0])
+    shared = spark.sparkContext.broadcast((place, head_logs, model))
     base_total = math.log10(tokens + ALPHA * (kinds + 1))
     # Probability of a word among the words outside the vocabulary, one unseen word included.
     rest_total = math.log10(rest + ALPHA * (rest_kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, model = shared.value
-        vocabulary = model.ids
-        logs = {w: math.log10(n + ALPHA) for w, n in lookup.items()}
+        place, logs, model = shared.value
+        held = len(model.ids)
         for batch in small_batches(batches, "text"):
-            columns: list[list] = [[] for _ in range(7)]
-            split = [words(text) for text in binaries(batch, "text")]
-            sequences = [encode(found, vocabulary) for found in split]
-            # Every sequence has its end, so none of the sums is over nothing.
-            model_logs = np.add.reduceat(model.logs(*windows(sequences)), np.cumsum([0, *(len(x) for x in sequences[:-1])])) / math.log(10)
-            for found, model_log in zip(split, model_logs.tolist()):
-                rare = Counter(w for w in found if w not in lookup)
-                n_rare = sum(rare.values())
-                log_sum = math.fsum(logs[w] for w in found if w in lookup)
-                outside = [logs[w] for w in found if w in lookup and w not in vocabulary]
-                for c, x in zip(columns, (
-                        len(found) + 1, len(found) - n_rare, log_sum, math.fsum(outside),
-                        len(outside) + n_rare, model_log, list(rare.items()))):
-                    c.append(x)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(),
-                     pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            rare_rows = [[{"word": w, "times": n} for w, n in x] for x in columns[6]]
+            found, sizes = split(batch)
+            at = pc.fill_null(pc.index_in(found, place), -1).to_numpy()
+            # An end is at -2, so it and rare words find one of the zeros after the logarithms.
+            tokens, starts = ended(at, sizes, -2), np.cumsum(sizes + 1) - sizes - 1
+            # Every text has its end, so none of the sums is over nothing. Long doubles, so that they round once.
+            each = lambda x, t: np.add.reduceat(x.astype(t), starts)
+            ids = np.where((tokens >= 0) & (tokens < held), tokens + 2, np.where(tokens == -2, END, OTHER))
+            model_logs = each(model.logs(*windows(ids, sizes + 1)), float) / math.log(10)
+            log, outside = logs[tokens], tokens >= held
+            n_rare = each(tokens == -1, np.int64)
+            # Rare words of each text, each with its number there.
+            own = np.flatnonzero(at < 0)
+            kinds = found.take(pa.array(own)).dictionary_encode()
+            size = max(1, len(kinds.dictionary))
+            pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[own] * size + kinds.indices.to_numpy(), return_counts=True)
+            rare = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(pairs, np.arange(len(sizes) + 1) * size), pa.int32()),
+                pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(pairs % size)), pa.array(times, pa.int64())], names=["word", "times"]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), *(pa.array(c, t) for c, t in zip([*columns[:6], rare_rows], types))],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(sizes + 1), pa.array(sizes - n_rare),
+                 *(pa.array(each(x, np.longdouble).astype(float)) for x in (log, np.where(outside, log, 0))),
+                 pa.array(each(outside, np.int64) + n_rare), pa.array(model_logs), rare],
                 names=["doc_id", "row_key", "n_tokens", "n_head", "head_logs", "outside_logs", "n_outside", "model_log", "rare"])
 
     passed = materialize(rows.mapInArrow(run, (

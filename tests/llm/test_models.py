@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shelfmark.llm import langid, lm, quality, toxicity
@@ -172,6 +173,31 @@ def test_vocabulary_and_training_grow_with_the_corpus(spark):
     assert len(got) == 400 and min(gains) > 0
 
 
+def test_classes_are_summed_once_for_each_context(monkeypatch):
+    rng = np.random.default_rng(5)
+    share = rng.random(150) + 0.1
+    share /= share.sum()
+    model = lm.train([np.append(rng.integers(1, 150, 30), 0) for _ in range(20)], {}, share, epochs=1)
+    tokens = rng.integers(0, 150, 3000)
+    one, two = rng.integers(0, 3, 3000), rng.integers(0, 3, 3000)
+    plain = np.concatenate([model.logs(tokens[i:i + 1], one[i:i + 1], two[i:i + 1]) for i in range(300)])
+    summed, log_sum = [], lm._log_sum
+    monkeypatch.setattr(lm, "_log_sum", lambda z: summed.append(z.shape) or log_sum(z))
+    logs = model.logs(tokens, one, two)
+    assert np.allclose(logs[:300], plain, atol=1e-4)
+    assert sum(n for n, _ in summed) <= 3000 + 9  # each token within its class, nine contexts over all classes
+
+
+def test_words_and_windows_of_odd_texts():
+    texts = [b" a  B c ", b"", b"a", b"\x0bb\x0c c\xc2\xa0d"]
+    found, sizes = lm.split(pa.RecordBatch.from_arrays([pa.array(texts).cast(pa.string())], names=["text"]))
+    want = [re.findall(rb"[^\x20\x09-\x0d]+", t.lower()) for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and found.to_pylist() == [w for x in want for w in x]
+    ids, one, two = lm.windows(lm.ended(np.arange(2, 2 + len(found)), sizes, lm.END), sizes + 1)
+    assert ids.tolist() == [2, 3, 4, 0, 0, 5, 0, 6, 7, 0]
+    assert one.tolist() == [0, 2, 3, 4, 0, 0, 5, 0, 6, 7] and two.tolist() == [0, 0, 2, 3, 0, 0, 0, 0, 0, 6]
+
+
 # Quality
 
 def test_compiled_rules_equal_the_model(spark):
