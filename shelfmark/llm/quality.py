@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
 from ..session import materialize
 from .common import binaries, remainder, share, small_batches, texts, unused
 
@@ -127,10 +128,17 @@ class RuleEnsemble:
     bias: float
 
     def column(self, of: Callable[[str], Column] = F.col) -> Column:
-        """The score as one expression over the statistics; ``of`` gives a statistic's column."""
-        total = reduce(Column.__add__, (F.when(r.column(of), F.lit(w)).otherwise(F.lit(0.0))
-                                        for r, w in zip(self.rules, self.weights)), F.lit(self.bias))
-        return 1 / (1 + F.exp(-total))
+        """The score as one expression over the statistics; ``of`` gives a statistic's column.
+
+        The statistics are bound as one array, as Spark makes no Java of what is inside a lambda: compiling some hundred
+        branches took several hundred megabytes of the driver and of every executor.
+        """
+        def score(x: Column) -> Column:
+            total = reduce(Column.__add__, (F.when(r.column(lambda s: x[STATS.index(s)]), F.lit(w)).otherwise(F.lit(0.0))
+                                            for r, w in zip(self.rules, self.weights)), F.lit(self.bias))
+            return 1 / (1 + F.exp(-total))
+
+        return let(F.array(*(of(s) for s in STATS)), score)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)

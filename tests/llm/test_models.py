@@ -212,6 +212,17 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.allclose([r[0] for r in df.select(model.column()).collect()], model.score(x))
 
 
+def test_rules_make_little_java(spark):
+    rng = np.random.default_rng(4)
+    rules = tuple(quality.Rule(tuple((int(k), bool(k % 2), float(rng.random())) for k in rng.integers(0, len(quality.STATS), 3))) for _ in range(200))
+    model = quality.RuleEnsemble(rules, tuple(rng.normal(size=200).tolist()), 0.1)
+    x = rng.random((50, len(quality.STATS)))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], list(quality.STATS))
+    assert np.allclose([r[0] for r in df.select(model.column()).collect()], model.score(x))
+    java = spark._jvm.PythonSQLUtils.explainString(df.filter(model.column() >= 0.5)._jdf.queryExecution(), "codegen")
+    assert 0 < len(java) < 150_000
+
+
 def test_quality_edges(spark):
     rows = [(i, ("good plain words of text " * 4) if i % 3 else "$$$ ### !!! ||| " * 5) for i in range(90)]
     rows += [(200, None), (201, ""), (None, "x"), (1, rows[1][1]), (202, "y " * 60_000)]
