@@ -132,6 +132,45 @@ def test_index_recall_full_probe_and_insertion(spark):
     assert "PartitionFilters: [cell" in plan
 
 
+def test_exact_index_search_reads_vectors_only(spark):
+    """Products of the vectors decide alone: no codes are read, and copies fall to the lower id."""
+    from shelfmark.operators.ann import VectorIndex
+    from shelfmark.session import fresh_dir
+
+    rnd = np.random.default_rng(4)
+    around = rnd.normal(size=(6, 20))
+    vectors = np.concatenate([around[np.arange(900) % 6] + rnd.normal(size=(900, 20)) * 0.5, np.tile(around[:1], (300, 1))])
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id long, embedding array<double>")
+    index = VectorIndex(spark, fresh_dir(spark, "vectors"))
+    index.fit(c, 6)
+    index.insert(c)
+    asked = c.filter("chunk_id % 40 = 0").withColumnRenamed("chunk_id", "query_id")
+    whole = index.search(asked, 5, nprobe=6, refine=None, block_rows=9)
+    assert got(whole) == got(vector_search.knn(asked, c, 5))
+    scans = [line for line in whole._jdf.queryExecution().toString().splitlines() if "ReadSchema" in line]
+    assert scans and not any("codes" in line for line in scans)
+    # With fewer cells probed it is exact within these.
+    held, centres = index.rows().select("chunk_id", "embedding", "cell").toArrow(), index.quantiser().centres
+    ids, cells = held["chunk_id"].to_numpy(), held["cell"].to_numpy()
+    rows = np.array(held["embedding"].to_pylist())
+    rows, expected = rows / np.linalg.norm(rows, axis=1, keepdims=True), {}
+    for number, vector in asked.collect():
+        unit = np.array(vector) / np.linalg.norm(vector)
+        near = np.argsort(((centres - unit) ** 2).sum(1))[:2]
+        own = np.flatnonzero(np.isin(cells, near))
+        expected[number] = ids[own[np.lexsort((ids[own], -np.round(rows[own] @ unit, 9)))[:5]]].tolist()
+    assert got(index.search(asked, 5, nprobe=2, refine=None, block_rows=9)) == expected
+
+
+def test_places_that_reach_their_rows_least():
+    rnd = np.random.default_rng(1)
+    for n, width in ((0, 8), (3, 0), (1, 1), (5, 7), (4, 8), (3, 1001)):
+        scores, least = rnd.random((n, width), dtype=np.float32), rnd.random(n, dtype=np.float32)
+        scores[:, ::5] = np.nan
+        places = vector_search._reaching(scores, least)
+        assert [p.tolist() for p in places] == [p.tolist() for p in np.nonzero(scores >= least[:, None])]
+
+
 def test_index_with_few_rows_and_other_lengths(spark):
     from shelfmark.operators.ann import VectorIndex
     from shelfmark.session import fresh_dir
